@@ -103,7 +103,10 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def canonical_news(df: DataFrame) -> DataFrame:
-    """The six news columns; missing body, source and url become empty text."""
+    """The six news columns; missing body, source and url become empty text.
+
+    An ``arrival`` column, if there is one, stays: it tells which copy of a story came last.
+    """
     have = set(df.columns)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
     ts = F.col("ts") if df.schema["ts"].dataType == T.TimestampNTZType() else F.to_utc_timestamp(
@@ -112,4 +115,5 @@ def canonical_news(df: DataFrame) -> DataFrame:
         ts.alias("ts"), F.col("symbol").cast("string").alias("symbol"),
         F.col("headline").cast("string").alias("headline"),
         blank("body").alias("body"), blank("source").alias("source"), blank("url").alias("url"),
+        *(["arrival"] if "arrival" in have else []),
     )
