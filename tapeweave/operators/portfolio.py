@@ -45,8 +45,8 @@ def _tile_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def return_correlations(returns: DataFrame, symbols: list[str] | None = None) -> DataFrame:
-    """(symbol_a, symbol_b, correlation, n) of every pair ``a < b`` that shares moments.
+def return_correlations(returns: DataFrame, symbols: list[str] | None = None, min_rows: int = 1) -> DataFrame:
+    """(symbol_a, symbol_b, correlation, n) of every pair ``a < b`` that shares ``min_rows`` moments.
 
     The result has a row per pair of symbols by nature; the returns never form pairs. The returns
     of one moment are gathered (at most one per symbol), and each task turns its moments into sums
@@ -81,6 +81,7 @@ def return_correlations(returns: DataFrame, symbols: list[str] | None = None) ->
     sums = (
         moments.mapInPandas(_tile_moments, schema).filter("a < b")
         .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ["n", "sa", "sb", "saa", "sbb", "sab"]])
+        .filter(F.col("n") >= min_rows)
     )
     n = F.col("n")
     var = lambda s, ss: F.greatest(n * F.col(ss) - F.col(s) * F.col(s), F.lit(0.0))
@@ -123,7 +124,8 @@ class Limits:
     max_correlation: float = 0.8
 
 
-MONEY = "decimal(38,8)"
+# Money is added up in whole units of 1e-8, so that sums do not depend on the order of tasks.
+UNIT = 10**8
 
 
 def open_state(ledger: DataFrame) -> DataFrame:
@@ -132,11 +134,11 @@ def open_state(ledger: DataFrame) -> DataFrame:
     ``open_count`` and ``open_risk``: other trades signalled before (ties by symbol) and not yet
     closed. ``realised_today``: results of trades closed that day so far. ``symbol_open``: whether
     the trade's own symbol was open. A sweep over opens and closes in time order: running sums, no
-    joins between trades. Money is added as decimals, so sums do not depend on the order of tasks.
+    joins between trades.
     """
     day = F.to_date("ts")
-    zero = F.lit(0).cast(MONEY)
-    risk, pnl = F.col("risk_amount").cast(MONEY), F.col("pnl").cast(MONEY)
+    zero = F.lit(0).cast("long")
+    risk, pnl = (F.round(F.col(c) * UNIT).cast("long") for c in ("risk_amount", "pnl"))
     row = F.struct(*ledger.columns)
     # Closes come before opens at the same moment.
     opens = ledger.select(
@@ -165,8 +167,8 @@ def open_state(ledger: DataFrame) -> DataFrame:
     return swept.select(
         "row.*",
         F.coalesce("open_count", F.lit(0)).cast("long").alias("open_count"),
-        F.coalesce("open_risk", zero).cast("double").alias("open_risk"),
-        F.coalesce("realised", zero).cast("double").alias("realised_today"),
+        (F.coalesce("open_risk", zero) / UNIT).alias("open_risk"),
+        (F.coalesce("realised", zero) / UNIT).alias("realised_today"),
         F.coalesce(F.col("busy_until") > F.col("ts"), F.lit(False)).alias("symbol_open"),
     )
 

@@ -61,7 +61,8 @@ def block_scan(
     ``scans``     output name -> (aggregate, value)
     ``inclusive`` whether a row's own value counts
     """
-    names = [f"_block{i}" for i in range(len(blocks))]
+    # Names tell the level: the scan across blocks is itself a scan over fewer blocks.
+    names = [f"_block{len(blocks)}_{i}" for i in range(len(blocks))]
     order = [col(c) for c in order]
     # Values get names of their own: an output may replace a column the scan still reads.
     values = {out: (fn, f"_value_{out}") for out, (fn, _) in scans.items()}
