@@ -45,25 +45,25 @@ def tag_keywords(
     A keyword counts once if it occurs anywhere in the text, inside words too; the first class of
     the lexicon wins ties. The scan of the text runs where the row is, without a shuffle.
     """
-    text = F.col("_text")
-    hits = [
-        sum((F.contains(text, F.lit(w.lower())).cast("int") for w in words), F.lit(0)) for words in lexicon.values()
-    ]
-    scored = F.array(*[
-        F.struct(h.alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-        for i, (name, h) in enumerate(zip(lexicon, hits))
-    ])
-    found = F.col("_best")["hits"]
-    name = F.when(found > 0, F.col("_best")["name"]).otherwise("none")
+    names = list(lexicon)
+    count = lambda text, words: sum((F.contains(text, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+    hits = lambda text: F.struct(*[count(text, lexicon[n]).alias(f"_hits_{i}") for i, n in enumerate(names)])
+    # Generated rows are a barrier: the text is lowered and searched once, whatever is filtered later.
+    searched = news.select("*", F.inline(F.transform(F.array(tagging_text()), hits)))
+    columns = [F.col(f"_hits_{i}") for i in range(len(names))]
+    best = F.greatest(*columns) if len(columns) > 1 else columns[0]
+    name = F.lit("none")
+    for column, label in reversed(list(zip(columns, names))):
+        name = F.when((column == F.col("_best")) & (column > 0), label).otherwise(name)
+    found = F.col("_best")
     return (
-        news.withColumn("_text", tagging_text())
-        .withColumn("_best", F.array_max(scored))
+        searched.withColumn("_best", best)
+        .withColumn("catalyst", name)
         .withColumns({
-            "catalyst": name,
-            "strength": F.when(found > 0, _lookup(name, strength, OTHER_STRENGTH)).otherwise(0.0),
+            "strength": F.when(found > 0, _lookup(F.col("catalyst"), strength, OTHER_STRENGTH)).otherwise(0.0),
             "confidence": F.when(found > 0, F.least(F.lit(1.0), 0.4 + 0.2 * found)).otherwise(0.0),
         })
-        .drop("_text", "_best")
+        .drop("_best", *[f"_hits_{i}" for i in range(len(names))])
     )
 
 

@@ -13,6 +13,7 @@ from tapeweave.functions.arith import safe_div, zero_null
 from tapeweave.functions.timeframes import Timeframe
 from tapeweave.operators.ewm import Ewm, ewm_means, halo_rows, span_alpha, sub_block_rows
 from tapeweave.operators.patterns import PATTERN_COLUMNS, pattern_columns
+from tapeweave.operators.scan import block_scan, time_block
 from tapeweave.operators.series import BLOCK_ROWS, INDEX, Blocks, row_blocks, with_row_index
 from tapeweave.schemas import PRICE_COLUMNS
 
@@ -37,10 +38,11 @@ def counting_span(timeframe: str) -> int:
 
 
 def blocked_bars(
-    df: DataFrame, timeframe: str, keys: list[str], back: int, ahead: int, sub_rows: int = 2048
+    df: DataFrame, timeframe: str, keys: list[str], back: int, ahead: int, sub_rows: int = 2048,
+    block_rows: int = BLOCK_ROWS,
 ) -> Blocks:
     indexed = df if INDEX in df.columns else with_row_index(df, keys, span_seconds=counting_span(timeframe))
-    return row_blocks(indexed, keys, back=back, ahead=ahead, sub_rows=sub_rows)
+    return row_blocks(indexed, keys, back=back, ahead=ahead, rows=block_rows, sub_rows=sub_rows)
 
 
 def add_indicators(
@@ -49,9 +51,10 @@ def add_indicators(
     wanted: list[str] = FEATURE_COLUMNS,
     keys: list[str] = ["symbol"],
     atr_window: int = 14,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Bars plus the wanted indicator and pattern columns (and the row index ``_i``)."""
-    blocks = feature_blocks(df, timeframe, wanted, keys, atr_window)
+    blocks = feature_blocks(df, timeframe, wanted, keys, atr_window, block_rows=block_rows)
     return blocks.own().select(*df.drop(INDEX).columns, INDEX, *wanted)
 
 
@@ -63,10 +66,11 @@ def feature_blocks(
     atr_window: int = 14,
     ahead: int = 0,
     extra_back: int = 0,
+    block_rows: int = BLOCK_ROWS,
 ) -> Blocks:
     """As ``add_indicators``, but still in blocks, with at least ``extra_back`` and ``ahead`` halo rows."""
     need = set(wanted)
-    unknown = need - set(FEATURE_COLUMNS) - {"obv", "vwap", "true_range"}
+    unknown = need - set(FEATURE_COLUMNS) - {"vwap", "true_range"}
     if unknown:
         raise ValueError(f"unknown indicators: {sorted(unknown)}")
     wilder = 1.0 / 14
@@ -90,7 +94,7 @@ def feature_blocks(
     alphas = [m.alpha for m in level1 + level2]
     sub_rows = sub_block_rows(alphas)
     back = max([halo_rows(alphas, sub_rows) if alphas else 0, extra_back, _row_halo(need, timeframe)])
-    blocks = blocked_bars(df, timeframe, keys, back, ahead, sub_rows)
+    blocks = blocked_bars(df, timeframe, keys, back, ahead, sub_rows, block_rows)
 
     blocks = _bar_inputs(blocks, need)
     blocks = ewm_means(blocks, level1)
@@ -221,8 +225,6 @@ def _final(blocks: Blocks, need: set[str]) -> Blocks:
 
 def add_obv(df: DataFrame, timeframe: str, keys: list[str] = ["symbol"]) -> DataFrame:
     """On-balance volume: the running sum of volume signed by the close's direction."""
-    from tapeweave.operators.scan import block_scan, time_block
-
     blocks = blocked_bars(df, timeframe, keys, back=1, ahead=0)
     blocks = blocks.columns({"prior_close": F.lag("close").over(blocks.window())})
     signed = F.coalesce(F.signum(F.col("close") - F.col("prior_close")), F.lit(0.0)) * F.col("volume")

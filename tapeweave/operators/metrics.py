@@ -4,31 +4,61 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.arith import zero_null
-from tapeweave.operators.scan import block_scan, time_block
+from tapeweave.operators.scan import time_block
 
 EXIT_ORDER = ["exit_time", "signal_ts", "symbol"]
 
 
-def _levels(ts: str, by: list[str]) -> list[Column]:
-    return [time_block(ts, 86400), time_block(ts, 60)]
+def _climb(df: DataFrame, keys: list[str], order: list[str], blocks: list[Column], gain: str, top: str) -> DataFrame:
+    """Add ``_before``, the sum of gains before each row, and ``_peak``, the highest level reached so
+    far by any row's ``_before + top``.
+
+    A blocked scan of both at once: blocks report their gain and their highest level, the reports
+    are scanned across blocks, and each row adds what came before its block.
+    """
+    names = [f"_block{len(blocks)}_{i}" for i in range(len(blocks))]
+    within = Window.partitionBy(*keys, *names).orderBy(*order)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    local = (
+        df.withColumns(dict(zip(names, blocks)))
+        .withColumn("_in", F.coalesce(F.sum(gain).over(earlier), F.lit(0.0)))
+        .withColumn("_up", F.max(F.col("_in") + F.col(top)).over(so_far))
+    )
+    totals = local.groupBy(*keys, *names).agg(F.sum(gain).alias("_gain"), F.max("_up").alias("_top"))
+    if len(blocks) == 1:
+        across = Window.partitionBy(*keys).orderBy(names[0]).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.withColumn("_start", F.coalesce(F.sum("_gain").over(across), F.lit(0.0))).withColumn(
+            "_high", F.max(F.col("_start") + F.col("_top")).over(across)
+        )
+    else:
+        climbed = _climb(totals, keys, names, [F.col(n) for n in names[:-1]], "_gain", "_top")
+        carried = climbed.withColumn("_start", F.col("_before")).withColumn("_high", F.col("_peak_before"))
+    carried = carried.select(*keys, *names, "_start", "_high")
+    out = local.withColumn("_last", F.lag("_up").over(within)).join(carried, [*keys, *names], "left")
+    return out.withColumns({
+        "_before": F.col("_start") + F.col("_in"),
+        "_peak": F.greatest(F.col("_high"), F.col("_start") + F.col("_up")),
+        "_peak_before": F.greatest(F.col("_high"), F.col("_start") + F.col("_last")),
+    }).drop(*names, "_in", "_up", "_last", "_start", "_high")
 
 
 def equity_curve(ledger: DataFrame, initial: float = 100_000.0, by: list[str] = []) -> DataFrame:
     """Ledger with ``equity`` after each exit, ``peak`` so far, ``drawdown``, and the return on the
-    equity before the trade. Order: exit time, then signal time and symbol."""
-    levels = _levels("exit_time", by)
-    summed = block_scan(ledger, by, EXIT_ORDER, levels, {"_gain": ("sum", F.col("pnl"))})
-    curve = summed.withColumn("equity", initial + F.col("_gain")).drop("_gain")
-    peaked = block_scan(curve, by, EXIT_ORDER, levels, {"_top": ("max", F.col("equity"))})
-    before = F.col("equity") - F.col("pnl")
-    return peaked.withColumns({
-        "peak": F.greatest(F.lit(initial), F.col("_top")),
+    equity before the trade. Order: exit time, then signal time and symbol. Trades are summed
+    inside their minute, minutes inside their day, and days in a row."""
+    levels = [time_block("exit_time", 86400), time_block("exit_time", 60)]
+    climbed = _climb(ledger, by, EXIT_ORDER, levels, "pnl", "pnl")
+    before = initial + F.col("_before")
+    return climbed.withColumns({
+        "equity": before + F.col("pnl"),
+        "peak": F.greatest(F.lit(initial), initial + F.col("_peak")),
         "return_pct": F.coalesce(F.col("pnl") / zero_null(before), F.lit(0.0)),
-    }).withColumn("drawdown", (F.col("equity") - F.col("peak")) / zero_null("peak")).drop("_top")
+    }).withColumn("drawdown", (F.col("equity") - F.col("peak")) / zero_null("peak")).drop("_before", "_peak", "_peak_before")
 
 
 def max_drawdown(curve: DataFrame, by: list[str] = []) -> DataFrame:

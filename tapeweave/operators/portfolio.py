@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapeweave.functions.arith import zero_null
 from tapeweave.operators.indicators import add_indicators
 from tapeweave.operators.scan import block_scan, time_block
+from tapeweave.session import materialize
 
 TILE = 512
 
@@ -22,46 +23,56 @@ def simple_returns(bars: DataFrame, timeframe: str) -> DataFrame:
     return add_indicators(bars, timeframe, ["ret_1"]).select("symbol", "ts", F.col("ret_1").alias("ret"))
 
 
-def _tile_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tile_moments(tile: int):
     """Pairwise sums of the rows (moments in time) of one partition, per pair of symbol tiles."""
-    totals: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for (p, q), rows in batch.groupby(["tile_a", "tile_b"]):
-            sides = []
-            for names, values in (("ia", "ra"), ("ib", "rb")):
-                grid = np.full((len(rows), TILE), np.nan)
-                at = np.repeat(np.arange(len(rows)), [len(x) for x in rows[names]])
-                if len(at):
-                    grid[at, np.concatenate(rows[names].to_list()).astype(int)] = np.concatenate(rows[values].to_list())
-                sides.append((np.isfinite(grid).astype(float), np.nan_to_num(grid)))
-            (ma, xa), (mb, xb) = sides
-            sums = np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
-            totals[p, q] = totals.get((p, q), 0) + sums
-    for (p, q), sums in totals.items():
-        a, b = np.nonzero(sums[0])
-        yield pd.DataFrame(
-            {"a": p * TILE + a, "b": q * TILE + b}
-            | {c: sums[i, a, b] for i, c in enumerate(["n", "sa", "sb", "saa", "sbb", "sab"])}
-        )
-
 
-def return_correlations(returns: DataFrame, symbols: list[str] | None = None, min_rows: int = 1) -> DataFrame:
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for (p, q), rows in batch.groupby(["tile_a", "tile_b"]):
+                sides = []
+                for names, values in (("ia", "ra"), ("ib", "rb")):
+                    grid = np.full((len(rows), tile), np.nan)
+                    at = np.repeat(np.arange(len(rows)), [len(x) for x in rows[names]])
+                    if len(at):
+                        places = np.concatenate(rows[names].to_list()).astype(int)
+                        grid[at, places] = np.concatenate(rows[values].to_list())
+                    sides.append((np.isfinite(grid).astype(float), np.nan_to_num(grid)))
+                (ma, xa), (mb, xb) = sides
+                parts = np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
+                totals[p, q] = totals.get((p, q), 0) + parts
+        for (p, q), parts in totals.items():
+            a, b = np.nonzero(parts[0])
+            yield pd.DataFrame(
+                {"a": p * tile + a, "b": q * tile + b}
+                | {c: parts[i, a, b] for i, c in enumerate(["n", "sa", "sb", "saa", "sbb", "sab"])}
+            )
+
+    return sums
+
+
+def return_correlations(
+    returns: DataFrame, symbols: list[str] | None = None, min_rows: int = 1, tile: int = TILE
+) -> DataFrame:
     """(symbol_a, symbol_b, correlation, n) of every pair ``a < b`` that shares ``min_rows`` moments.
 
     The result has a row per pair of symbols by nature; the returns never form pairs. The returns
     of one moment are gathered (at most one per symbol), and each task turns its moments into sums
-    per pair with one matrix product per tile of symbols; only these sums are shuffled.
+    per pair with one matrix product per tile of symbols; only these sums are shuffled. The returns
+    are read twice: pass a stored frame if they are costly.
     """
     valid = returns.filter(F.col("ret").isNotNull())
     if symbols is not None:
         valid = valid.filter(F.col("symbol").isin(symbols))
     # Numbering the symbols needs one small task: one row per symbol.
-    names = valid.select("symbol").distinct().withColumn("_i", F.row_number().over(Window.orderBy("symbol")) - 1)
-    tiles = names.agg(F.coalesce(F.floor(F.max("_i") / TILE), F.lit(0))).scalar()
-    tiled = valid.join(names, "symbol").withColumn("_tile", F.floor(F.col("_i") / TILE)).withColumn("_tiles", tiles)
+    names = materialize(
+        valid.select("symbol").distinct().withColumn("_i", F.row_number().over(Window.orderBy("symbol")) - 1)
+    )
+    tiles = names.agg(F.coalesce(F.floor(F.max("_i") / tile), F.lit(0))).scalar()
+    tiled = valid.join(names, "symbol").withColumn("_tile", F.floor(F.col("_i") / tile)).withColumn("_tiles", tiles)
     # A return joins every pair of tiles its own tile is in.
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles")))
-    cell = F.struct((F.col("_i") % TILE).alias("i"), F.col("ret").alias("r"))
+    cell = F.struct((F.col("_i") % tile).alias("i"), F.col("ret").alias("r"))
     moments = (
         tiled.withColumn("_other", partner)
         .groupBy(
@@ -79,7 +90,7 @@ def return_correlations(returns: DataFrame, symbols: list[str] | None = None, mi
     )
     schema = "a long, b long, n double, sa double, sb double, saa double, sbb double, sab double"
     sums = (
-        moments.mapInPandas(_tile_moments, schema).filter("a < b")
+        moments.mapInPandas(_tile_moments(tile), schema).filter("a < b")
         .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ["n", "sa", "sb", "saa", "sbb", "sab"]])
         .filter(F.col("n") >= min_rows)
     )
@@ -136,40 +147,40 @@ def open_state(ledger: DataFrame) -> DataFrame:
     the trade's own symbol was open. A sweep over opens and closes in time order: running sums, no
     joins between trades.
     """
-    day = F.to_date("ts")
     zero = F.lit(0).cast("long")
     risk, pnl = (F.round(F.col(c) * UNIT).cast("long") for c in ("risk_amount", "pnl"))
-    row = F.struct(*ledger.columns)
+    held = block_scan(
+        ledger, ["symbol"], ["signal_ts"], [time_block("signal_ts", 86400 * 30)],
+        {"_until": ("max", F.col("exit_time"))}, inclusive=False,
+    )
+    row = F.struct(*ledger.columns, (F.col("_until") > F.col("signal_ts")).alias("_busy"))
     # Closes come before opens at the same moment.
-    opens = ledger.select(
-        F.col("signal_ts").alias("ts"), F.lit(1).alias("kind"), "symbol", F.col("exit_time").alias("until"),
-        F.lit(1).alias("count"), risk.alias("risk"), zero.alias("gain"), row.alias("row"), "signal_ts",
+    opens = held.select(
+        F.col("signal_ts").alias("ts"), F.lit(1).alias("kind"), "symbol", "signal_ts",
+        F.lit(1).alias("count"), risk.alias("risk"), zero.alias("gain"), row.alias("row"),
     )
     closes = ledger.select(
-        F.col("exit_time").alias("ts"), F.lit(0).alias("kind"), "symbol", F.lit(None).cast("timestamp_ntz").alias("until"),
+        F.col("exit_time").alias("ts"), F.lit(0).alias("kind"), "symbol", "signal_ts",
         F.lit(-1).alias("count"), (-risk).alias("risk"), pnl.alias("gain"),
-        F.lit(None).cast(ledger.select(row.alias("r")).schema["r"].dataType).alias("row"), "signal_ts",
-    )
-    events = opens.unionByName(closes)
-    order = ["ts", "kind", "symbol", "signal_ts"]
-    swept = block_scan(
-        events, [], order, [time_block("ts", 86400), time_block("ts", 60)],
-        {"open_count": ("sum", F.col("count")), "open_risk": ("sum", F.col("risk"))}, inclusive=False,
-    )
-    swept = block_scan(
-        swept.withColumn("_day", day), ["_day"], order, [time_block("ts", 60)],
-        {"realised": ("sum", F.col("gain"))}, inclusive=False,
+        F.lit(None).cast(opens.schema["row"].dataType).alias("row"),
     )
+    events = opens.unionByName(closes).withColumn("_day", F.to_date("ts"))
     swept = block_scan(
-        swept.filter("kind = 1"), ["symbol"], ["ts"], [time_block("ts", 86400 * 30)],
-        {"busy_until": ("max", F.col("until"))}, inclusive=False,
-    )
-    return swept.select(
-        "row.*",
-        F.coalesce("open_count", F.lit(0)).cast("long").alias("open_count"),
-        (F.coalesce("open_risk", zero) / UNIT).alias("open_risk"),
-        (F.coalesce("realised", zero) / UNIT).alias("realised_today"),
-        F.coalesce(F.col("busy_until") > F.col("ts"), F.lit(False)).alias("symbol_open"),
+        events, ["_day"], ["ts", "kind", "symbol", "signal_ts"], [time_block("ts", 60)],
+        {"_count": ("sum", F.col("count")), "_risk": ("sum", F.col("risk")), "_gain": ("sum", F.col("gain"))},
+        inclusive=False,
+    )
+    # What earlier days left open: one row per day.
+    days = events.groupBy("_day").agg(F.sum("count").alias("_count0"), F.sum("risk").alias("_risk0"))
+    past = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select("_day", F.sum("_count0").over(past).alias("_count0"), F.sum("_risk0").over(past).alias("_risk0"))
+    total = lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero)
+    return swept.filter("kind = 1").join(carried, "_day").select(
+        *[F.col("row")[c].alias(c) for c in ledger.columns],
+        total("_count", "_count0").alias("open_count"),
+        (total("_risk", "_risk0") / UNIT).alias("open_risk"),
+        (F.coalesce("_gain", zero) / UNIT).alias("realised_today"),
+        F.coalesce(F.col("row._busy"), F.lit(False)).alias("symbol_open"),
     )
 
 

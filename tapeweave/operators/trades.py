@@ -10,6 +10,7 @@ from tapeweave.functions.costs import Costs, apply_costs
 from tapeweave.functions.sizing import Sizing, size_positions
 from tapeweave.operators.indicators import counting_span, feature_blocks
 from tapeweave.operators.series import INDEX, with_row_index
+from tapeweave.session import materialize
 
 
 def open_context(
@@ -93,16 +94,19 @@ def trade_outcomes(plans: DataFrame, trail_atr_mult: float | None = None) -> Dat
 SELECTION_ROWS = 1024
 
 
-def single_position(trades: DataFrame, max_bars: int, keys: list[str] = ["symbol"]) -> DataFrame:
+def single_position(
+    trades: DataFrame, max_bars: int, keys: list[str] = ["symbol"], block_bars: int = SELECTION_ROWS
+) -> DataFrame:
     """Trades kept when a symbol may hold one position at a time, chosen greedily in time order.
 
     A trade is kept if its signal bar (``bar_index``) is not before the exit bar (``exit_index``)
     of the last kept one. No trade lasts more than ``max_bars`` bars after its signal, so all that
     passes from one block of bars to the next is how many of its bars are still taken: a number up
     to ``max_bars``. Each block is walked once for every such number, which gives a small map; the
-    maps of a series are chained; then each block is walked from its true start.
+    maps of a series are chained; then each block is walked from its true start. The trades are
+    read three times: pass a stored frame.
     """
-    size = max(SELECTION_ROWS, max_bars)
+    size = max(block_bars, max_bars)
     block = F.floor(F.col("bar_index") / size)
     base = trades.withColumn("_blk", block)
     packed = base.groupBy(*keys, "_blk").agg(
@@ -165,7 +169,9 @@ def trade_ledger(
     plans = size_positions(context, equity, sizing)
     trades = apply_costs(trade_outcomes(plans, trail_atr_mult), costs)
     if one_per_symbol:
-        trades = single_position(trades, max_horizon + 1)
+        # The choice reads its trades more than once; without a stored copy their paths would be
+        # walked again each time.
+        trades = single_position(materialize(trades), max_horizon + 1)
     return trades.select(
         "symbol", "direction", F.col("ts").alias("signal_ts"), "entry_time", "exit_time", "entry", "exit",
         "quantity", "pnl", (F.col("pnl") / equity).alias("return_pct"), "reason", "cost", "risk_amount",

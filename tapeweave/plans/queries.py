@@ -105,7 +105,7 @@ def indicators_supplier(spark, sf):
 
 def mtf_asof(spark, sf):
     """Hourly closes with the last closed 4-hour and daily bar."""
-    base = fill_missing_bars(fx.bars_1h(spark, sf), "1h")
+    base = materialize(fill_missing_bars(fx.bars_1h(spark, sf), "1h"))
     left = close_labeled(base, "1h").select("symbol", "ts", "close")
     rights = {
         tf: add_indicators(resample_bars(base, tf), tf, ["ret_1", "sma_20"]).select("symbol", "ts", "close", "ret_1", "sma_20")
@@ -358,11 +358,11 @@ def catalyst_counts(spark, sf):
 
 
 def catalyst_boost(spark, sf):
-    return rounded(fusion.catalyst_boost(fx.signals(spark, sf), fx.catalysts(spark, sf)).select("symbol", "ts", "catalyst_boost"))
+    return rounded(fusion.catalyst_boost(materialize(fx.signals(spark, sf)), fx.catalysts(spark, sf)).select("symbol", "ts", "catalyst_boost"))
 
 
 def fused_signals(spark, sf):
-    return rounded(fusion.fuse_signals(fx.signals(spark, sf), fx.catalysts(spark, sf), min_prob=0.55))
+    return rounded(fusion.fuse_signals(materialize(fx.signals(spark, sf)), fx.catalysts(spark, sf), min_prob=0.55))
 
 
 # --- trades ----------------------------------------------------------------------------------
@@ -430,19 +430,22 @@ LIMITS = portfolio.Limits(
 )
 
 
+def _returns(spark, sf):
+    return materialize(portfolio.simple_returns(fx.hourly_closed(spark, sf), "1h"))
+
+
 def return_correlation(spark, sf):
-    returns = portfolio.simple_returns(fx.hourly_closed(spark, sf), "1h")
-    return rounded(portfolio.return_correlations(returns))
+    return rounded(portfolio.return_correlations(_returns(spark, sf)))
 
 
 def return_correlation_suppliers(spark, sf):
     """Every pair of suppliers that traded on common days."""
-    returns = portfolio.simple_returns(fx.bars_1d(spark, sf, "close"), "1d")
+    returns = materialize(portfolio.simple_returns(fx.bars_1d(spark, sf, "close"), "1d"))
     return rounded(portfolio.return_correlations(returns, min_rows=10), 4)
 
 
 def correlation_lookup(spark, sf):
-    known = portfolio.return_correlations(portfolio.simple_returns(fx.hourly_closed(spark, sf), "1h"))
+    known = portfolio.return_correlations(_returns(spark, sf))
     names = fx.ticks(spark, sf).select("symbol").distinct()
     others = F.explode(F.array(*[F.lit(s) for s in (*fx.SYMBOLS, "nosuch")]))
     pairs = names.select(F.col("symbol").alias("symbol_a"), others.alias("symbol_b"))
@@ -456,7 +459,7 @@ def open_state(spark, sf):
 
 
 def _breaches(spark, sf):
-    known = portfolio.return_correlations(portfolio.simple_returns(fx.hourly_closed(spark, sf), "1h"))
+    known = portfolio.return_correlations(_returns(spark, sf))
     return portfolio.limit_breaches(_ledger(spark, sf), limits=LIMITS, correlations=known)
 
 
@@ -568,9 +571,9 @@ def stream_catalysts(spark, sf):
 
 
 def stream_boost(spark, sf):
-    signals = _staged(spark, fx.signals(spark, sf), "signals", {"ts": LATE})
+    signals = _staged(spark, materialize(fx.signals(spark, sf)), "signals", {"ts": LATE})
     tagged = cat.actionable_catalysts(fx.catalysts(spark, sf)).select("ts", "symbol", "catalyst", "strength", "confidence")
-    news = _staged(spark, tagged, "catalysts", {"ts": LATE})
+    news = _staged(spark, materialize(tagged), "catalysts", {"ts": LATE})
     return rounded(_wall(_run(spark, jobs.boost_stream(signals, news), "boost")))
 
 
@@ -588,7 +591,7 @@ def stream_load(spark, sf):
 
 def flagship(spark, sf):
     """Hourly bars, holes filled, trend and volatility, with the last closed daily bar beside them."""
-    base = fill_missing_bars(fx.bars_1h(spark, sf), "1h")
+    base = materialize(fill_missing_bars(fx.bars_1h(spark, sf), "1h"))
     closed = close_labeled(base, "1h")
     left = add_indicators(closed, "1h", ["sma_20", "ema_12", "atr"]).drop(INDEX, "open", "high", "low")
     day = resample_bars(base, "1d").select("symbol", "ts", "close", "volume")

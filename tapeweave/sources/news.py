@@ -46,7 +46,8 @@ def news_from_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
     Each payload is parsed once. Payloads without a title or a readable time drop out.
     """
-    parsed = payloads.withColumn("_p", F.from_json(F.col(payload), PAYLOAD_SCHEMA))
+    # Generated rows are a barrier: the later filter does not parse the text a second time.
+    parsed = payloads.select("*", F.explode(F.array(F.from_json(F.col(payload), PAYLOAD_SCHEMA))).alias("_p"))
     top, inner = F.col("_p"), F.col("_p.content")
     nested = inner.isNotNull()
     field = lambda name: F.when(nested, inner[name]).otherwise(top[name])
