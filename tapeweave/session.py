@@ -42,16 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Used where several later steps read the same expensive frame. The written table keeps
-    column pruning and size statistics, and does not depend on any executor staying alive.
-    """
+def stage(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; returns the stored frame and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The stored form of ``df``, for frames that several later steps read.
+
+    The written table keeps column pruning and size statistics, cuts the lineage, and does not
+    depend on any executor staying alive. It stays in the shared folder until that is cleaned.
+    """
+    return stage(df)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

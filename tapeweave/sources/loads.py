@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeweave.functions.timeframes import duration, epoch_micros
+from tapeweave.session import materialize
 from tapeweave.sources.tables import Table
 
 # How far back each timeframe is loaded, and for any other.
@@ -85,8 +86,9 @@ def load(source: DataFrame, plan: DataFrame, table: Table, chunk: str = "1W", re
     With ``resume`` rows up to the last stored time are not read again. One upsert commits all
     chunks; a failed run leaves the table as it was and can simply be repeated.
     """
-    plan = resume_plan(plan, table.coverage(), table.series) if resume else plan
-    report = load_report(source, plan, table.series, chunk)
+    # The plan reads the table's coverage and has to be fixed before the table changes.
+    plan = materialize(resume_plan(plan, table.coverage(), table.series)) if resume else plan
+    report = materialize(load_report(source, plan, table.series, chunk))
     changed = table.upsert(planned_rows(source, plan, table.series, chunk).drop("chunk"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("inserted", "updated", "total")]
     return report.join(changed, table.series, "left").select(*report.columns, *counts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeweave.schemas import BAR_SCHEMA, NEWS_SCHEMA, canonical_bars, canonical_news
-from tapeweave.session import drop_path, materialize, path_exists
+from tapeweave.session import drop_path, materialize, path_exists, stage
 
 
 def merge_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,12 +111,12 @@ class Table:
         written to the shared folder first, since Spark cannot overwrite what it is reading; the
         final write replaces those folders in one commit. Doing it again changes nothing.
         """
-        incoming = materialize(
+        incoming, incoming_path = stage(
             self.canonical(df).withColumns({"year": F.year("ts"), "month": F.month("ts")})
         )
         touched = incoming.select(*self.partitions).distinct()
         stored = self.scan().join(touched, self.partitions, "left_semi")
-        merged = materialize(merge_upsert(stored, incoming, self.keys))
+        merged, merged_path = stage(merge_upsert(stored, incoming, self.keys))
         salt = [F.pmod(F.xxhash64(*self.keys), F.lit(self.write_salt))] if self.write_salt > 1 else []
         (
             merged.drop("change")
@@ -134,8 +134,8 @@ class Table:
         )
         # One row per series; kept as a table, so that the merge is not run again.
         out = materialize(report)
-        for frame in (incoming, merged):
-            drop_path(self.spark, frame.inputFiles()[0].rsplit("/", 1)[0]) if frame.inputFiles() else None
+        for path in (incoming_path, merged_path):
+            drop_path(self.spark, path)
         return out
 
 
