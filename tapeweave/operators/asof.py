@@ -15,7 +15,7 @@ def asof_join(
     rights: dict[str, DataFrame],
     keys: list[str] = ["symbol"],
     ts: str = "ts",
-    block_seconds: int = 30 * DAY,
+    block_seconds: int = DAY,
 ) -> DataFrame:
     """Attach to each left row the last row of every right frame with ``ts`` at or before its own.
 

@@ -30,8 +30,12 @@ def _inputs(samples: DataFrame, features: list[str]) -> VectorAssembler:
 
 
 def _with_weights(samples: DataFrame) -> DataFrame:
-    """Inverse-frequency weights; the weight table has one row per class."""
-    return samples.join(class_weights(samples).select("label", "weight"), "label")
+    """Inverse-frequency weights. There is one weight per class, so they go in as constants: a join
+    on the label would bring a class that holds most rows together in one task."""
+    weight = F.lit(1.0)
+    for row in class_weights(samples, n_classes=N_CLASSES).collect():
+        weight = F.when(F.col("label") == row["label"], row["weight"]).otherwise(weight)
+    return samples.withColumn("weight", weight)
 
 
 def _fit(samples: DataFrame, features: list[str], estimator) -> PipelineModel:

@@ -16,6 +16,7 @@ from tapeweave.operators.scan import block_scan, time_block
 from tapeweave.session import materialize
 
 TILE = 512
+SLICES = 1024
 
 
 def simple_returns(bars: DataFrame, timeframe: str) -> DataFrame:
@@ -27,9 +28,13 @@ def _tile_moments(tile: int):
     """Pairwise sums of the rows (moments in time) of one partition, per pair of symbol tiles."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple[int, int], np.ndarray] = {}
+        current, totals = None, None
         for batch in batches:
-            for (p, q), rows in batch.groupby(["tile_a", "tile_b"]):
+            for pair, rows in batch.groupby(["tile_a", "tile_b"]):
+                if pair != current:
+                    # Rows come sorted by tile pair: only one pair's sums are held at a time.
+                    yield from report(current, totals)
+                    current, totals = pair, np.zeros((6, tile, tile))
                 sides = []
                 for names, values in (("ia", "ra"), ("ib", "rb")):
                     grid = np.full((len(rows), tile), np.nan)
@@ -40,12 +45,15 @@ def _tile_moments(tile: int):
                     sides.append((np.isfinite(grid).astype(float), np.nan_to_num(grid)))
                 (ma, xa), (mb, xb) = sides
                 parts = np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
-                totals[p, q] = totals.get((p, q), 0) + parts
-        for (p, q), parts in totals.items():
-            a, b = np.nonzero(parts[0])
+                totals += parts
+        yield from report(current, totals)
+
+    def report(pair, totals):
+        if pair is not None:
+            a, b = np.nonzero(totals[0])
             yield pd.DataFrame(
-                {"a": p * tile + a, "b": q * tile + b}
-                | {c: parts[i, a, b] for i, c in enumerate(["n", "sa", "sb", "saa", "sbb", "sab"])}
+                {"a": pair[0] * tile + a, "b": pair[1] * tile + b}
+                | {c: totals[i, a, b] for i, c in enumerate(["n", "sa", "sb", "saa", "sbb", "sab"])}
             )
 
     return sums
@@ -73,11 +81,12 @@ def return_correlations(
     # A return joins every pair of tiles its own tile is in.
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles")))
     cell = F.struct((F.col("_i") % tile).alias("i"), F.col("ret").alias("r"))
+    pair = {"tile_a": F.least("_tile", "_other"), "tile_b": F.greatest("_tile", "_other")}
     moments = (
         tiled.withColumn("_other", partner)
-        .groupBy(
-            "ts", F.least("_tile", "_other").alias("tile_a"), F.greatest("_tile", "_other").alias("tile_b")
-        )
+        .withColumns(pair | {"_slice": F.pmod(F.xxhash64("ts"), F.lit(SLICES))})
+        .repartition("tile_a", "tile_b", "_slice")
+        .groupBy("tile_a", "tile_b", "_slice", "ts")
         .agg(
             F.collect_list(F.when(F.col("_tile") <= F.col("_other"), cell)).alias("left"),
             F.collect_list(F.when(F.col("_tile") >= F.col("_other"), cell)).alias("right"),
@@ -87,6 +96,7 @@ def return_correlations(
             F.col("left.i").alias("ia"), F.col("left.r").alias("ra"),
             F.col("right.i").alias("ib"), F.col("right.r").alias("rb"),
         )
+        .sortWithinPartitions("tile_a", "tile_b")
     )
     schema = "a long, b long, n double, sa double, sb double, saa double, sbb double, sab double"
     sums = (
@@ -203,7 +213,8 @@ def _correlated_open(ledger: DataFrame, correlations: DataFrame, limit: float) -
         F.lit(None).cast(held.schema["trade"].dataType).alias("trade"), F.lit(1).alias("ask"),
     )
     seen = block_scan(
-        held.unionByName(asked), ["partner"], ["signal_ts", "who", "ask"], [time_block("signal_ts", 86400)],
+        held.unionByName(asked), ["partner"], ["signal_ts", "who", "ask"],
+        [time_block("signal_ts", 86400), time_block("signal_ts", 3600)],
         {"last_trade": ("last", F.col("trade"))},
     )
     still = seen.filter((F.col("ask") == 1) & (F.col("last_trade.until") > F.col("signal_ts")))

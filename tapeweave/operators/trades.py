@@ -19,15 +19,16 @@ def open_context(
 ) -> DataFrame:
     """Signals that can be traded, with the next bar's open, the signal bar's ATR and the path ahead.
 
-    ``path`` holds the entry bar and the ``max_horizon`` bars after it. Signals are attached to the
-    bars by an equi-join before the bars are cut into blocks, so no range join is needed and the
-    path arrays are never shuffled. ``horizon`` may not exceed ``max_horizon``.
+    ``path`` holds the entry bar and the ``max_horizon`` bars after it. Bars that carry a signal are
+    marked by an equi-join before the bars are cut into blocks, so there is no range join, and only
+    marked bars keep a path. ``horizon`` may not exceed ``max_horizon``.
     """
-    extra = [c for c in signals.columns if c not in (*keys, "ts")]
-    acting = signals.filter(F.col("direction") != 0).select(*keys, "ts", F.struct(*extra).alias("signal"))
+    acting = signals.filter(F.col("direction") != 0)
+    marks = acting.select(*keys, "ts").distinct().withColumn("marked", F.lit(True))
     indexed = with_row_index(bars, keys, span_seconds=counting_span(timeframe))
-    marked = indexed.join(acting, [*keys, "ts"], "left")
-    blocks = feature_blocks(marked, timeframe, ["atr"], keys, atr_window, ahead=max_horizon + 1)
+    blocks = feature_blocks(
+        indexed.join(marks, [*keys, "ts"], "left"), timeframe, ["atr"], keys, atr_window, ahead=max_horizon + 1
+    )
     order = blocks.window()
     bar = F.struct("ts", "high", "low", "close", "atr", F.col(INDEX).alias("idx"))
     blocks = blocks.columns({
@@ -35,15 +36,21 @@ def open_context(
         "entry_time": F.lead("ts").over(order),
         "path": F.collect_list(bar).over(blocks.rows(1, max_horizon + 1)),
     })
-    rows = blocks.own().filter(
-        F.col("signal").isNotNull() & F.col("entry_time").isNotNull() & (F.col("atr") > 0)
+    context = blocks.own().filter(F.col("marked") & F.col("entry_time").isNotNull() & (F.col("atr") > 0)).select(
+        *keys, "ts", F.col(INDEX).alias("bar_index"), "entry", "entry_time", "atr", "path"
     )
-    own = [c for c in extra if c not in ("entry", "entry_time", "path", "atr")]
+    own = [c for c in acting.columns if c not in context.columns or c in (*keys, "ts")]
     too_far = F.raise_error(F.lit("signal horizon exceeds max_horizon")).cast("int")
-    return rows.select(
-        *keys, "ts", *[F.col("signal")[c].alias(c) for c in own],
-        F.col(INDEX).alias("bar_index"), "entry", "entry_time", "atr", "path",
-    ).withColumn("horizon", F.when(F.col("horizon") > max_horizon, too_far).otherwise(F.col("horizon")))
+    return acting.select(*own).join(context, [*keys, "ts"]).withColumn(
+        "horizon", F.when(F.col("horizon") > max_horizon, too_far).otherwise(F.col("horizon"))
+    )
+
+
+def one_per_moment(signals: DataFrame, keys: list[str] = ["symbol"]) -> DataFrame:
+    """One signal per symbol and time: the most probable, a long before a short on ties."""
+    rest = [c for c in signals.columns if c not in (*keys, "ts")]
+    best = F.max_by(F.struct(*rest), F.struct("probability", "direction")).alias("best")
+    return signals.groupBy(*keys, "ts").agg(best).select(*keys, "ts", "best.*").select(*signals.columns)
 
 
 def trade_outcomes(plans: DataFrame, trail_atr_mult: float | None = None) -> DataFrame:
@@ -99,7 +106,7 @@ def single_position(
 ) -> DataFrame:
     """Trades kept when a symbol may hold one position at a time, chosen greedily in time order.
 
-    A trade is kept if its signal bar (``bar_index``) is not before the exit bar (``exit_index``)
+    ``trades`` holds at most one trade per symbol and signal bar. A trade is kept if its signal bar (``bar_index``) is not before the exit bar (``exit_index``)
     of the last kept one. No trade lasts more than ``max_bars`` bars after its signal, so all that
     passes from one block of bars to the next is how many of its bars are still taken: a number up
     to ``max_bars``. Each block is walked once for every such number, which gives a small map; the
@@ -165,6 +172,7 @@ def trade_ledger(
     Sizes use the stated equity throughout; results do not compound.
     """
     gated = signals.filter((F.col("direction") != 0) & (F.col("probability") >= min_prob))
+    gated = one_per_moment(gated) if one_per_symbol else gated
     context = open_context(bars, gated, timeframe, max_horizon, atr_window)
     plans = size_positions(context, equity, sizing)
     trades = apply_costs(trade_outcomes(plans, trail_atr_mult), costs)

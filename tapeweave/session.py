@@ -42,11 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder; returns the stored frame and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -54,7 +58,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """The stored form of ``df``, for frames that several later steps read.
 
     The written table keeps column pruning and size statistics, cuts the lineage, and does not
-    depend on any executor staying alive. It stays in the shared folder until that is cleaned.
+    depend on any executor staying alive. ``drop_staged`` removes it when it is no longer needed.
     """
     return stage(df)[0]
 
@@ -66,6 +70,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Remove all intermediate tables this process has written."""
+    while _staged:
+        drop_path(spark, _staged.pop())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -58,8 +58,6 @@ class Table:
     schema: T.StructType
     series: list[str]
     keys: list[str]
-    # Writers per month folder of one series. Bars of a month are few; news may be many.
-    write_salt = 1
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -117,10 +115,10 @@ class Table:
         touched = incoming.select(*self.partitions).distinct()
         stored = self.scan().join(touched, self.partitions, "left_semi")
         merged, merged_path = stage(merge_upsert(stored, incoming, self.keys))
-        salt = [F.pmod(F.xxhash64(*self.keys), F.lit(self.write_salt))] if self.write_salt > 1 else []
         (
+            # Rebalanced by folder: small folders share a task, a folder that is too big is split.
             merged.drop("change")
-            .repartition(*self.partitions, *salt)
+            .hint("rebalance", *[F.col(c) for c in self.partitions])
             .sortWithinPartitions(*self.partitions, "ts")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -159,7 +157,6 @@ class NewsTable(Table):
     schema = NEWS_SCHEMA
     series = ["symbol"]
     keys = ["symbol", "ts", "headline"]
-    write_salt = 16
 
     def canonical(self, df: DataFrame) -> DataFrame:
         return canonical_news(df)
