@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.arith import finite
@@ -12,7 +12,7 @@ from tapeweave.operators.bars import close_labeled, fill_missing_bars, resample_
 from tapeweave.operators.indicators import FEATURE_COLUMNS, add_indicators, counting_span
 from tapeweave.operators.labels import barrier_columns, to_class
 from tapeweave.operators.scan import block_scan, time_block
-from tapeweave.operators.series import INDEX, row_blocks
+from tapeweave.operators.series import INDEX, Blocks, row_blocks
 from tapeweave.schemas import PRICE_COLUMNS
 from tapeweave.session import materialize
 
@@ -58,18 +58,41 @@ def window_arrays(df: DataFrame, features: list[str], window: int, keys: list[st
     )
 
 
-def _window_stats(features: list[str], frame) -> dict[str, Column]:
-    stats = {f"{c}_last": F.col(c) for c in features}
-    stats |= {f"{c}_mean": F.avg(c).over(frame) for c in features}
-    stats |= {f"{c}_var": F.var_pop(c).over(frame) for c in features}
-    return stats
+def _window_stats(blocks: Blocks, features: list[str], window: int) -> Blocks:
+    """Add last value, mean and variance of each feature over the last ``window`` rows.
+
+    Differences of running sums over the block, so the cost per row does not grow with the window.
+    Values are centred on the block's mean first, which keeps the differences accurate.
+    """
+    whole = blocks.rows(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = blocks.rows(Window.unboundedPreceding, 0)
+    blocks = blocks.columns({f"_mid_{c}": F.avg(c).over(whole) for c in features})
+    off = lambda c: F.col(c) - F.col(f"_mid_{c}")
+    blocks = blocks.columns(
+        {f"_sum_{c}": F.sum(off(c)).over(so_far) for c in features}
+        | {f"_sq_{c}": F.sum(off(c) * off(c)).over(so_far) for c in features}
+    )
+    recent = lambda c: (F.col(c) - F.lag(c, window, 0.0).over(blocks.window())) / window
+    blocks = blocks.columns(
+        {f"_m1_{c}": recent(f"_sum_{c}") for c in features} | {f"_m2_{c}": recent(f"_sq_{c}") for c in features}
+    )
+    stats = {f"{c}_last": F.col(c).cast("double") for c in features}
+    stats |= {f"{c}_mean": F.col(f"_mid_{c}") + F.col(f"_m1_{c}") for c in features}
+    stats |= {
+        f"{c}_var": F.greatest(F.col(f"_m2_{c}") - F.col(f"_m1_{c}") * F.col(f"_m1_{c}"), F.lit(0.0)) for c in features
+    }
+    return blocks.columns(stats)
+
+
+def _stat_names(features: list[str]) -> list[str]:
+    return [f"{c}_{kind}" for kind in ("last", "mean", "var") for c in features]
 
 
 def flat_features(df: DataFrame, features: list[str], window: int, keys: list[str] = ["symbol"]) -> DataFrame:
-    """Last value, mean and variance of each feature over the last ``window`` rows."""
-    blocks = row_blocks(df, keys, back=window - 1)
-    stats = _window_stats(features, blocks.rows(-(window - 1), 0))
-    return blocks.columns(stats).own().filter(F.col(INDEX) >= window - 1).select(*keys, "ts", *stats)
+    """Last value, mean and variance of each feature over the last ``window`` rows; rows without a
+    full window drop out. ``df`` is an indexed, cleaned feature frame."""
+    blocks = _window_stats(row_blocks(df, keys, back=window - 1), features, window)
+    return blocks.own().filter(F.col(INDEX) >= window - 1).select(*keys, "ts", *_stat_names(features))
 
 
 def build_samples(
@@ -98,14 +121,14 @@ def build_samples(
     cleaned = clean_features(base_rows, features, base_timeframe, keys)
     blocks = row_blocks(cleaned, keys, back=window - 1, ahead=horizon)
     own = base_timeframe in context_timeframes
-    stats = _window_stats(features, blocks.rows(-(window - 1), 0)) if own else {}
-    blocks = barrier_columns(blocks.columns(stats), horizon, take_profit_atr, stop_loss_atr, "atr_raw")
+    blocks = _window_stats(blocks, features, window) if own else blocks
+    blocks = barrier_columns(blocks, horizon, take_profit_atr, stop_loss_atr, "atr_raw")
     rows = blocks.own()
     rows = rows.filter(F.col(INDEX) >= window - 1) if own else rows
     rows = rows.filter(F.col("label").isNotNull()) if require_label else rows
     rows = rows.select(
         *keys, "ts", "close", to_class(F.col("label")).alias("label"), "ret",
-        *[F.col(c).alias(f"{c}_{base_timeframe}") for c in stats],
+        *[F.col(c).alias(f"{c}_{base_timeframe}") for c in (_stat_names(features) if own else [])],
     )
 
     rights = {}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions.timeframes import epoch_micros
 from tapeweave.operators.bars import ticks_to_bars
+from tapeweave.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +46,10 @@ def bars_1h(spark: SparkSession, sf_dir: str, label: str = "start") -> DataFrame
 
 
 def supplier_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One price per line item, by supplier and ship date."""
+    """One price per line item, by supplier and ship date. Times are whole days, so ``seq`` only
+    orders the items of a day."""
     lines = table(spark, sf_dir, "lineitem")
-    seq = (
-        shifted(F.unix_date(F.to_date("l_shipdate")), 27)
-        + shifted(F.col("l_orderkey"), 14)
-        + shifted(F.col("l_linenumber"), 12)
-        + wide(F.col("l_partkey"))
-    )
+    seq = shifted(F.col("l_orderkey") * 10 + F.col("l_linenumber"), 12) + wide(F.col("l_partkey"))
     return lines.select(
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
         F.col("l_shipdate").alias("ts"),
@@ -66,9 +63,19 @@ def bars_1d(spark: SparkSession, sf_dir: str, label: str = "start") -> DataFrame
     return ticks_to_bars(supplier_ticks(spark, sf_dir), "1d", label=label)
 
 
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of hourly bars: what analytics read, instead of all ticks again."""
+    return materialize(bars_1h(spark, sf_dir))
+
+
 def hourly_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars stamped when they close."""
-    return bars_1h(spark, sf_dir, label="close")
+    """The same, stamped when the bars close."""
+    return materialize(bars_1h(spark, sf_dir, label="close"))
+
+
+def daily_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of the suppliers' daily bars."""
+    return materialize(bars_1d(spark, sf_dir, label="close"))
 
 
 # The symbols of the event ticks, in order.
@@ -141,10 +148,14 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals_of(hourly_closed(spark, sf_dir))
+
+
+def signals_of(bars: DataFrame) -> DataFrame:
     """Signals without a model: momentum gives the side, the distance of RSI from 50 the probability."""
     from tapeweave.operators.indicators import add_indicators
 
-    f = add_indicators(hourly_closed(spark, sf_dir), "1h", ["macd_hist", "rsi_14"])
+    f = add_indicators(bars, "1h", ["macd_hist", "rsi_14"])
     return f.filter(F.col("macd_hist").isNotNull() & F.col("rsi_14").isNotNull()).select(
         "symbol", "ts",
         F.signum("macd_hist").cast("int").alias("direction"),

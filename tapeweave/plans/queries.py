@@ -97,7 +97,7 @@ def obv(spark, sf):
 def indicators_supplier(spark, sf):
     """Trend and volatility of the daily bars of every supplier."""
     cols = ["ret_1", "sma_20", "bb_width", "ema_12", "atr", "stoch_k", "cdl_doji"]
-    return rounded(add_indicators(fx.bars_1d(spark, sf, "close"), "1d", cols).select("symbol", "ts", *cols), 4)
+    return rounded(add_indicators(fx.daily_closed(spark, sf), "1d", cols).select("symbol", "ts", *cols), 4)
 
 
 # --- point in time ---------------------------------------------------------------------------
@@ -155,7 +155,7 @@ def flat_features(spark, sf):
 
 def _samples(spark, sf) -> DataFrame:
     return samples.build_samples(
-        fx.bars_1h(spark, sf), "1h", ["1h", "4h"], features=SAMPLE_FEATURES, **SAMPLE_OPTIONS
+        fx.hourly(spark, sf), "1h", ["1h", "4h"], features=SAMPLE_FEATURES, **SAMPLE_OPTIONS
     )
 
 
@@ -369,7 +369,8 @@ def fused_signals(spark, sf):
 
 
 def _context(spark, sf):
-    return trades.open_context(fx.hourly_closed(spark, sf), fx.signals(spark, sf), "1h", 12)
+    bars = fx.hourly_closed(spark, sf)
+    return trades.open_context(bars, fx.signals_of(bars), "1h", 12)
 
 
 def _plans(method):
@@ -397,7 +398,8 @@ def single_position(spark, sf):
 
 
 def _ledger(spark, sf):
-    return materialize(trades.trade_ledger(fx.hourly_closed(spark, sf), fx.signals(spark, sf), "1h", costs=STANDARD_COSTS))
+    bars = fx.hourly_closed(spark, sf)
+    return materialize(trades.trade_ledger(bars, fx.signals_of(bars), "1h", costs=STANDARD_COSTS))
 
 
 def trade_ledger(spark, sf):
@@ -440,7 +442,7 @@ def return_correlation(spark, sf):
 
 def return_correlation_suppliers(spark, sf):
     """Every pair of suppliers that traded on common days."""
-    returns = materialize(portfolio.simple_returns(fx.bars_1d(spark, sf, "close"), "1d"))
+    returns = materialize(portfolio.simple_returns(fx.daily_closed(spark, sf), "1d"))
     return rounded(portfolio.return_correlations(returns, min_rows=10), 4)
 
 
@@ -514,7 +516,7 @@ def walk_forward(spark, sf):
 
 def param_search(spark, sf):
     return models.search_params(
-        fx.bars_1h(spark, sf), "1h", ["1h"], SAMPLE_FEATURES, n_splits=2,
+        fx.hourly(spark, sf), "1h", ["1h"], SAMPLE_FEATURES, n_splits=2,
         trials=models.draw_trials(2), **SAMPLE_OPTIONS,
     )
 
@@ -600,7 +602,7 @@ def flagship(spark, sf):
 
 QUERIES = {
     "flagship": flagship,
-    "bars_1h": lambda spark, sf: rounded(fx.hourly_closed(spark, sf)),
+    "bars_1h": lambda spark, sf: rounded(fx.bars_1h(spark, sf, "close")),
     "bars_4h": _resampled("4h"),
     "bars_1d": _resampled("1d"),
     "bars_1w": _resampled("1w"),
