@@ -203,7 +203,7 @@ LABELS = f"{WINDOWED}, {atr_only('wf', 'af')}, {labelled('af', 'lab')}"
 
 def cleaned(source: str, out: str, cols: list[str]) -> str:
     keep = ", ".join(
-        f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), 0.0) AS {c}" for c in cols
+        f"coalesce(last_value(CAST({c} AS DOUBLE) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), 0.0) AS {c}" for c in cols
     )
     return f"{out} AS MATERIALIZED (SELECT symbol, ts, i, {keep} FROM {source})"
 

@@ -232,7 +232,7 @@ def upsert_news(spark, sf):
     store.upsert(rows.filter(F.col("ts") < F.lit(JAN(20)).cast("timestamp_ntz")))
     late = rows.filter(F.col("ts") >= F.lit(JAN(10)).cast("timestamp_ntz")).withColumn("source", F.concat("source", F.lit("+")))
     store.upsert(late)
-    return store.read().select("ts", "symbol", "headline", F.length("body").alias("n_body"), "source", "url")
+    return store.read().select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), "source", "url")
 
 
 def _stored_bars(spark, sf) -> BarTable:
@@ -248,7 +248,7 @@ def range_read(spark, sf):
 def news_range_read(spark, sf):
     store = NewsTable(spark, scratch(spark, "news"))
     store.upsert(_news_rows(spark, sf))
-    return store.read(["error"], JAN(3), JAN(25), ordered=True).select("ts", "symbol", "source", F.length("body").alias("n_body"))
+    return store.read(["error"], JAN(3), JAN(25), ordered=True).select("ts", "symbol", "source", F.length("body").cast("long").alias("n_body"))
 
 
 def series_coverage(spark, sf):
@@ -316,14 +316,14 @@ def news_canonical(spark, sf):
         "ts", "symbol", "headline", F.nullif("body", F.col("headline")).alias("body"),
         F.when(F.pmod("doc_id", F.lit(3)) != 0, F.col("source")).alias("source"),
     )
-    return schemas.canonical_news(n).select("ts", "symbol", "headline", F.length("body").alias("n_body"), "source", "url")
+    return schemas.canonical_news(n).select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), "source", "url")
 
 
 def news_csv(spark, sf):
     path = scratch(spark, "csv")
     n = fx.news(spark, sf).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "symbol", "headline", "body", "source")
     n.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return read_news_csv(spark, path).select("ts", "symbol", "headline", F.length("body").alias("n_body"), "source", "url")
+    return read_news_csv(spark, path).select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), "source", "url")
 
 
 def news_json(spark, sf):
@@ -526,13 +526,14 @@ def param_search(spark, sf):
 LATE = "2100-01-01 00:00:00"
 
 
-def _staged(spark, df: DataFrame, name: str, sentinel: dict) -> DataFrame:
+# Values of the far-future row that closes a stream; other columns are NULL.
+CLOSING = {"ts": LATE, "symbol": "END", "catalyst": "earnings", "strength": 1.0, "confidence": 1.0}
+
+
+def _staged(spark, df: DataFrame, name: str) -> DataFrame:
     """The rows as a file stream, closed by one far-future row that lets every window end."""
     path = scratch(spark, name)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    closing = df.limit(1).select(*[
-        F.lit(sentinel[c]).cast(types[c]).alias(c) if c in sentinel else F.col(c) for c in df.columns
-    ])
+    closing = spark.range(1).select(*[F.lit(CLOSING.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
     df.write.parquet(path)
     closing.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
@@ -554,7 +555,7 @@ def _wall(df: DataFrame) -> DataFrame:
 
 
 def stream_bars(spark, sf):
-    ticks = _staged(spark, fx.ticks(spark, sf), "ticks", {"ts": LATE})
+    ticks = _staged(spark, fx.ticks(spark, sf), "ticks")
     return rounded(_wall(_run(spark, jobs.bars_stream(ticks, "1 hour"), "bars")))
 
 
@@ -562,20 +563,20 @@ def stream_dedup(spark, sf):
     """Each story staged twice comes out once."""
     n = fx.news(spark, sf).select("ts", "symbol", "headline", "source")
     twice = n.unionByName(n)
-    source = _staged(spark, twice, "news", {"ts": LATE})
+    source = _staged(spark, twice, "news")
     return _wall(_run(spark, jobs.dedup_stream(source, "40 days"), "dedup")).select("ts", "symbol", "headline")
 
 
 def stream_catalysts(spark, sf):
-    source = _staged(spark, fx.news(spark, sf), "news", {"ts": LATE})
+    source = _staged(spark, fx.news(spark, sf), "news")
     out = _wall(_run(spark, jobs.catalyst_stream(source, lexicon=fx.LEXICON), "tags"))
     return rounded(out.select("doc_id", "symbol", "catalyst", "strength", "confidence"))
 
 
 def stream_boost(spark, sf):
-    signals = _staged(spark, materialize(fx.signals(spark, sf)), "signals", {"ts": LATE})
+    signals = _staged(spark, materialize(fx.signals(spark, sf)), "signals")
     tagged = cat.actionable_catalysts(fx.catalysts(spark, sf)).select("ts", "symbol", "catalyst", "strength", "confidence")
-    news = _staged(spark, materialize(tagged), "catalysts", {"ts": LATE})
+    news = _staged(spark, materialize(tagged), "catalysts")
     return rounded(_wall(_run(spark, jobs.boost_stream(signals, news), "boost")))
 
 
