@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.arith import finite
-from tapeweave.functions.timeframes import Timeframe, sort_labels
+from tapeweave.functions.timeframes import sort_labels
 from tapeweave.operators.asof import asof_join
 from tapeweave.operators.bars import close_labeled, fill_missing_bars, resample_bars
 from tapeweave.operators.indicators import FEATURE_COLUMNS, add_indicators, counting_span
