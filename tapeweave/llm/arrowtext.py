@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 #: A word is a maximal run of bytes outside ``[\x20\x09-\x0D]``.
 SPACE = np.zeros(256, bool)
@@ -92,3 +93,47 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def owners(bounds: np.ndarray) -> np.ndarray:
     """The text of every word."""
     return np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of every entry's value in order of first appearance, the values, and where each first stands."""
+    import pandas as pd
+
+    codes, values = pd.factorize(hashes)
+    first = np.zeros(values.size, np.int64)
+    first[codes[::-1]] = np.arange(codes.size - 1, -1, -1)
+    return codes, values, first
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the ranges of ``sizes`` from ``begins``, one after the other."""
+    upto = np.cumsum(sizes)
+    return np.arange(int(upto[-1]) if upto.size else 0) + np.repeat(begins - upto + sizes, sizes)
+
+
+class Ranges:
+    """Arrays of differing lengths kept one after the other in a growing buffer."""
+
+    def __init__(self, dtype):
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+        self.begin, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + flat.size > self.flat.size:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + sizes.size > self.begin.size:
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.size[self.n : self.n + sizes.size] = sizes
+        self.begin[self.n : self.n + sizes.size] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + flat.size] = flat
+        self.used, self.n = self.used + flat.size, self.n + sizes.size
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of the given numbers one after the other, and their sizes."""
+        sizes = self.size[index]
+        return self.flat[spread(self.begin[index], sizes)], sizes
+
+
+def grown(schema: T.StructType, **added: str) -> T.StructType:
+    """The schema with columns at its end."""
+    return T.StructType([*schema.fields, *[T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in added.items()]])

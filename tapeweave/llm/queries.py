@@ -2,18 +2,75 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapeweave.llm.langid import fit_languages, identify_languages
+from tapeweave.llm.media import encode_streams, stream_features
 from tapeweave.llm.mixing import mix_sources
+from tapeweave.llm.pieces import decode_pieces, encode_pieces
+from tapeweave.llm.tokenbin import read_tokens, write_tokens
+from tapeweave.llm.toxicity import fit_toxicity, score_toxicity
 from tapeweave.llm.urls import filter_urls
+from tapeweave.session import materialize, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(of: str, n: int) -> Column:
+    """The fold of a row: CRC-32 of the id as text; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(of).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 3) == 1
+    model = fit_languages(docs, ~held_out)
+    return identify_languages(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files/{uuid.uuid4().hex}"
+    files = write_tokens(_table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"))
+    return read_tokens(files, folder)
+
+
+def op5_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return stream_features(materialize(encode_streams(docs)))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 3) == 1
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op8_piece_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer_file("piece_bpe_32k.model")
+    hashed = docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
+    decoded = decode_pieces(encode_pieces(hashed, model), model, out="decoded")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "nbest", (F.md5("decoded") == F.col("text_md5")).alias("round_trip")
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "listed")
@@ -25,6 +82,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op4_token_files": op4_token_files,
+    "op5_transport_streams": op5_transport_streams,
+    "op6_toxicity": op6_toxicity,
+    "op8_piece_segments": op8_piece_segments,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
 }
