@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeweave.llm.arrowtext import grown, slices, text_bytes
+from tapeweave.session import materialize
 
 #: The answer for texts without letters and for texts that no centroid is near.
 UNKNOWN = "und"
@@ -54,12 +55,18 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Centroids with their language and the least cosine at which they accept a text."""
+    """Centroids with their language, and what cosine their texts have.
+
+    A long text of the centroid's language has about its ``peak``, a short one, with few n-grams, about
+    ``rate`` times the sum of its vector. A text is too far if its cosine is below ``accept`` times the lesser.
+    """
 
     langs: list[str]
     centroids: np.ndarray
-    floors: np.ndarray
+    peak: np.ndarray
+    rate: np.ndarray
     idf: np.ndarray
+    accept: float
 
     def vectors(self, texts: pa.Array) -> np.ndarray:
         """Unit TF-IDF vectors; counts enter by 1 + log."""
@@ -70,36 +77,37 @@ class LanguageModel:
         lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        cosine = self.vectors(texts) @ self.centroids.T
+        x = self.vectors(texts)
+        cosine = x @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = cosine[np.arange(len(texts)), best]
-        sure = lettered & (score >= self.floors[best])
+        sure = lettered & (score >= self.accept * np.minimum(self.peak[best], self.rate[best] * x.sum(1)))
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best, sure)], np.where(lettered, np.clip(score, 0, 1), 0.0)
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the mean's nearest row, then always the row farthest from all chosen."""
-    chosen = [int((x @ x.mean(0)).argmax())]
-    near = x @ x[chosen[0]]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    centroids = x[chosen]
+def _cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.02) -> np.ndarray:
+    """Spherical k-means, started from rows spread evenly by their cosine to the mean.
+
+    Clusters with less than the share ``least`` of the rows are mislabelled or odd texts; they are dropped.
+    """
+    order = np.argsort(x @ x.mean(0), kind="stable")
+    centroids = x[order[(np.arange(min(k, len(x))) * 2 + 1) * len(x) // (2 * min(k, len(x)))]]
     for _ in range(rounds):
         of = (x @ centroids.T).argmax(1)
         centroids = unit_rows(np.stack([x[of == j].sum(0) if (of == j).any() else centroids[j] for j in range(len(centroids))]))
-    return centroids
+    sizes = np.bincount((x @ centroids.T).argmax(1), minlength=len(centroids))
+    return centroids[sizes >= min(least * len(x), sizes.max())]
 
 
 def fit_languages(
     docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", dims: int = 4096, centroids: int = 4,
-    per_lang: int = 400, floor: float = 0.4,
+    per_lang: int = 400, accept: float = 0.2,
 ) -> LanguageModel:
     """Centroids learned from the rows of ``train`` that have a language and a text.
 
     Document frequencies count all training rows, summed per task first. Each language is clustered on a
-    sample of about ``per_lang`` rows, those whose text hashes below a bound. A centroid accepts texts whose
-    cosine is at least ``floor`` times the median cosine of its own sample rows.
+    sample of about ``per_lang`` rows, those whose text hashes below a bound. ``accept`` is the share of the
+    cosine to expect below which a text is rejected.
     """
     rows = docs.filter(train).select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
 
@@ -118,10 +126,7 @@ def fit_languages(
             schema=pa.schema([("seen", pa.list_(pa.int64())), ("total", pa.int64()), ("langs", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]),
         )
 
-    parts = rows.mapInArrow(frequencies, "seen array<bigint>, total bigint, langs array<string>, counts array<bigint>")
-    from tapeweave.session import materialize
-
-    parts = materialize(parts)
+    parts = materialize(rows.mapInArrow(frequencies, "seen array<bigint>, total bigint, langs array<string>, counts array<bigint>"))
     # One row per n-gram bucket, and one per language.
     seen = dict(parts.select(F.posexplode("seen").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect())
     total = parts.agg(F.sum("total")).first()[0] or 0
@@ -129,7 +134,7 @@ def fit_languages(
         parts.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy("x.langs").agg(F.sum("x.counts")).collect()
     )
     idf = np.log((1 + total) / (1 + np.array([seen.get(i, 0) for i in range(dims)]))) + 0.05
-    model = LanguageModel([], np.zeros((0, dims)), np.zeros(0), idf)
+    model = LanguageModel([], np.zeros((0, dims)), np.zeros(0), np.zeros(0), idf, accept)
     if not per:
         return model
     share = F.create_map(*[F.lit(v) for name, n in sorted(per.items()) for v in (name, min(1.0, per_lang / n))])
@@ -156,10 +161,11 @@ def fit_languages(
         c = _cluster(x, centroids)
         cosine = x @ c.T
         of = cosine.argmax(1)
-        middle = [np.median(cosine[of == j, j]) if (of == j).any() else np.median(cosine.max(1)) for j in range(len(c))]
+        own = [of == j if (of == j).any() else np.ones(len(x), bool) for j in range(len(c))]
         model.langs += [name] * len(c)
         model.centroids = np.vstack([model.centroids, c])
-        model.floors = np.concatenate([model.floors, floor * np.array(middle)])
+        model.peak = np.append(model.peak, [np.median(cosine[m, j]) for j, m in enumerate(own)])
+        model.rate = np.append(model.rate, [np.median(cosine[m, j] / np.maximum(x[m].sum(1), 1e-9)) for j, m in enumerate(own)])
     return model
 
 
