@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeweave.llm.embeddings import link_vectors
 from tapeweave.llm.langid import fit_languages, identify_languages
 from tapeweave.llm.media import encode_streams, stream_features
+from tapeweave.llm.minhash import duplicate_classes
 from tapeweave.llm.mixing import mix_sources
 from tapeweave.llm.pieces import decode_pieces, encode_pieces
 from tapeweave.llm.tokenbin import read_tokens, write_tokens
@@ -27,6 +29,15 @@ def remainder(of: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(of).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicate_classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder("doc_id", 3) == 1
@@ -82,6 +93,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_near_vectors": op2_near_vectors,
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_transport_streams": op5_transport_streams,
