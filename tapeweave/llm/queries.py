@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeweave.llm.embeddings import link_vectors
 from tapeweave.llm.langid import fit_languages, identify_languages
 from tapeweave.llm.media import encode_streams, stream_features
+from tapeweave.llm.lm import score_texts
 from tapeweave.llm.minhash import duplicate_classes
 from tapeweave.llm.mixing import mix_sources
 from tapeweave.llm.pieces import decode_pieces, encode_pieces
@@ -72,6 +73,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_piece_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_file("piece_bpe_32k.model")
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_transport_streams": op5_transport_streams,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_score": op7_lm_score,
     "op8_piece_segments": op8_piece_segments,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
