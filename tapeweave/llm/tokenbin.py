@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeweave.llm.arrowtext import Ranges, distinct, slices, text_bytes, word_hashes, word_spans
+from tapeweave.llm.arrowtext import LOWER, Ranges, distinct, slices, text_bytes, word_hashes, word_spans
 
 MAGIC = b"EFTOK1\x00\x00"
 #: Ones between the sampled positions of a select structure.
@@ -137,14 +137,15 @@ class Segment:
 
 
 class WordTokenizer:
-    """Ids of whole texts, encoded by the library word by word and remembered.
+    """Ids of whole texts, encoded by the library part by part and remembered.
 
-    The tokenizer's normaliser and pre-tokenizer drop white space and never join across it, so the ids of a
-    text are those of its words in order. Words are told apart by 64-bit hashes; the memory holds at most
-    ``most`` words.
+    The tokenizer lowers case, drops white space, and never joins letters with marks, so the ids of a text are
+    those of its words in order, and of a word's runs of ASCII letters and of marks (other than the
+    apostrophe, which contractions keep). Only a special token's name joins them; where one may stand, words
+    stay whole. Parts are told apart by 64-bit hashes; the memory holds at most ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -185,7 +186,10 @@ class WordTokenizer:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the end offset of each text."""
         data, offsets = text_bytes(texts)
+        data = LOWER[data]
         starts, ends, bounds = word_spans(data, offsets)
+        if data.size and not ((data[:-1] == 60) & (data[1:] == 124)).any():
+            starts, ends, bounds = _parts(data, offsets, starts, ends)
         codes, hashes, first = distinct(word_hashes(data, starts, ends))
         keys = hashes.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.index]
@@ -208,6 +212,24 @@ class WordTokenizer:
         return out, stops
 
 
+#: 1 for ASCII letters, 2 for ASCII marks other than the apostrophe.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_KIND[39] = 0
+_KIND[97:123] = 1
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut between letters and marks."""
+    kind = _KIND[data]
+    cut = np.zeros(data.size + 1, bool)
+    cut[1:-1] = (kind[1:] + kind[:-1] == 3) & (kind[1:] != 0) & (kind[:-1] != 0)
+    cut[offsets] = False
+    cuts = np.flatnonzero(cut)
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
