@@ -202,7 +202,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def duplicate_classes(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, estimate: float = ESTIMATE, first_leaders: int = 8,
 ) -> DataFrame:
-    """Class of every row: columns id, key (MD5 of the text) and class_id, the least id of the class.
+    """Class of every row: columns id, key (MD5 of the text), class_id, the least id of the class, and
+    class_node, which tells classes apart where ids repeat.
 
     Equal texts are one node. Nodes that share a band are candidates; a pair is linked if the weighted
     Jaccard similarity of its shingles, counted on whole texts, is at least ``similarity``. Classes are the
@@ -271,7 +272,7 @@ def duplicate_classes(
         classes = classes.withColumnRenamed("node", "root")
     classes = materialize(classes)
     least = classes.groupBy("root").agg(F.min("id").alias("class_id"))
-    known = classes.join(least, "root").select(F.col("key").alias("_k"), "class_id")
+    known = classes.join(least, "root").select(F.col("key").alias("_k"), "class_id", F.col("root").alias("class_node"))
     return sketches.select("id", "key").join(known, F.col("key") == F.col("_k"), "left").select(
-        F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")
+        F.col("id").alias(id_col), "key", "class_node", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")
     )

@@ -73,7 +73,7 @@ def _cut(copies: DataFrame, total: int, slots: int) -> tuple[float, int, int] |
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
-    weights: int = 3, most: int = 3, slots: int = 1024,
+    weights: int = 3, most: int = 3, slots: int = 1024, row: str | None = None,
 ) -> DataFrame:
     """How often the mix takes each document: id, source, size, source_size, target, copies and taken.
 
@@ -87,11 +87,13 @@ def mix_sources(
     ordered copy by copy. What reaches the driver is the cut, a few numbers.
 
     Null and empty texts have size 0 and are never taken; a null source is a source; null ids shuffle like an
-    empty one; each repeated row counts. Other columns are not read. Empty input gives no rows.
+    empty one; each repeated row counts. ``row`` names a column that comes out as it is, to find rows again;
+    others are not read. Empty input gives no rows.
     """
+    extra = [row] if row else []
     sized = materialize(docs.select(
         F.col(id_col).alias("_id"), F.col(source).alias("_source"), text_size(F.col(text)).alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key"), *extra,
     ))
     targets = materialize(source_targets(sized, "_source", weights, most))
     slot = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * slots / F.lit(2.0**32)).cast("int")
@@ -107,7 +109,7 @@ def mix_sources(
     ended = materialize(
         placed.withColumn("_end", F.sum("size").over(inside))
         .join(known, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_at")))
-        .select("_id", "_source", "size", "source_size", "target", "_total", (F.col("_before") + F.col("_end")).alias("_end"))
+        .select("_id", "_source", "size", "source_size", "target", "_total", (F.col("_before") + F.col("_end")).alias("_end"), *extra)
     )
     passes = range(most)
     finish = [(copy * F.col("source_size") + F.col("_end")) / F.col("target") for copy in passes]
@@ -139,5 +141,5 @@ def mix_sources(
     taken = F.when(F.col("size") > 0, count).otherwise(0).cast("long")
     return ended.select(
         F.col("_id").alias(id_col), F.col("_source").alias(source), "size", "source_size", "target", taken.alias("copies"),
-        (F.col("size") * taken).alias("taken"),
+        (F.col("size") * taken).alias("taken"), *extra,
     )
