@@ -225,7 +225,7 @@ class PieceModel:
 class Segmenter:
     """Segments texts unit by unit and remembers at most ``most`` units; units are told apart by 64-bit hashes."""
 
-    def __init__(self, path: str, n: int, most: int = 300_000):
+    def __init__(self, path: str, n: int, most: int = 250_000):
         self.model, self.n, self.most = PieceModel(path), n, most
         self.reset()
 
@@ -246,8 +246,8 @@ class Segmenter:
                 self.scores, self.gaps = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.gaps))
             self.scores[start : self.ids.n], self.gaps[start : self.ids.n] = scores, gaps
 
-    def segment(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
-        """Best ids of all texts, where each text's ids end, and the ranked segmentations of each."""
+    def segment(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[dict]], np.ndarray]:
+        """Best ids of all texts, where each text's ids end, the ranked segmentations, and whether decoding gives the text."""
         data, offsets = text_bytes(texts)
         data, bounds = _prefixed(data, offsets)
         starts, ends, cuts = _units(data, bounds)
@@ -279,8 +279,9 @@ class Segmenter:
                 near = near[np.argsort(here[near], kind="stable")][:want]
                 near = near[np.isfinite(here[near])]
                 combos: list[tuple[float, tuple]] = [(0.0, ())]
+                found = {}
                 for u in near.tolist():
-                    options = self._alternatives(int(numbers[a + u]), raw[starts[a + u] : ends[a + u]])
+                    options = found[a + u] = self._alternatives(int(numbers[a + u]), raw[starts[a + u] : ends[a + u]])
                     top = options[0][0]
                     combos = sorted(
                         ((loss + top - s, (*changes, (a + u, r)) if r else changes) for loss, changes in combos for r, (s, _) in enumerate(options)),
@@ -288,14 +289,23 @@ class Segmenter:
                 for loss, changes in combos[1:]:
                     parts, done = [], upto[a]
                     for u, r in sorted(changes):
-                        parts += [flat[done : upto[u]], np.array(self.searched[int(numbers[u])][r][1], np.int32)]
+                        parts += [flat[done : upto[u]], np.array(found[u][r][1], np.int32)]
                         done = upto[u + 1]
                     out.append(_row(best - loss, np.concatenate([*parts, flat[done : upto[b]]])))
             ranked.append(out)
-        return flat, upto[cuts[1:]], ranked
+        stops = upto[cuts[1:]]
+        raw_ids, sizes = self.model.text.take(flat)
+        if np.array_equal(raw_ids, data):
+            same = np.ones(len(texts), bool)
+        else:
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], stops])]
+            same = np.array([np.array_equal(raw_ids[ends[t] : ends[t + 1]], data[bounds[t] : bounds[t + 1]]) for t in range(len(texts))], bool)
+        return flat, stops, ranked, same
 
     def _alternatives(self, number: int, raw: bytes) -> list[tuple[float, list[int]]]:
         if number not in self.searched:
+            if len(self.searched) >= self.most // 8:
+                self.searched.clear()
             self.searched[number] = self.model.n_best(raw.decode("utf-8", "surrogatepass"), self.n)
         return self.searched[number]
 
@@ -329,19 +339,22 @@ _segmenters: dict[tuple[str, int], Segmenter] = {}
 NBEST = "array<struct<score:double,n_tokens:bigint,ids_crc32:bigint>>"
 
 
-def encode_pieces(docs: DataFrame, model: str, n: int = 3, text: str = "text", out: str = "ids", ranked: str = "nbest") -> DataFrame:
-    """Replaces the text by the ids of its best segmentation and the ``n`` best ones' score, length and CRC-32.
+def encode_pieces(
+    docs: DataFrame, model: str, n: int = 3, text: str = "text", out: str = "ids", ranked: str = "nbest", same: str = "round_trip",
+) -> DataFrame:
+    """Replaces the text by the ids of its best segmentation, the ``n`` best ones' score, length and CRC-32, and
+    whether decoding the ids gives the text back.
 
     The whole text is segmented, with the space that the model puts before it; spaces and line ends stay.
     Characters without a piece become their UTF-8 bytes, also the letter that pieces use for a space, so
-    decoding gives every text back. Null and empty texts have no ids and one segmentation of score 0. Fewer
+    ``decode_pieces`` gives every text back; the same table decodes here, next to the encoded ids. Null and empty texts have no ids and one segmentation of score 0. Fewer
     than ``n`` are listed where a text has fewer. A text's n best differ from its best one in the n - 1 units
     whose second choice costs least, so only those are searched.
     """
-    kept = docs.drop(*[c for c in (out, ranked) if c != text])
+    kept = docs.drop(*[c for c in (out, ranked, same) if c != text])
     names = kept.columns
     others = [c for c in names if c != text]
-    schema = grown(kept.select(*others).schema, **{out: "array<int>", ranked: NBEST})
+    schema = grown(kept.select(*others).schema, **{out: "array<int>", ranked: NBEST, same: "boolean"})
     kind = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,11 +363,12 @@ def encode_pieces(docs: DataFrame, model: str, n: int = 3, text: str = "text", o
         segmenter = _segmenters[model, n]
         for batch in batches:
             texts = batch.column(names.index(text))
-            for a, b in slices(texts):
-                flat, stops, rows = segmenter.segment(texts.slice(a, b - a))
+            for a, b in slices(texts, limit=1 << 20):
+                flat, stops, rows, back = segmenter.segment(texts.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(names.index(c)).slice(a, b - a) for c in others], lists, pa.array(rows, kind)], [*others, out, ranked]
+                    [*[batch.column(names.index(c)).slice(a, b - a) for c in others], lists, pa.array(rows, kind), pa.array(back)],
+                    [*others, out, ranked, same],
                 )
 
     return kept.mapInArrow(encode, schema)

@@ -14,7 +14,7 @@ from tapeweave.llm.media import encode_streams, stream_features
 from tapeweave.llm.lm import score_texts
 from tapeweave.llm.minhash import duplicate_classes
 from tapeweave.llm.mixing import mix_sources
-from tapeweave.llm.pieces import decode_pieces, encode_pieces
+from tapeweave.llm.pieces import encode_pieces
 from tapeweave.llm.tokenbin import read_tokens, write_tokens
 from tapeweave.llm.toxicity import fit_toxicity, score_toxicity
 from tapeweave.llm.urls import filter_urls
@@ -80,12 +80,8 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_piece_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = tokenizer_file("piece_bpe_32k.model")
-    hashed = docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-    decoded = decode_pieces(encode_pieces(hashed, model), model, out="decoded")
-    return decoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "nbest", (F.md5("decoded") == F.col("text_md5")).alias("round_trip")
-    )
+    segmented = encode_pieces(docs, tokenizer_file("piece_bpe_32k.model"))
+    return segmented.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "nbest", "round_trip")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
