@@ -35,7 +35,7 @@ def utc_ntz(col):
 
 
 def keep_last(df: DataFrame, keys: list[str], arrival) -> DataFrame:
-    """One row per key, the one that arrived last; equal arrivals are settled by the row's values.
+    """One row per key, the one that arrived last; equal arrivals are settled by a hash of the row.
 
     An aggregate rather than a ranked window: copies of one key collapse on the map side,
     so a key that holds a third of all rows never meets in one task.
@@ -43,7 +43,7 @@ def keep_last(df: DataFrame, keys: list[str], arrival) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(arrival, *rest)).alias("_kept"))
+        .agg(F.max_by(F.struct(*rest), F.struct(arrival, F.xxhash64(*rest))).alias("_kept"))
         .select(*[F.col(k) for k in keys], "_kept.*")
         .select(*df.columns)
     )

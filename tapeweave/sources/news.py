@@ -10,12 +10,13 @@ from tapeweave.schemas import canonical_news
 from tapeweave.sources.tables import range_filter
 
 
-def read_news_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_news_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """News from CSV files with a header: timestamp, symbol, headline and optionally body, source, url.
 
-    Times without an offset are UTC; a malformed time raises.
+    Times without an offset are UTC; a malformed time raises. ``multi_line`` allows line ends inside quoted
+    fields, at the price of one task per file.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     at = F.to_timestamp(F.col("timestamp"))
     ts = F.to_utc_timestamp(at, F.current_timezone()).cast("timestamp_ntz")
     return canonical_news(raw.withColumn("ts", ts))

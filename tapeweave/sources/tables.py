@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,9 @@ def merge_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> Dat
     both = stored.select(*columns, F.lit(0).alias("_new"), F.lit(0).cast("long").alias("_arrival")).unionByName(
         incoming.select(*columns, F.lit(1).alias("_new"), arrival.cast("long").alias("_arrival"))
     )
+    # Rows are ordered by a hash of their values, so each travels once.
     merged = both.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct("_new", "_arrival", *rest)).alias("_row"),
+        F.max_by(F.struct(*rest), F.struct("_new", "_arrival", F.xxhash64(*rest).alias("_hash"))).alias("_row"),
         F.min("_new").alias("_least"),
         F.max("_new").alias("_most"),
     )
@@ -52,8 +53,20 @@ def range_filter(df: DataFrame, start: datetime | None, end: datetime | None) ->
     return df
 
 
+def touched_months(rows: DataFrame) -> tuple[list[tuple[int, int]], Column]:
+    """The months of ``rows`` (year, month columns), one small pair each, and their partition filter."""
+    months = sorted((r["year"], r["month"]) for r in rows.select("year", "month").distinct().collect())
+    test = F.lit(False)
+    for year, month in months:
+        test = test | ((F.col("year") == year) & (F.col("month") == month))
+    return months, test
+
+
 class Table:
-    """A Parquet table in partition folders, read by range and written by upsert."""
+    """A Parquet table in partition folders, read by range and written by upsert.
+
+    One writer at a time; any number of readers.
+    """
 
     schema: T.StructType
     series: list[str]
@@ -69,14 +82,59 @@ class Table:
     def exists(self) -> bool:
         return path_exists(self.spark, self.root)
 
+    @property
+    def journal(self) -> str:
+        """Names the staged folders of an upsert from before its first change of the table until after its last."""
+        return f"{self.root}-upserting"
+
+    def pending(self) -> str | None:
+        """The staged rows of an upsert that has not ended, if there is one."""
+        if not path_exists(self.spark, self.journal):
+            return None
+        row = self.spark.read.text(self.journal).first()
+        return row["value"] if row else None
+
     def scan(self) -> DataFrame:
-        """All rows with their partition columns, under the declared schema."""
+        """All rows with their partition columns, under the declared schema.
+
+        While an upsert is under way, or after one was cut off, the folders it replaces are read from its
+        staged rows, which hold all of theirs.
+        """
         full = T.StructType([
             *self.schema.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())
         ])
-        if not self.exists():
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(self.root)
+        stored = self.spark.read.schema(full).parquet(self.root) if self.exists() else self.spark.createDataFrame([], full)
+        staged = self.pending()
+        if staged is None:
+            return stored
+        merged = self.spark.read.schema(full).parquet(staged)
+        rest = stored.join(merged.select(*self.partitions).distinct(), self.partitions, "left_anti")
+        return rest.select(*full.names).unionByName(merged)
+
+    def recover(self) -> bool:
+        """End an upsert that was cut off, from its staged rows; says whether there was one."""
+        staged = self.pending()
+        if staged is None:
+            # A journal without text was cut off before anything changed.
+            drop_path(self.spark, self.journal)
+            return False
+        self._replace(staged)
+        drop_path(self.spark, self.journal)
+        drop_path(self.spark, staged)
+        return True
+
+    def _replace(self, staged: str) -> None:
+        """Replace the folders of the staged rows; doing it again gives the same folders."""
+        (
+            # Rebalanced by folder: small folders share a task, a folder that is too big is split.
+            self.spark.read.parquet(staged).drop("change")
+            .hint("rebalance", *[F.col(c) for c in self.partitions])
+            .sortWithinPartitions(*self.partitions, "ts")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*self.partitions)
+            .parquet(self.root)
+        )
 
     def read(
         self, symbols: list[str] | None = None, start: datetime | None = None, end: datetime | None = None,
@@ -105,26 +163,20 @@ class Table:
     def upsert(self, df: DataFrame) -> DataFrame:
         """Merge rows by key, the new row winning, and report what changed per series.
 
-        Only the month folders that receive rows are read and rewritten. The merged rows are
-        written to the shared folder first, since Spark cannot overwrite what it is reading; the
-        final write replaces those folders in one commit. Doing it again changes nothing.
+        Only the month folders that receive rows are read and rewritten: the months, a pair of numbers
+        each, are a partition filter of the scan. The merged rows are written to the shared folder first,
+        then a journal names them, then the folders are replaced, then the journal goes. An upsert that is
+        cut off before the journal has changed nothing; one that is cut off later is ended by the next
+        upsert (``recover``), and reads see it as done. Doing it again changes nothing.
         """
+        self.recover()
         incoming, incoming_path = stage(
             self.canonical(df).withColumns({"year": F.year("ts"), "month": F.month("ts")})
         )
-        touched = incoming.select(*self.partitions).distinct()
-        stored = self.scan().join(touched, self.partitions, "left_semi")
-        merged, merged_path = stage(merge_upsert(stored, incoming, self.keys))
-        (
-            # Rebalanced by folder: small folders share a task, a folder that is too big is split.
-            merged.drop("change")
-            .hint("rebalance", *[F.col(c) for c in self.partitions])
-            .sortWithinPartitions(*self.partitions, "ts")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*self.partitions)
-            .parquet(self.root)
-        )
+        merged, merged_path = stage(self._merged(incoming))
+        self.spark.createDataFrame([(merged_path,)], "value string").coalesce(1).write.mode("overwrite").text(self.journal)
+        self._replace(merged_path)
+        drop_path(self.spark, self.journal)
         report = merged.groupBy(*self.series).agg(
             F.count_if(F.col("change") == "inserted").alias("inserted"),
             F.count_if(F.col("change") == "updated").alias("updated"),
@@ -137,6 +189,14 @@ class Table:
         return out
 
 
+    def _merged(self, incoming: DataFrame) -> DataFrame:
+        """Incoming rows merged with those of the folders they go to."""
+        touched = incoming.select(*self.partitions).distinct()
+        _, in_months = touched_months(incoming)
+        stored = self.scan().filter(in_months).join(touched, self.partitions, "left_semi")
+        return merge_upsert(stored, incoming, self.keys)
+
+
 class BarTable(Table):
     schema = BAR_SCHEMA
     series = ["symbol", "timeframe"]

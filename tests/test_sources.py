@@ -1,4 +1,5 @@
 import json
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from tapeweave.operators import catalysts as cat
 from tapeweave.schemas import canonical_news, empty_news
 from tapeweave.sources import loads
 from tapeweave.sources.news import news_from_json, news_slice, read_news_csv
-from tapeweave.sources.tables import BarTable, NewsTable
+from tapeweave.sources.tables import BarTable, NewsTable, touched_months
 
 NEWS = "ts timestamp_ntz, symbol string, headline string, body string, source string, url string"
 JUNE, JULY = datetime(2024, 6, 28, 12), datetime(2024, 7, 2, 9)
@@ -56,6 +57,48 @@ def test_upsert_leaves_other_months_alone(spark, tmp_path):
     assert table.read().count() == 720
 
 
+def test_upsert_reads_only_its_months(spark, tmp_path, capsys):
+    table = BarTable(spark, str(tmp_path / "bars"))
+    later = [(s, t + timedelta(days=40), *x) for s, t, *x in minute_rows()]
+    table.upsert(bars(spark, minute_rows() + later))
+    incoming = bars(spark, later[:3]).withColumns({"year": F.year("ts"), "month": F.month("ts")})
+    stored = table.scan().filter(touched_months(incoming)[1])
+    assert {p.split("month=")[1][0] for p in (r[0] for r in stored.select(F.input_file_name()).distinct().collect())} == {"7"}
+    table._merged(incoming).explain()
+    filters = capsys.readouterr().out.split("PartitionFilters: [")[1]
+    assert "= 2024), (mon" in filters.split("PushedFilters")[0]
+
+
+def test_an_upsert_that_is_cut_off_loses_nothing(spark, tmp_path, monkeypatch):
+    root = tmp_path / "bars"
+    table = BarTable(spark, str(root))
+    table.upsert(bars(spark))
+    changed = bars(spark, [(s, t, 1.0, 1.0, 1.0, 1.0, 1.0) for s, t, *_ in minute_rows()[:5]])
+
+    def cut_off(self, staged):
+        shutil.rmtree(next(root.rglob("month=6")))  # the old folder is gone, the new one not there
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(BarTable, "_replace", cut_off)
+        with pytest.raises(RuntimeError, match="lost"):
+            table.upsert(changed)
+    again = BarTable(spark, str(root))
+    closes = lambda: [r["close"] for r in again.read(ordered=True).collect()]
+    assert len(closes()) == 360 and closes()[:5] == [1.0] * 5
+    report = again.upsert(changed).first()
+    assert (report["inserted"], report["updated"], report["total"]) == (0, 5, 360)
+    assert len(closes()) == 360 and closes()[:5] == [1.0] * 5 and again.pending() is None
+
+
+def test_an_upsert_cut_off_before_its_journal_changes_nothing(spark, tmp_path):
+    table = BarTable(spark, str(tmp_path / "bars"))
+    table.upsert(bars(spark))
+    (tmp_path / "bars-upserting").mkdir()
+    assert table.pending() is None and table.read().count() == 360 and not table.recover()
+    assert not (tmp_path / "bars-upserting").exists()
+
+
 def test_partition_filters_reach_the_scan(spark, tmp_path, capsys):
     table = BarTable(spark, str(tmp_path / "bars"))
     table.upsert(bars(spark))
