@@ -22,7 +22,7 @@ def asof_join(
     ``rights`` maps a suffix to a frame; its columns come out as ``column_suffix``. Right times
     must be unique per key. All frames are stacked and scanned once, so one shuffle serves any
     number of right frames, no pair of rows is ever formed, and a long series is cut into time
-    blocks of ``block_seconds``.
+    blocks of ``block_seconds``. The left frame is read once, the right ones twice.
     """
     payload = {s: [c for c in r.columns if c not in (*keys, ts)] for s, r in rights.items()}
     types = {
@@ -50,6 +50,7 @@ def asof_join(
     found = block_scan(
         stacked, keys, [ts, "_side"], [time_block(ts, block_seconds)],
         {f"_hit_{s}": ("last", F.col(f"_row_{s}")) for s in rights},
+        givers=F.col("_side") == 0,
     ).filter(F.col("_side") == 1)
     return found.select(
         *left.columns,

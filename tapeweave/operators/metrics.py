@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.arith import zero_null
-from tapeweave.operators.scan import time_block
+from tapeweave.operators.scan import range_blocks
 
 EXIT_ORDER = ["exit_time", "signal_ts", "symbol"]
 
@@ -50,9 +50,9 @@ def _climb(df: DataFrame, keys: list[str], order: list[str], blocks: list[Column
 def equity_curve(ledger: DataFrame, initial: float = 100_000.0, by: list[str] = []) -> DataFrame:
     """Ledger with ``equity`` after each exit, ``peak`` so far, ``drawdown``, and the return on the
     equity before the trade. Order: exit time, then signal time and symbol. Trades are summed
-    inside their minute, minutes inside their day, and days in a row."""
-    levels = [time_block("exit_time", 86400), time_block("exit_time", 60)]
-    climbed = _climb(ledger, by, EXIT_ORDER, levels, "pnl", "pnl")
+    inside ranges of that order, and the ranges in a row."""
+    ranged = range_blocks(ledger, [*by, *EXIT_ORDER])
+    climbed = _climb(ranged, by, EXIT_ORDER, [F.col("_range")], "pnl", "pnl").drop("_range")
     before = initial + F.col("_before")
     return climbed.withColumns({
         "equity": before + F.col("pnl"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions.arith import zero_null
 from tapeweave.operators.indicators import add_indicators
-from tapeweave.operators.scan import block_scan, time_block
+from tapeweave.operators.scan import block_scan, range_blocks, time_block
 from tapeweave.session import materialize
 
 TILE = 512
@@ -130,10 +130,9 @@ def correlation_lookup(pairs: DataFrame, correlations: DataFrame) -> DataFrame:
 
 def daily_pnl(ledger: DataFrame) -> DataFrame:
     """Ledger with ``day`` and ``day_pnl``, the result realised on the exit's day so far."""
-    return block_scan(
-        ledger.withColumn("day", F.to_date("exit_time")), ["day"], ["exit_time", "signal_ts", "symbol"],
-        [time_block("exit_time", 60)], {"day_pnl": ("sum", F.col("pnl"))},
-    )
+    order = ["exit_time", "signal_ts", "symbol"]
+    ranged = range_blocks(ledger.withColumn("day", F.to_date("exit_time")), order)
+    return block_scan(ranged, ["day"], order, [F.col("_range")], {"day_pnl": ("sum", F.col("pnl"))}).drop("_range")
 
 
 @dataclass(frozen=True)
@@ -174,9 +173,10 @@ def open_state(ledger: DataFrame) -> DataFrame:
         F.lit(-1).alias("count"), (-risk).alias("risk"), pnl.alias("gain"),
         F.lit(None).cast(opens.schema["row"].dataType).alias("row"),
     )
-    events = opens.unionByName(closes).withColumn("_day", F.to_date("ts"))
+    order = ["ts", "kind", "symbol", "signal_ts"]
+    events = range_blocks(opens.unionByName(closes).withColumn("_day", F.to_date("ts")), order)
     swept = block_scan(
-        events, ["_day"], ["ts", "kind", "symbol", "signal_ts"], [time_block("ts", 60)],
+        events, ["_day"], order, [F.col("_range")],
         {"_count": ("sum", F.col("count")), "_risk": ("sum", F.col("risk")), "_gain": ("sum", F.col("gain"))},
         inclusive=False,
     )
@@ -200,10 +200,9 @@ def _correlated_open(ledger: DataFrame, correlations: DataFrame, limit: float) -
     Only strong pairs matter, so each trade asks about its own symbol's strong partners; each
     question is an as-of lookup in the partner's trades.
     """
-    strong = correlations.filter(F.abs("correlation") >= limit)
-    partners = strong.select(F.col("symbol_a").alias("symbol"), F.col("symbol_b").alias("partner")).unionByName(
-        strong.select(F.col("symbol_b").alias("symbol"), F.col("symbol_a").alias("partner"))
-    )
+    ways = [F.struct(F.col(f"symbol_{a}").alias("symbol"), F.col(f"symbol_{b}").alias("partner")) for a, b in ("ab", "ba")]
+    # Stored: the scan below reads what depends on it more than once.
+    partners = materialize(correlations.filter(F.abs("correlation") >= limit).select(F.inline(F.array(*ways))))
     trade = F.struct(F.col("signal_ts").alias("opened"), F.col("exit_time").alias("until"))
     held = ledger.select(
         F.col("symbol").alias("partner"), "signal_ts", F.col("symbol").alias("who"), trade.alias("trade"), F.lit(0).alias("ask")
@@ -223,6 +222,17 @@ def _correlated_open(ledger: DataFrame, correlations: DataFrame, limit: float) -
     ).select("symbol", "signal_ts", F.col("_first.partner").alias("partner"))
 
 
+# The reasons as they are reported, in the order in which limits are tried.
+BREACHES = {
+    "symbol": "symbol already open",
+    "count": "max concurrent positions",
+    "loss": "daily loss limit reached",
+    "exposure": "symbol exposure cap",
+    "risk": "total risk budget",
+    "correlated": "correlated with open ",
+}
+
+
 def limit_breaches(
     ledger: DataFrame, equity: float = 100_000.0, limits: Limits = Limits(), correlations: DataFrame | None = None
 ) -> DataFrame:
@@ -233,16 +243,16 @@ def limit_breaches(
     state = open_state(ledger)
     notional = F.col("quantity") * F.col("entry")
     reason = (
-        F.when(F.col("symbol_open"), "symbol already open")
-        .when(F.col("open_count") >= limits.max_concurrent_positions, "max concurrent positions")
-        .when(F.col("realised_today") <= -abs(limits.max_daily_loss_pct) * equity, "daily loss limit reached")
-        .when(notional > limits.max_symbol_exposure_pct * equity + 1e-6, "symbol exposure cap")
-        .when(F.col("open_risk") + F.col("risk_amount") > limits.max_total_risk_pct * equity + 1e-6, "total risk budget")
+        F.when(F.col("symbol_open"), BREACHES["symbol"])
+        .when(F.col("open_count") >= limits.max_concurrent_positions, BREACHES["count"])
+        .when(F.col("realised_today") <= -abs(limits.max_daily_loss_pct) * equity, BREACHES["loss"])
+        .when(notional > limits.max_symbol_exposure_pct * equity + 1e-6, BREACHES["exposure"])
+        .when(F.col("open_risk") + F.col("risk_amount") > limits.max_total_risk_pct * equity + 1e-6, BREACHES["risk"])
     )
     if correlations is not None:
         close = _correlated_open(ledger, correlations, limits.max_correlation)
         state = state.join(close, ["symbol", "signal_ts"], "left")
-        reason = reason.when(F.col("partner").isNotNull(), F.concat(F.lit("correlated with open "), F.col("partner")))
+        reason = reason.when(F.col("partner").isNotNull(), F.concat(F.lit(BREACHES["correlated"]), F.col("partner")))
     return state.withColumn("breach", reason).drop("partner")
 
 

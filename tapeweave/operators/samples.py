@@ -11,7 +11,7 @@ from tapeweave.operators.asof import asof_join
 from tapeweave.operators.bars import close_labeled, fill_missing_bars, resample_bars
 from tapeweave.operators.indicators import FEATURE_COLUMNS, add_indicators, counting_span
 from tapeweave.operators.labels import barrier_columns, to_class
-from tapeweave.operators.scan import block_scan, time_block
+from tapeweave.operators.scan import block_scan, range_blocks, time_block
 from tapeweave.operators.series import INDEX, Blocks, row_blocks
 from tapeweave.schemas import PRICE_COLUMNS
 from tapeweave.session import materialize
@@ -191,12 +191,11 @@ def apply_scaler(samples: DataFrame, stats: DataFrame, features: list[str]) -> D
 def chronological_rank(df: DataFrame, order: list[str] = ["ts", "symbol"], out: str = "rank") -> DataFrame:
     """0-based position of each row in one global order, without a global sort window.
 
-    Rows are ranked inside their minute; minute totals are added up inside a day, and day totals
-    across days.
+    Rows are ranked inside their range of the order, and the counts of the ranges are added up.
     """
-    blocks = [time_block(order[0], 86400), time_block(order[0], 60)]
-    ranked = block_scan(df, [], order, blocks, {out: ("count", F.lit(1))})
-    return ranked.withColumn(out, F.col(out) - 1)
+    ranged = range_blocks(df, order)
+    ranked = block_scan(ranged, [], order, [F.col("_range")], {out: ("count", F.lit(1))})
+    return ranked.withColumn(out, F.col(out) - 1).drop("_range")
 
 
 def _row_count(df: DataFrame) -> Column:
@@ -209,6 +208,15 @@ def temporal_split(df: DataFrame, val_fraction: float = 0.2, order: list[str] =
     return chronological_rank(df, order).withColumn("role", F.when(F.col("rank") < cut, "train").otherwise("val"))
 
 
+def fold_bounds(n: int, n_splits: int, expanding: bool = True) -> list[tuple[int, int, int, int]]:
+    """(fold, low, cut, high) of the folds that have rows on both sides: train on [low, cut), validate on [cut, high)."""
+    if n_splits < 1:
+        raise ValueError("n_splits must be at least 1")
+    at = [int(i * (n / (n_splits + 1))) for i in range(n_splits + 1)] + [n]
+    rows = [(i, 0 if expanding else at[i - 1], at[i], at[i + 1]) for i in range(1, n_splits + 1)]
+    return [r for r in rows if r[1] < r[2] < r[3]]
+
+
 def walk_forward_folds(
     df: DataFrame, n_splits: int = 4, expanding: bool = True, order: list[str] = ["ts", "symbol"]
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.arith import col
+from tapeweave.session import materialize
 
 
 def _running(fn: str, value: Column, frame) -> Column:
@@ -52,6 +53,7 @@ def block_scan(
     blocks: list[Column],
     scans: dict[str, tuple[str, Column]],
     inclusive: bool = True,
+    givers: Column | None = None,
 ) -> DataFrame:
     """Add running ``sum``, ``count``, ``max``, ``min`` or ``last`` (non-null) columns.
 
@@ -60,6 +62,9 @@ def block_scan(
     ``blocks``    block expressions, coarse to fine; each must follow the order
     ``scans``     output name -> (aggregate, value)
     ``inclusive`` whether a row's own value counts
+    ``givers``    which rows have values at all, if not all; only these are read for the block totals
+
+    ``df`` is read twice, for the rows and for the totals: pass a stored frame if it is costly.
     """
     # Names tell the level: the scan across blocks is itself a scan over fewer blocks.
     names = [f"_block{len(blocks)}_{i}" for i in range(len(blocks))]
@@ -75,7 +80,7 @@ def block_scan(
     )
     local = base.withColumns({f"_local_{o}": _running(fn, F.col(v), frame) for o, (fn, v) in values.items()})
 
-    totals = base.groupBy(*keys, *names).agg(
+    totals = (base if givers is None else base.filter(givers)).groupBy(*keys, *names).agg(
         *[_total(fn, F.col(v), order).alias(f"_carry_{o}") for o, (fn, v) in values.items()]
     )
     carry_scans = {f"_carry_{o}": (_across(fn), F.col(f"_carry_{o}")) for o, (fn, _) in values.items()}
@@ -96,6 +101,16 @@ def block_scan(
     return out.withColumns(merged).drop(*drop)
 
 
+def range_blocks(df: DataFrame, order: list[str], out: str = "_range") -> DataFrame:
+    """The rows dealt out by ranges of the whole order, with the number of their range.
+
+    For orders over all series: one moment, such as the close of a day, may hold rows of every symbol, and
+    the full order key splits it where time blocks cannot. The ranges are even, since keys do not repeat; the
+    rows are stored, as the number has to stay with them.
+    """
+    return materialize(df.repartitionByRange(*[col(c) for c in order]).withColumn(out, F.spark_partition_id()))
+
+
 def time_block(ts, seconds: int) -> Column:
     """Number of the time span of the given length that holds ``ts``."""
     from tapeweave.functions.timeframes import epoch_seconds

@@ -107,7 +107,7 @@ def single_position(
     """Trades kept when a symbol may hold one position at a time, chosen greedily in time order.
 
     ``trades`` holds at most one trade per symbol and signal bar. A trade is kept if its signal bar (``bar_index``) is not before the exit bar (``exit_index``)
-    of the last kept one. No trade lasts more than ``max_bars`` bars after its signal, so all that
+    of the last kept one. No trade may last more than ``max_bars`` bars after its signal (one that does raises), so all that
     passes from one block of bars to the next is how many of its bars are still taken: a number up
     to ``max_bars``. Each block is walked once for every such number, which gives a small map; the
     maps of a series are chained; then each block is walked from its true start. The trades are
@@ -115,7 +115,10 @@ def single_position(
     """
     size = max(block_bars, max_bars)
     block = F.floor(F.col("bar_index") / size)
-    base = trades.withColumn("_blk", block)
+    lasts = F.col("exit_index") - F.col("bar_index")
+    late = F.raise_error(F.concat(F.lit(f"a trade lasts more than {max_bars} bars: "), lasts)).cast("long")
+    checked = F.when(lasts > max_bars, late).otherwise(F.col("exit_index"))
+    base = trades.withColumns({"exit_index": checked, "_blk": block})
     packed = base.groupBy(*keys, "_blk").agg(
         F.sort_array(F.collect_list(F.struct(F.col("bar_index").alias("at"), F.col("exit_index").alias("until")))).alias("_walk")
     )

@@ -199,3 +199,19 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(2,)] * 2, "label int")
     got = {r["label"]: r["weight"] for r in samples.class_weights(df).collect()}
     assert got == pytest.approx({0: 8 / 18, 1: 8 / 3, 2: 8 / 6})
+
+
+def test_one_moment_is_ranked_by_many_tasks(spark):
+    """All rows at one time: the order within it is split all the same."""
+    from tapeweave.operators.scan import range_blocks
+
+    df = spark.range(20_000).selectExpr("concat('S', id) as symbol", "timestamp_ntz'2024-06-03 00:00:00' as ts")
+    # Small ranges share a task unless told otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in range_blocks(df, ["ts", "symbol"]).groupBy("_range").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 20_000
+    got = samples.chronological_rank(df).orderBy("rank").limit(3).collect()
+    assert [(r["symbol"], r["rank"]) for r in got] == [("S0", 0), ("S1", 1), ("S10", 2)]
