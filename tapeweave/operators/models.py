@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tapeweave.operators.evaluation import classification_report, fold_summary
 from tapeweave.operators.labels import from_class
 from tapeweave.operators.samples import (
-    apply_scaler, build_samples, class_weights, model_columns, sample_timeframes, scaler_stats, walk_forward_folds,
+    apply_scaler, build_samples, chronological_rank, class_weights, fold_bounds, model_columns, sample_timeframes, scaler_stats,
 )
 from tapeweave.session import materialize
 
@@ -62,12 +62,17 @@ def top_class(probs):
     return (F.array_position(probs, F.array_max(probs)) - 1).cast("int")
 
 
-def score(model: PipelineModel, samples: DataFrame) -> DataFrame:
-    """(symbol, ts, label, probs, pred). A class the training set lacked has probability 0."""
-    out = model.transform(samples)
+def _with_probs(model: PipelineModel, frame: DataFrame, out: str) -> DataFrame:
+    """The frame with the model's probabilities; a class the training set lacked has probability 0."""
     raw = vector_to_array("probability")
     padded = F.slice(F.concat(raw, F.array_repeat(F.lit(0.0), N_CLASSES)), 1, N_CLASSES)
-    return out.select("symbol", "ts", "label", padded.alias("probs")).withColumn("pred", top_class(F.col("probs")))
+    return model.transform(frame).withColumn(out, padded).drop("inputs", "rawPrediction", "probability", "prediction")
+
+
+def score(model: PipelineModel, samples: DataFrame) -> DataFrame:
+    """(symbol, ts, label, probs, pred). A class the training set lacked has probability 0."""
+    out = _with_probs(model, samples, "probs").select("symbol", "ts", "label", "probs")
+    return out.withColumn("pred", top_class(F.col("probs")))
 
 
 def average_probs(first: DataFrame, second: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -110,11 +115,19 @@ def _scaled(spark: SparkSession, ensemble: dict, samples: DataFrame) -> DataFram
     return apply_scaler(samples, stats, ensemble["features"])
 
 
+def member_probs(ensemble: dict, samples: DataFrame) -> DataFrame:
+    """(symbol, ts, label, probs of the regression, probs of the trees): one pass over the samples, no join."""
+    frame = _scaled(samples.sparkSession, ensemble, samples)
+    for name in ("regression", "trees"):
+        frame = _with_probs(ensemble[name], frame, name)
+    return frame.select("symbol", "ts", "label", "regression", "trees")
+
+
 def score_ensemble(ensemble: dict, samples: DataFrame) -> DataFrame:
-    scaled = _scaled(samples.sparkSession, ensemble, samples)
-    return average_probs(
-        score(ensemble["regression"], scaled), score(ensemble["trees"], scaled), ensemble["weight"]
-    )
+    weight = ensemble["weight"]
+    mixed = F.zip_with("regression", "trees", lambda a, b: weight * a + (1.0 - weight) * b)
+    scored = member_probs(ensemble, samples).select("symbol", "ts", "label", mixed.alias("probs"))
+    return scored.withColumn("pred", top_class(F.col("probs")))
 
 
 def save_ensemble(spark: SparkSession, ensemble: dict, path: str) -> None:
@@ -134,12 +147,12 @@ def walk_forward_reports(
     samples: DataFrame, features: list[str], n_splits: int = 4, expanding: bool = True, fit=fit_trees, **options
 ) -> DataFrame:
     """One classification report per fold. Scaler and model see the fold's training rows only."""
-    folds = materialize(walk_forward_folds(samples, n_splits, expanding))
-    usable = sorted(r["fold"] for r in folds.filter("role = 'val'").select("fold").distinct().collect())
+    # The samples are stored once with their rank; a fold is two ranges of it.
+    ranked = materialize(chronological_rank(samples))
     reports = []
-    for k in usable:
-        train = folds.filter((F.col("fold") == k) & (F.col("role") == "train"))
-        val = folds.filter((F.col("fold") == k) & (F.col("role") == "val"))
+    for k, low, cut, high in fold_bounds(ranked.count(), n_splits, expanding):
+        train = ranked.filter((F.col("rank") >= low) & (F.col("rank") < cut))
+        val = ranked.filter((F.col("rank") >= cut) & (F.col("rank") < high))
         stats = scaler_stats(train, features)
         model = fit(apply_scaler(train, stats, features), features, **options)
         scored = score(model, apply_scaler(val, stats, features))
@@ -167,17 +180,15 @@ def draw_trials(n_trials: int, seed: int = 42) -> list[dict]:
     ]
 
 
-MIN_SAMPLES = 50
-
-
 def search_params(
     base: DataFrame, base_timeframe: str, context_timeframes: list[str], features: list[str],
-    n_trials: int = 20, seed: int = 42, n_splits: int = 4, trials: list[dict] | None = None, **sample_options,
+    n_trials: int = 20, seed: int = 42, n_splits: int = 4, trials: list[dict] | None = None, min_samples: int = 50,
+    **sample_options,
 ) -> DataFrame:
-    """(trial, params..., score): mean balanced accuracy over walk-forward folds per drawn setting.
+    """(trial, params..., n_samples, score): mean balanced accuracy over walk-forward folds per drawn setting.
 
-    Label geometry is part of the search, so each trial labels the bars anew. Fewer than
-    ``MIN_SAMPLES`` samples score 0. The best trial is the row with the largest score.
+    Label geometry is part of the search, so each trial labels the bars anew. A setting that leaves fewer
+    than ``min_samples`` samples has no score (NULL). The best trial is the row with the largest score.
     """
     spark = base.sparkSession
     rows = []
@@ -186,18 +197,18 @@ def search_params(
             base, base_timeframe, context_timeframes, features=features,
             take_profit_atr=p["take_profit_atr"], stop_loss_atr=p["stop_loss_atr"], **sample_options,
         ))
-        value = 0.0
-        if samples.count() >= MIN_SAMPLES:
+        value, n = None, samples.count()
+        if n >= min_samples:
             summary = walk_forward_summary(
                 samples, features, n_splits=n_splits, trees=p["trees"], depth=p["depth"], seed=seed
             )
-            value = summary.first()["balanced_accuracy_mean"]
-        rows.append((number, p["take_profit_atr"], p["stop_loss_atr"], p["trees"], p["depth"], float(value)))
+            value = float(summary.first()["balanced_accuracy_mean"])
+        rows.append((number, p["take_profit_atr"], p["stop_loss_atr"], p["trees"], p["depth"], n, value))
     return spark.createDataFrame(
-        rows, "trial int, take_profit_atr double, stop_loss_atr double, trees int, depth int, score double"
+        rows, "trial int, take_profit_atr double, stop_loss_atr double, trees int, depth int, n_samples long, score double"
     )
 
 
 def best_trial(results: DataFrame) -> DataFrame:
     params = [c for c in results.columns if c != "score"]
-    return results.agg(F.max_by(F.struct(*params), F.struct("score", -F.col("trial"))).alias("p"), F.max("score").alias("score")).select("p.*", "score")
+    return results.filter("score IS NOT NULL").agg(F.max_by(F.struct(*params), F.struct("score", -F.col("trial"))).alias("p"), F.max("score").alias("score")).select("p.*", "score")
