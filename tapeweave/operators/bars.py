@@ -64,7 +64,7 @@ def fill_missing_bars(df: DataFrame, timeframe: str, keys: list[str] = ["symbol"
     coarser bars pass unchanged. All windows are bounded by one series' day.
     """
     tf = Timeframe(timeframe)
-    if not tf.is_intraday:
+    if tf.seconds >= 86400:
         return df.select(*keys, "ts", *PRICE_COLUMNS).withColumn("imputed", F.lit(False))
     step = tf.seconds
     day = Window.partitionBy(*keys, "_day")

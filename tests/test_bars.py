@@ -12,8 +12,7 @@ from tapeweave.operators.bars import close_labeled, fill_missing_bars, resample_
 
 def test_timeframes():
     assert Timeframe("5m").seconds == 300 and Timeframe("2w").seconds == 1209600
-    assert Timeframe("1h").is_intraday and not Timeframe("1d").is_intraday
-    assert Timeframe("1d").is_coarser_than(Timeframe("4h"))
+    assert Timeframe("4h") < Timeframe("1d") and not Timeframe("1d") < Timeframe("4h")
     assert sort_labels(["1d", "5m", "1M", "1h", "45m"]) == ["5m", "45m", "1h", "1d", "1M"]
     for bad in ("5x", "m", "", "5 m", "0m"):
         with pytest.raises(ValueError):
