@@ -140,7 +140,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         keep(timed, epoch).alias("providerPublishTime"),
     ))
     nested = F.to_json(F.struct(F.struct(
-        title.alias("title"), keep(timed, iso).alias("pubDate"), F.substring("body", 1, 40).alias("summary"),
+        title.alias("title"), keep(timed, iso).alias("pubDate"), F.col("body").alias("summary"),
         F.struct(F.col("source").alias("displayName")).alias("provider"),
         F.struct(link.alias("url")).alias("canonicalUrl"),
     ).alias("content")))

@@ -258,14 +258,24 @@ def scaled(col: str) -> str:
 RANKED = "ranked AS (SELECT symbol, ts, row_number() OVER (ORDER BY ts, symbol) - 1 AS rank, count(*) OVER () AS n FROM bars)"
 
 
-def folds(k: int, expanding: bool) -> str:
+def fold_rows(k: int, expanding: bool) -> str:
+    """Rows (fold, role, symbol, ts, rank) of ``ranked``."""
     parts = []
     for i in range(1, k + 1):
         bound = lambda j: "n" if j == k + 1 else f"floor({j} * (n::DOUBLE / {k + 1}))"
         low = "0" if expanding else bound(i - 1)
         parts.append(f"SELECT {i} AS fold, 'train' AS role, symbol, ts, rank FROM ranked WHERE rank >= {low} AND rank < {bound(i)}")
         parts.append(f"SELECT {i} AS fold, 'val' AS role, symbol, ts, rank FROM ranked WHERE rank >= {bound(i)} AND rank < {bound(i + 1)}")
-    return q(B1HC, RANKED, body=" UNION ALL ".join(parts))
+    return " UNION ALL ".join(parts)
+
+
+def folds(k: int, expanding: bool) -> str:
+    return q(B1HC, RANKED, body=fold_rows(k, expanding))
+
+
+SAMPLE_RANKED = "ranked AS (SELECT symbol, ts, label, row_number() OVER (ORDER BY ts, symbol) - 1 AS rank, count(*) OVER () AS n FROM samples)"
+# What SQL can state of a scored model: its rows, that probabilities add up to 1, and that the class is the likeliest.
+MODEL_ROWS = """SELECT symbol, ts, label, 3 AS classes, 1.0::DOUBLE AS total, TRUE AS likeliest FROM ranked WHERE rank >= floor(n * 0.8::DOUBLE)"""
 
 
 # --- stored tables and loads -----------------------------------------------------------------
@@ -390,18 +400,23 @@ OPEN = """openings AS MATERIALIZED (SELECT a.symbol, a.signal_ts, any_value(a.qu
   coalesce(sum(b.pnl) FILTER (b.exit_time <= a.signal_ts AND CAST(b.exit_time AS DATE) = CAST(a.signal_ts AS DATE)), 0.0) AS realised_today,
   coalesce(bool_or(b.symbol = a.symbol AND b.exit_time > a.signal_ts AND b.signal_ts < a.signal_ts), false) AS symbol_open
   FROM ledger a CROSS JOIN ledger b GROUP BY 1, 2)"""
-BREACH = """strong AS (SELECT symbol_a AS symbol, symbol_b AS partner FROM pairs WHERE abs(correlation) >= 0.06
-  UNION ALL SELECT symbol_b, symbol_a FROM pairs WHERE abs(correlation) >= 0.06),
+def breach_cte(count=4, loss="0.02", exposure="0.012", risk="0.035", tied="0.06") -> str:
+    return f"""strong AS (SELECT symbol_a AS symbol, symbol_b AS partner FROM pairs WHERE abs(correlation) >= {tied}
+  UNION ALL SELECT symbol_b, symbol_a FROM pairs WHERE abs(correlation) >= {tied}),
 tied AS (SELECT a.symbol, a.signal_ts, first(b.symbol ORDER BY b.signal_ts, b.symbol) AS partner
   FROM ledger a JOIN strong s ON s.symbol = a.symbol JOIN ledger b ON b.symbol = s.partner
   AND b.exit_time > a.signal_ts AND (b.signal_ts, b.symbol) < (a.signal_ts, a.symbol) GROUP BY 1, 2),
 breaches AS MATERIALIZED (SELECT o.symbol, o.signal_ts, CASE WHEN symbol_open THEN 'symbol already open'
-  WHEN open_count >= 4 THEN 'max concurrent positions' WHEN realised_today <= -0.02 * 100000 THEN 'daily loss limit reached'
-  WHEN notional > 0.012 * 100000 + 1e-6 THEN 'symbol exposure cap'
-  WHEN open_risk + risk_amount > 0.035 * 100000 + 1e-6 THEN 'total risk budget'
+  WHEN open_count >= {count} THEN 'max concurrent positions' WHEN realised_today <= -{loss} * 100000 THEN 'daily loss limit reached'
+  WHEN notional > {exposure} * 100000 + 1e-6 THEN 'symbol exposure cap'
+  WHEN open_risk + risk_amount > {risk} * 100000 + 1e-6 THEN 'total risk budget'
   WHEN partner IS NOT NULL THEN 'correlated with open ' || partner END AS breach
   FROM openings o LEFT JOIN tied t ON t.symbol = o.symbol AND t.signal_ts = o.signal_ts)"""
 
+
+BREACH = breach_cte()
+LOOSE_BREACH = breach_cte(1000, "10.0", "100.0", "10.0", "0.02")
+
 # --- evaluation ------------------------------------------------------------------------------
 
 PREDICTED = "predicted AS (SELECT CAST(quality + toxic AS INTEGER) AS label, CAST(doc_id % 4 AS INTEGER) AS pred, CAST(doc_id % 3 + 1 AS INTEGER) AS fold FROM labels)"
@@ -475,7 +490,7 @@ ORACLE = {
     "indicators": decayed(*INDICATOR_COLUMNS),
     "indicators_supplier": q(
         SUPPLIER_BARS, window_features("sbars", "swf"), SUPPLIER_EWM,
-        body=f"SELECT symbol, ts, {rs(SUPPLIER_COLUMNS, 4)}, CAST({PATTERN_SQL['cdl_doji']} AS INTEGER) AS cdl_doji FROM sfeat",
+        body=f"SELECT symbol, ts, {rs(SUPPLIER_COLUMNS)}, CAST({PATTERN_SQL['cdl_doji']} AS INTEGER) AS cdl_doji FROM sfeat",
     ),
     **{"pattern_" + c.removeprefix("cdl_"): pattern(c) for c in PATTERN_COLUMNS},
     "mtf_asof": q(
@@ -509,11 +524,11 @@ ORACLE = {
     "upsert_report": q(B1H, MERGED, body="""SELECT symbol, timeframe, count(*) FILTER (change = 'inserted') AS inserted,
         count(*) FILTER (change = 'updated') AS updated, count(*) AS total FROM merged GROUP BY 1, 2"""),
     "merge_bars": q(B1H, MERGED, body=f"SELECT {BAR_COLS}, change FROM merged"),
-    "upsert_news": q(NEWS, body=f"""SELECT ts, symbol, headline, length(body) AS n_body,
+    "upsert_news": q(NEWS, body=f"""SELECT ts, symbol, headline, length(body) AS n_body, md5(body) AS body_md5,
         CASE WHEN ts >= TIMESTAMP '2024-01-10' THEN source || '+' ELSE source END AS source, url FROM {LAST_NEWS.format('news')}"""),
     "range_read": q(B1H, body=f"""SELECT symbol, ts, {rs('close, volume')} FROM bars WHERE symbol IN ('click', 'view')
         AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'"""),
-    "news_range_read": q(NEWS, body=f"""SELECT ts, symbol, source, length(body) AS n_body FROM {LAST_NEWS.format('news')}
+    "news_range_read": q(NEWS, body=f"""SELECT ts, symbol, source, length(body) AS n_body, md5(body) AS body_md5 FROM {LAST_NEWS.format('news')}
         AND symbol = 'error' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25'"""),
     "series_coverage": q(B1H, body="SELECT symbol, '1h' AS timeframe, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n_rows FROM bars GROUP BY 1"),
     "news_coverage": q(NEWS, body=f"SELECT symbol, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n_rows FROM {LAST_NEWS.format('news')} GROUP BY 1"),
@@ -534,10 +549,13 @@ ORACLE = {
           AND n.ts >= TIMESTAMP '2024-01-07' AND n.ts < TIMESTAMP '2024-01-28') AS filled_chunks,
         a.c AS inserted, CAST(0 AS BIGINT) AS updated, a.c AS total FROM (SELECT symbol, count(*) AS c FROM {LAST_NEWS.format('news')}
         AND ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-28' GROUP BY 1) a"""),
+    "load_news_rows": q(NEWS, body=f"""SELECT ts, symbol, headline, md5(body) AS body_md5, source, url FROM {LAST_NEWS.format('news')}
+        AND ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-28'"""),
     "news_canonical": q(NEWS, body="""SELECT ts, symbol, headline, CASE WHEN body = headline THEN 0 ELSE length(body) END AS n_body,
+        md5(CASE WHEN body = headline THEN '' ELSE body END) AS body_md5,
         CASE WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS source, '' AS url FROM news"""),
-    "news_csv": q(NEWS, body="SELECT ts, symbol, headline, length(body) AS n_body, source, '' AS url FROM news"),
-    "news_json": q(NEWS, body="""SELECT ts, symbol, headline, CASE WHEN doc_id % 2 = 1 THEN substr(body, 1, 40) ELSE '' END AS body, source,
+    "news_csv": q(NEWS, body="SELECT ts, symbol, headline, length(body) AS n_body, md5(body) AS body_md5, source, '' AS url FROM news"),
+    "news_json": q(NEWS, body="""SELECT ts, symbol, headline, CASE WHEN doc_id % 2 = 1 THEN body ELSE '' END AS body, source,
         'https://example.org/' || doc_id AS url FROM news WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND headline <> ''"""),
     "news_slice": q(NEWS, body="""SELECT ts, symbol, headline, source FROM news WHERE symbol = 'signup'
         AND ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-11'"""),
@@ -570,13 +588,14 @@ ORACLE = {
     "return_correlation": q(WINDOWED, CORR, body=f"SELECT symbol_a, symbol_b, {r('correlation')}, n FROM pairs"),
     "return_correlation_suppliers": q(
         SUPPLIER_BARS, window_features("sbars", "wf"), CORR,
-        body=f"SELECT symbol_a, symbol_b, {r('correlation', digits=4)}, n FROM pairs WHERE n >= 10",
+        body=f"SELECT symbol_a, symbol_b, {r('correlation')}, n FROM pairs",
     ),
     "correlation_lookup": q(WINDOWED, CORR, body=f"""SELECT a.s AS symbol_a, b.s AS symbol_b, round(CASE WHEN a.s = b.s THEN 1.0
         ELSE coalesce((SELECT correlation FROM pairs WHERE symbol_a = least(a.s, b.s) AND symbol_b = greatest(a.s, b.s)), 0.0) END, 6) + 0.0 AS correlation
         FROM (SELECT DISTINCT event_type AS s FROM events) a, (SELECT unnest({SYMBOL_LIST[:-1]}, 'nosuch']) AS s) b"""),
     "open_state": q(LEDGER, OPEN, body=f"""SELECT symbol, signal_ts, open_count, {rs('open_risk, realised_today', 2)}, symbol_open FROM openings"""),
     "limit_breaches": q(LEDGER, CORR, OPEN, BREACH, body="SELECT symbol, signal_ts, breach FROM breaches"),
+    "limit_breaches_correlated": q(LEDGER, CORR, OPEN, LOOSE_BREACH, body="SELECT symbol, signal_ts, breach FROM breaches"),
     "breach_counts": q(LEDGER, CORR, OPEN, BREACH, body="SELECT breach, count(*) AS trades FROM breaches WHERE breach IS NOT NULL GROUP BY 1"),
     "daily_pnl": q(LEDGER, body=f"""SELECT symbol, signal_ts, exit_time, CAST(exit_time AS DATE) AS day, {r('''sum(pnl) OVER (PARTITION BY
         CAST(exit_time AS DATE) ORDER BY exit_time, signal_ts, symbol ROWS UNBOUNDED PRECEDING)''', 'day_pnl')} FROM ledger"""),
@@ -584,6 +603,15 @@ ORACLE = {
         (SELECT count(*) FROM predicted x WHERE x.label = t AND x.pred = p) AS count FROM range(0, 3) AS a(t), range(0, 3) AS b(p)"""),
     "class_report": q(PREDICTED, report("1"), body=f"SELECT {rs(REPORT_COLS)} FROM reports"),
     "fold_summary": q(PREDICTED, report("fold"), body=f"SELECT count(*)::DOUBLE AS n_folds, {FOLD_COLS} FROM reports"),
+    "baseline_fit_score": q(SAMPLES, SAMPLE_RANKED, body=MODEL_ROWS),
+    "ensemble_score": q(SAMPLES, SAMPLE_RANKED, body=MODEL_ROWS.replace("FROM ranked", ", TRUE AS weighted, TRUE AS reloaded FROM ranked")),
+    "walk_forward": q(SAMPLES, SAMPLE_RANKED, body=f"""SELECT fold, count(*) FILTER (role = 'train') AS n_train,
+        count(*) FILTER (role = 'val') AS n_val, TRUE AS in_range FROM ({fold_rows(3, True)}) GROUP BY fold"""),
+    "average_probs": q("""members AS (SELECT doc_id, [0.5, 0.3, 0.2] AS a, CASE WHEN quality = 1 THEN [0.1, 0.2, 0.7] ELSE [0.0, 0.9, 0.1] END AS b FROM labels),
+        mixed AS (SELECT doc_id, list_transform([1, 2, 3], lambda k: 0.25 * a[k]::DOUBLE + 0.75 * b[k]::DOUBLE) AS p FROM members),
+        topped AS (SELECT doc_id, p, CAST(list_position(p, list_max(p)) AS INTEGER) - 1 AS pred FROM mixed)""",
+        body="""SELECT 'D' || doc_id AS symbol, pred - 1 AS direction, round(list_max(p), 6) AS probability, CAST(12 AS INTEGER) AS horizon FROM topped
+        WHERE list_max(p) >= 0.6"""),
     "stream_bars": q(B1HC, body=f"SELECT symbol, ts, {rs(OHLC)} FROM bars"),
     "stream_dedup": q(NEWS, body="SELECT DISTINCT ts, symbol, headline FROM news"),
     "stream_catalysts": q(TAGS, body=f"SELECT doc_id, symbol, catalyst, {rs('strength, confidence')} FROM tagged"),

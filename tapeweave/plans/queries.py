@@ -97,7 +97,7 @@ def obv(spark, sf):
 def indicators_supplier(spark, sf):
     """Trend and volatility of the daily bars of every supplier."""
     cols = ["ret_1", "sma_20", "bb_width", "ema_12", "atr", "stoch_k", "cdl_doji"]
-    return rounded(add_indicators(fx.daily_closed(spark, sf), "1d", cols).select("symbol", "ts", *cols), 4)
+    return rounded(add_indicators(fx.daily_closed(spark, sf), "1d", cols).select("symbol", "ts", *cols))
 
 
 # --- point in time ---------------------------------------------------------------------------
@@ -232,7 +232,7 @@ def upsert_news(spark, sf):
     store.upsert(rows.filter(F.col("ts") < F.lit(JAN(20)).cast("timestamp_ntz")))
     late = rows.filter(F.col("ts") >= F.lit(JAN(10)).cast("timestamp_ntz")).withColumn("source", F.concat("source", F.lit("+")))
     store.upsert(late)
-    return store.read().select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), "source", "url")
+    return store.read().select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), F.md5("body").alias("body_md5"), "source", "url")
 
 
 def _stored_bars(spark, sf) -> BarTable:
@@ -248,7 +248,7 @@ def range_read(spark, sf):
 def news_range_read(spark, sf):
     store = NewsTable(spark, scratch(spark, "news"))
     store.upsert(_news_rows(spark, sf))
-    return store.read(["error"], JAN(3), JAN(25), ordered=True).select("ts", "symbol", "source", F.length("body").cast("long").alias("n_body"))
+    return store.read(["error"], JAN(3), JAN(25), ordered=True).select("ts", "symbol", "source", F.length("body").cast("long").alias("n_body"), F.md5("body").alias("body_md5"))
 
 
 def series_coverage(spark, sf):
@@ -308,6 +308,15 @@ def load_news(spark, sf):
     return loads.load(rows, plan, store, "7d")
 
 
+def load_news_rows(spark, sf):
+    """The table after the load."""
+    rows = _news_rows(spark, sf)
+    plan = loads.series_plan(rows.select("symbol").distinct(), ["all"], F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"), {"all": "21d"}).drop("timeframe")
+    store = NewsTable(spark, scratch(spark, "news"))
+    loads.load(rows, plan, store, "7d")
+    return store.read().select("ts", "symbol", "headline", F.md5("body").alias("body_md5"), "source", "url")
+
+
 # --- news ------------------------------------------------------------------------------------
 
 
@@ -316,14 +325,14 @@ def news_canonical(spark, sf):
         "ts", "symbol", "headline", F.nullif("body", F.col("headline")).alias("body"),
         F.when(F.pmod("doc_id", F.lit(3)) != 0, F.col("source")).alias("source"),
     )
-    return schemas.canonical_news(n).select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), "source", "url")
+    return schemas.canonical_news(n).select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), F.md5("body").alias("body_md5"), "source", "url")
 
 
 def news_csv(spark, sf):
     path = scratch(spark, "csv")
     n = fx.news(spark, sf).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "symbol", "headline", "body", "source")
     n.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return read_news_csv(spark, path).select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), "source", "url")
+    return read_news_csv(spark, path, multi_line=True).select("ts", "symbol", "headline", F.length("body").cast("long").alias("n_body"), F.md5("body").alias("body_md5"), "source", "url")
 
 
 def news_json(spark, sf):
@@ -443,7 +452,7 @@ def return_correlation(spark, sf):
 def return_correlation_suppliers(spark, sf):
     """Every pair of suppliers that traded on common days."""
     returns = materialize(portfolio.simple_returns(fx.daily_closed(spark, sf), "1d"))
-    return rounded(portfolio.return_correlations(returns, min_rows=10), 4)
+    return rounded(portfolio.return_correlations(returns))
 
 
 def correlation_lookup(spark, sf):
@@ -457,6 +466,7 @@ def correlation_lookup(spark, sf):
 def open_state(spark, sf):
     return rounded(portfolio.open_state(_ledger(spark, sf)).select(
         "symbol", "signal_ts", "open_count", "open_risk", "realised_today", "symbol_open"
+        # Whole units of 1e-8 against sums of doubles: values that end in 5 can round either way.
     ), 2)
 
 
@@ -469,6 +479,15 @@ def limit_breaches(spark, sf):
     return _breaches(spark, sf).select("symbol", "signal_ts", "breach")
 
 
+def limit_breaches_correlated(spark, sf):
+    """The other limits wide open, so that the correlation decides."""
+    loose = portfolio.Limits(
+        max_concurrent_positions=1000, max_total_risk_pct=10.0, max_symbol_exposure_pct=100.0, max_daily_loss_pct=10.0, max_correlation=0.02,
+    )
+    known = portfolio.return_correlations(_returns(spark, sf))
+    return portfolio.limit_breaches(_ledger(spark, sf), limits=loose, correlations=known).select("symbol", "signal_ts", "breach")
+
+
 def breach_counts(spark, sf):
     return portfolio.breach_counts(_breaches(spark, sf))
 
@@ -496,22 +515,54 @@ def fold_summary(spark, sf):
 def baseline_fit_score(spark, sf):
     """Trees fitted on the earlier samples, scoring the later ones."""
     s = materialize(samples.temporal_split(_samples(spark, sf), 0.2))
-    model = models.fit_trees(s.filter("role = 'train'"), SAMPLE_FEATURES, trees=20, depth=4)
-    return models.to_signals(models.score(model, s.filter("role = 'val'")), min_prob=0.0).drop("probs")
+    model = models.fit_trees(s.filter("role = 'train'"), SAMPLE_FEATURES)
+    return _scored(models.score(model, s.filter("role = 'val'")))
+
+
+def _scored(scored: DataFrame, *more) -> DataFrame:
+    """What holds of every scored row, whatever the model."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, b: a + b)
+    return scored.select(
+        "symbol", "ts", "label", F.size("probs").alias("classes"), F.round(total, 6).alias("total"),
+        (F.get("probs", F.col("pred")) == F.array_max("probs")).alias("likeliest"), *more,
+    )
 
 
 def ensemble_score(spark, sf):
     s = materialize(samples.temporal_split(_samples(spark, sf), 0.2))
-    both = models.fit_ensemble(s.filter("role = 'train'"), SAMPLE_FEATURES, 0.5, trees=20, depth=4)
+    both = models.fit_ensemble(s.filter("role = 'train'"), SAMPLE_FEATURES, 0.5)
     path = scratch(spark, "model")
     models.save_ensemble(spark, both, path)
-    loaded = models.load_ensemble(spark, path)
-    return models.to_signals(models.score_ensemble(loaded, s.filter("role = 'val'"))).drop("probs")
+    loaded, late = models.load_ensemble(spark, path), s.filter("role = 'val'")
+    members = models.member_probs(both, late).select("symbol", "ts", "regression", "trees")
+    again = models.member_probs(loaded, late).select("symbol", "ts", F.col("regression").alias("r2"), F.col("trees").alias("t2"))
+    near = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) < 1e-9), lambda x: x)
+    rows = models.score_ensemble(both, late).join(members, ["symbol", "ts"]).join(again, ["symbol", "ts"])
+    half = F.zip_with("regression", "trees", lambda a, b: (a + b) / 2)
+    return _scored(rows, near("probs", half).alias("weighted"), (near("regression", "r2") & near("trees", "t2")).alias("reloaded"))
+
+
+def average_probs(spark, sf):
+    """Member probabilities made from the labels, averaged, and turned into signals."""
+    three = lambda *p: F.array(*[F.lit(x) for x in p])
+    labels = fx.table(spark, sf, "labels").select(
+        F.concat(F.lit("D"), F.col("doc_id")).alias("symbol"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), "quality"
+    )
+    first = labels.select("symbol", "ts", three(0.5, 0.3, 0.2).alias("probs"))
+    second = labels.select("symbol", "ts", F.when(F.col("quality") == 1, three(0.1, 0.2, 0.7)).otherwise(three(0.0, 0.9, 0.1)).alias("probs"))
+    return rounded(models.to_signals(models.average_probs(first, second, 0.25), min_prob=0.6).drop("ts", "probs"))
 
 
 def walk_forward(spark, sf):
     s = materialize(_samples(spark, sf))
-    return models.walk_forward_summary(s, SAMPLE_FEATURES, n_splits=3, trees=10, depth=3)
+    reports = models.walk_forward_reports(s, SAMPLE_FEATURES, n_splits=3)
+    scores = [c for c, kind in reports.dtypes if kind == "double" and c not in ("n", "support")]
+    bounded = [F.col(c).isNull() | F.col(c).between(0.0, 1.0) for c in scores if not c.startswith(("n_", "support"))]
+    sized = samples.walk_forward_folds(s, 3).groupBy("fold").agg(
+        F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "val").alias("n_val")
+    )
+    held = reports.select("fold", F.forall(F.array(*bounded), lambda x: x).alias("in_range"))
+    return sized.join(held, "fold")
 
 
 def param_search(spark, sf):
@@ -657,6 +708,7 @@ QUERIES = {
     "load_report": load_report,
     "load_bars": load_bars,
     "load_news": load_news,
+    "load_news_rows": load_news_rows,
     "news_canonical": news_canonical,
     "news_csv": news_csv,
     "news_json": news_json,
@@ -685,6 +737,7 @@ QUERIES = {
     "correlation_lookup": correlation_lookup,
     "open_state": open_state,
     "limit_breaches": limit_breaches,
+    "limit_breaches_correlated": limit_breaches_correlated,
     "breach_counts": breach_counts,
     "daily_pnl": daily_pnl,
     "confusion": confusion,
@@ -693,6 +746,7 @@ QUERIES = {
     "baseline_fit_score": baseline_fit_score,
     "ensemble_score": ensemble_score,
     "walk_forward": walk_forward,
+    "average_probs": average_probs,
     "param_search": param_search,
     "stream_bars": stream_bars,
     "stream_dedup": stream_dedup,
