@@ -32,8 +32,10 @@ def _inputs(samples: DataFrame, features: list[str]) -> VectorAssembler:
 def _with_weights(samples: DataFrame) -> DataFrame:
     """Inverse-frequency weights. There is one weight per class, so they go in as constants: a join
     on the label would bring a class that holds most rows together in one task."""
-    weight = F.lit(1.0)
-    for row in class_weights(samples, n_classes=N_CLASSES).collect():
+    weight, rows = F.lit(1.0), class_weights(samples, n_classes=N_CLASSES).collect()
+    if not sum(row["count"] for row in rows):
+        raise ValueError("no series gave a labelled sample")
+    for row in rows:
         weight = F.when(F.col("label") == row["label"], row["weight"]).otherwise(weight)
     return samples.withColumn("weight", weight)
 
@@ -143,6 +145,24 @@ def load_ensemble(spark: SparkSession, path: str) -> dict:
     return params | {name: PipelineModel.load(f"{path}/{name}") for name in ("regression", "trees")}
 
 
+def save_model(spark: SparkSession, model: PipelineModel, path: str, features: list[str], scaler: DataFrame | None = None) -> None:
+    """One fitted model with what its inputs need: the features in order, and mean and deviation if they were scaled."""
+    model.write().overwrite().save(f"{path}/model")
+    stats = None if scaler is None else {r["feature"]: [r["mean"], r["std"]] for r in scaler.collect()}
+    params = json.dumps({"features": features, "scaler": stats})
+    spark.createDataFrame([(params,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    """``model``, ``features`` and ``scaler`` (feature to mean and deviation, or None) as they were saved."""
+    return json.loads(spark.read.text(f"{path}/params").first()["value"]) | {"model": PipelineModel.load(f"{path}/model")}
+
+
+def score_loaded(loaded: dict, samples: DataFrame) -> DataFrame:
+    """Scores of a loaded model; samples are scaled as it was trained."""
+    return score(loaded["model"], _scaled(samples.sparkSession, loaded, samples) if loaded["scaler"] else samples)
+
+
 def walk_forward_reports(
     samples: DataFrame, features: list[str], n_splits: int = 4, expanding: bool = True, fit=fit_trees, **options
 ) -> DataFrame:

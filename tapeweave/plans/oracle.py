@@ -214,7 +214,7 @@ def flat(source: str, out: str, cols: list[str], window: int) -> str:
     return f"{out} AS MATERIALIZED (SELECT * FROM (SELECT symbol, ts, i, {stats} FROM {source}) WHERE i >= {window - 1})"
 
 
-FEATURES = ["ret_1", "close_pos", "bb_width", "cdl_doji"]
+FEATURES = ["ret_1", "log_ret_1", "sma_20", "bb_mid", "bb_upper", "bb_lower", "bb_width", "stoch_k", "stoch_d", "vwap_dev", "close_pos", "cdl_doji"]
 
 
 def sample_ctes() -> str:
@@ -223,8 +223,8 @@ def sample_ctes() -> str:
     parts = [B1H, FILLED, base, window_features("fclose", "w1"), f"d1 AS (SELECT *, {doji} AS cdl_doji FROM w1)",
              bar_bars("f4", "filled", FOUR, "bin + INTERVAL 4 HOUR"), window_features("f4", "w4"),
              f"d4 AS (SELECT *, {doji} AS cdl_doji FROM w4)",
-             cleaned("d1", "c1", FEATURES), flat("c1", "x1", FEATURES, 16),
-             cleaned("d4", "c4", FEATURES), flat("c4", "x4", FEATURES, 16),
+             cleaned("d1", "c1", FEATURES), flat("c1", "x1", FEATURES, 64),
+             cleaned("d4", "c4", FEATURES), flat("c4", "x4", FEATURES, 64),
              atr_only("w1", "a1"), labelled("a1", "lab")]
     picked = ", ".join(f"x{k}.{c}_{kind} AS {c}_{kind}_{tf}" for k, tf in ((1, "1h"), (4, "4h")) for c in FEATURES
                        for kind in ("last", "mean", "var"))
@@ -240,7 +240,7 @@ MODEL_COLS = [f"{c}_{kind}_{tf}" for tf in ("1h", "4h") for c in FEATURES for ki
 UNROLLED = "unrolled AS (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, v.{c} AS x FROM samples s JOIN x{k} w ON w.symbol = s.symbol
   AND w.ts = (SELECT max(ts) FROM x{k} m WHERE m.symbol = s.symbol AND m.ts <= s.ts)
-  JOIN c{k} v ON v.symbol = w.symbol AND v.i BETWEEN w.i - 15 AND w.i"""
+  JOIN c{k} v ON v.symbol = w.symbol AND v.i BETWEEN w.i - 63 AND w.i"""
     for k in (1, 4) for c in FEATURES
 ) + ")"
 STATS = """stats AS MATERIALIZED (SELECT feature, avg(x) AS mean,
@@ -503,8 +503,8 @@ ORACLE = {
         ASOF LEFT JOIN wd d ON d.symbol = b.symbol AND d.ts <= b.ts""",
     ),
     "window_arrays": q(WINDOWED, cleaned("wf", "c", ["ret_1", "close_pos"]), body=f"""SELECT symbol, ts, 16 AS n_bars, {r('sr', 'sum_ret')},
-        {r('sp', 'sum_pos')}, {r('close_pos', 'last_pos')} FROM (SELECT *,
-        sum(ret_1) OVER w AS sr, sum(close_pos) OVER w AS sp FROM c
+        {r('sp', 'sum_pos')}, {r('close_pos', 'last_pos')}, {r('list_dot_product(rets, list_transform(range(1, 17), lambda k: k::DOUBLE))', 'placed_ret')}
+        FROM (SELECT *, list(ret_1) OVER w AS rets, sum(ret_1) OVER w AS sr, sum(close_pos) OVER w AS sp FROM c
         WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) WHERE i >= 15"""),
     "triple_barrier": q(LABELS, body=f"SELECT symbol, ts, CAST(label AS DOUBLE) AS label, {r('ret')}, touched FROM lab"),
     "class_balance": q(LABELS, body=f"""SELECT CAST(label + 1 AS INTEGER) AS label, count(*) AS count,
@@ -513,7 +513,7 @@ ORACLE = {
                         body=f"SELECT symbol, ts, {rs('close_pos, sma_20, ret_1')} FROM c"),
     "flat_features": q(WINDOWED, cleaned("wf", "c", ["ret_1", "close_pos"]), flat("c", "x", ["ret_1", "close_pos"], 16),
                        body=f"SELECT symbol, ts, {rs([f'{c}_{k}' for c in ('ret_1', 'close_pos') for k in ('last', 'mean', 'var')])} FROM x"),
-    "build_samples": q(SAMPLES, body=f"SELECT symbol, ts, label, {r('ret')}, {rs(MODEL_COLS)} FROM samples"),
+    "build_samples": q(SAMPLES, body=f"SELECT symbol, ts, label, {r('ret')}, {', '.join(r(f'{c} + 1e-8', c) for c in MODEL_COLS)} FROM samples"),
     "scaler_stats": q(SAMPLES, UNROLLED, STATS, body=f"SELECT feature, {rs('mean, std')} FROM stats"),
     "scaled_features": q(SAMPLES, UNROLLED, STATS, body=f"""SELECT symbol, ts, {', '.join(scaled(c) for c in
         ('ret_1_last_1h', 'ret_1_mean_4h', 'bb_width_last_4h', 'close_pos_mean_1h'))} FROM samples"""),
@@ -568,6 +568,10 @@ ORACLE = {
         WHERE catalyst <> 'none' AND symbol IN ('click', 'error', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'"""),
     "catalyst_counts": q(TAGS, body="SELECT symbol, catalyst, count(*) AS tagged, count(*) FILTER (catalyst <> 'none') AS actionable FROM tagged GROUP BY 1, 2"),
     "catalyst_boost": q(SIGNALS, TAGS, BOOSTED, body=f"SELECT symbol, ts, {r('catalyst_boost')} FROM boosted"),
+    "model_text": q(NEWS, body="""SELECT doc_id, md5(CASE WHEN trim(coalesce(body, ''), ' ') <> '' THEN headline || '. ' || trim(body, ' ')
+        ELSE headline END) AS text_md5 FROM news"""),
+    "fused_meta": q(SIGNALS, TAGS, BOOSTED, body=f"""SELECT symbol, ts, 'trend' AS kind, CASE WHEN catalyst_boost > 0 THEN round(catalyst_boost, 6)
+        ELSE -1.0 END AS noted_boost FROM boosted WHERE direction <> 0 AND least(1.0, probability + catalyst_boost) >= 0.55"""),
     "fused_signals": q(SIGNALS, TAGS, BOOSTED, body=f"""SELECT symbol, ts, direction, {r('least(1.0, probability + catalyst_boost)', 'probability')},
         horizon, {r('catalyst_boost')} FROM boosted WHERE direction <> 0 AND least(1.0, probability + catalyst_boost) >= 0.55"""),
     **{name: q(SIGNALS, plans(method), body=f"""SELECT symbol, ts, direction, {rs('probability, entry, stop, take_profit')}, quantity,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeweave import schemas
+from tapeweave.functions import text
 from tapeweave.functions.costs import STANDARD_COSTS, apply_costs
 from tapeweave.functions.sizing import Sizing, size_positions
 from tapeweave.operators import catalysts as cat
@@ -115,7 +116,7 @@ def mtf_asof(spark, sf):
 
 
 def window_arrays(spark, sf):
-    """The last 16 bars as an array, shown by its shape and sums."""
+    """The last 16 bars as an array, shown by its shape, sums, and a sum weighted by place."""
     f = add_indicators(fx.hourly_closed(spark, sf), "1h", ["ret_1", "close_pos"])
     clean = samples.clean_features(f, ["ret_1", "close_pos"], "1h")
     arrays = samples.window_arrays(clean, ["ret_1", "close_pos"], 16)
@@ -123,13 +124,16 @@ def window_arrays(spark, sf):
     return rounded(arrays.select(
         "symbol", "ts", F.size("window").alias("n_bars"), total(0).alias("sum_ret"), total(1).alias("sum_pos"),
         F.element_at(F.element_at("window", -1), 2).alias("last_pos"),
+        F.aggregate(F.transform("window", lambda row, i: (i + 1) * F.get(row, F.lit(0))), F.lit(0.0), lambda a, b: a + b).alias("placed_ret"),
     ))
 
 
 # --- labels and samples ----------------------------------------------------------------------
 
-SAMPLE_FEATURES = ["ret_1", "close_pos", "bb_width", "cdl_doji"]
-SAMPLE_OPTIONS = dict(window=16, horizon=12)
+SAMPLE_FEATURES = [
+    "ret_1", "log_ret_1", "sma_20", "bb_mid", "bb_upper", "bb_lower", "bb_width", "stoch_k", "stoch_d", "vwap_dev", "close_pos", "cdl_doji",
+]
+SAMPLE_OPTIONS = dict(window=64, horizon=12)
 
 
 def triple_barrier(spark, sf):
@@ -161,7 +165,8 @@ def _samples(spark, sf) -> DataFrame:
 
 def build_samples(spark, sf):
     cols = [f"{c}_{kind}_{tf}" for tf in ("1h", "4h") for c in SAMPLE_FEATURES for kind in ("last", "mean")]
-    return rounded(_samples(spark, sf).select("symbol", "ts", "label", "ret", *cols))
+    # Means of prices often end in 5 behind the last digit shown: a hair more lets both engines round them up.
+    return rounded(_samples(spark, sf).select("symbol", "ts", "label", "ret", *[(F.col(c) + 1e-8).alias(c) for c in cols]))
 
 
 def scaler_stats(spark, sf):
@@ -374,6 +379,18 @@ def fused_signals(spark, sf):
     return rounded(fusion.fuse_signals(materialize(fx.signals(spark, sf)), fx.catalysts(spark, sf), min_prob=0.55))
 
 
+def model_text(spark, sf):
+    """What a text model reads of each story."""
+    return fx.news(spark, sf).select("doc_id", F.md5(text.model_text()).alias("text_md5"))
+
+
+def fused_meta(spark, sf):
+    """Signals with notes of their own keep them beside the boost's."""
+    noted = fx.signals(spark, sf).withColumn("meta", F.create_map(F.lit("kind"), F.lit("trend"), F.lit("catalyst_boost"), F.lit("-1.0")))
+    fused = fusion.fuse_signals(materialize(noted), fx.catalysts(spark, sf), min_prob=0.55)
+    return rounded(fused.select("symbol", "ts", F.col("meta")["kind"].alias("kind"), F.col("meta")["catalyst_boost"].cast("double").alias("noted_boost")))
+
+
 # --- trades ----------------------------------------------------------------------------------
 
 
@@ -719,6 +736,8 @@ QUERIES = {
     "catalyst_report": catalyst_report,
     "catalyst_counts": catalyst_counts,
     "catalyst_boost": catalyst_boost,
+    "model_text": model_text,
+    "fused_meta": fused_meta,
     "fused_signals": fused_signals,
     "trade_plan_fixed": _plans("fixed_fractional"),
     "trade_plan_kelly": _plans("kelly"),

@@ -61,3 +61,16 @@ def test_search(data):
     out = models.search_params(base, "1m", ["1m"], FEATURES, trials=[t | {"trees": 3, "depth": 2} for t in trials], n_splits=2, window=8, horizon=6)
     best = models.best_trial(out).first()
     assert best["score"] == max(r["score"] for r in out.collect()) > 0
+
+
+def test_saved_model_scores_alike(spark, data, tmp_path):
+    _, s = data
+    stats = samples.scaler_stats(s, FEATURES)
+    model = models.fit_trees(samples.apply_scaler(s, stats, FEATURES), FEATURES, trees=3, depth=2)
+    models.save_model(spark, model, str(tmp_path / "m"), FEATURES, stats)
+    loaded = models.load_model(spark, str(tmp_path / "m"))
+    assert loaded["features"] == FEATURES
+    key = lambda df: sorted((r["symbol"], r["ts"], r["pred"]) for r in df.collect())
+    assert key(models.score_loaded(loaded, s)) == key(models.score(model, samples.apply_scaler(s, stats, FEATURES)))
+    with pytest.raises(ValueError, match="no series"):
+        models.fit_trees(s.filter("false"), FEATURES)
