@@ -230,18 +230,19 @@ def duplicate_classes(
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
     members = materialize(buckets.join(shared, "bucket"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """Node and text of all nodes of the pairs: one row of each node, found by key and id."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key", "id"), "node")
-        wanted = wanted.select("node", F.col("key").alias("_k"), F.col("id").alias("_i"))
-        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-        return rows.join(wanted, (F.unhex(F.md5("text")) == F.col("_k")) & F.col("id").eqNullSafe(F.col("_i"))).select("node", "text")
+    # The texts of all nodes that any pair can have, one row of each, found by key and id: one pass for all rounds.
+    wanted = members.select("node").distinct().join(nodes.select("node", "key", "id"), "node")
+    wanted = wanted.select("node", F.col("key").alias("_k"), F.col("id").alias("_i"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = materialize(
+        rows.join(wanted, (F.unhex(F.md5("text")) == F.col("_k")) & F.col("id").eqNullSafe(F.col("_i"))).select("node", "text")
+    )
 
     def compare(pairs: DataFrame) -> DataFrame | None:
         near = materialize(_estimated(pairs, signatures, estimate))
         if near.isEmpty():
             return None
-        return materialize(_verified(near, materialize(texts_of(near)), similarity).select("a", "b").distinct())
+        return materialize(_verified(near, texts, similarity).select("a", "b").distinct())
 
     links = compare(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     roots = components(links) if links is not None else None
