@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeweave.llm.arrowtext import mix, owners, slices, text_bytes, word_hashes, word_spans
+from tapeweave.llm.arrowtext import Ranges, mix, owners, slices, text_bytes, word_hashes, word_spans
 from tapeweave.llm.graph import components
 from tapeweave.session import materialize
 
@@ -152,10 +152,7 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     for texts in (left, right):
         of, shingle, count = shingles(texts)
         sides.append(((of.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | shingle, count, np.bincount(of, count, minlength=n)))
-    (k1, c1, t1), (k2, c2, t2) = sides
-    _, i, j = np.intersect1d(k1, k2, assume_unique=True, return_indices=True)
-    common = np.bincount((k1[i] >> np.uint64(SHINGLE_BITS)).astype(np.int64), np.minimum(c1[i], c2[j]), minlength=n)
-    return common / np.maximum(t1 + t2 - common, 1)
+    return _shared(*sides)
 
 
 def _estimated(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
@@ -199,8 +196,81 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
 
+def _compared(members: DataFrame, nodes: DataFrame, least: float, estimate: float, tile: int) -> DataFrame:
+    """Links (a, b) between nodes of different ``root`` in the same bucket; ``nodes`` has bands, signature and text."""
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), tiles.cast("bigint")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
+        "bucket", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, ROWS * BANDS)
+        texts = table.column("text").combine_chunks()
+        ids, counts = Ranges(np.uint64), Ranges(np.int64)
+        for a, b in slices(texts):
+            of, shingle, count = shingles(texts.slice(a, b - a))
+            sizes = np.bincount(of, minlength=b - a)
+            ids.extend(shingle, sizes)
+            counts.extend(count, sizes)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        found, pending = [], []
+
+        def settle() -> None:
+            p, q = (np.concatenate(x) for x in zip(*pending))
+            pending.clear()
+            for at in range(0, p.size, 2048):
+                x, y = p[at : at + 2048], q[at : at + 2048]
+                near = _overlaps(ids, counts, x, y) >= least
+                found.append((node[x[near]], node[y[near]]))
+
+        waiting = 0
+        for k, x in enumerate(left):
+            others = right[k + 1 :] if i == j else right
+            others = others[root[others] != root[x]]
+            # A pair is compared in the first band it shares, and only if its signatures allow a link.
+            others = others[(signature[others] == signature[x]).mean(1) >= estimate]
+            others = others[(bands[others] == bands[x]).argmax(1) == band] if others.size else others
+            if others.size:
+                pending.append((np.full(others.size, x), others))
+                waiting += others.size
+            if waiting >= 1 << 16:
+                settle()
+                waiting = 0
+        if pending:
+            settle()
+        both = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ()))]
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    rows = met.join(nodes, "node").select("bucket", "i", "j", "node", "root", "own", "bands", "signature", "text")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _overlaps(ids: Ranges, counts: Ranges, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of numbered texts, pair by pair."""
+    sides = []
+    for side in (x, y):
+        shingle, sizes = ids.take(side)
+        count, _ = counts.take(side)
+        of = np.repeat(np.arange(side.size), sizes)
+        sides.append(((of.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | shingle, count, np.bincount(of, count, minlength=side.size)))
+    return _shared(*sides)
+
+
+def _shared(left: tuple, right: tuple) -> np.ndarray:
+    """From keys (pair and shingle), counts and totals of both sides: sum of lesser over sum of greater counts."""
+    (k1, c1, t1), (k2, c2, t2) = left, right
+    _, i, j = np.intersect1d(k1, k2, assume_unique=True, return_indices=True)
+    common = np.bincount((k1[i] >> np.uint64(SHINGLE_BITS)).astype(np.int64), np.minimum(c1[i], c2[j]), minlength=t1.size)
+    return common / np.maximum(t1 + t2 - common, 1)
+
+
 def duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, estimate: float = ESTIMATE, first_leaders: int = 8,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, estimate: float = ESTIMATE, tile: int = 1024,
 ) -> DataFrame:
     """Class of every row: columns id, key (MD5 of the text), class_id, the least id of the class, and
     class_node, which tells classes apart where ids repeat.
@@ -210,10 +280,10 @@ def duplicate_classes(
     connected components of links and equal texts.
 
     A band's bucket may hold a third of all nodes, so its pairs are not listed. First every node meets the
-    least node of its bucket. Where that leaves a bucket with several classes, some of its nodes, drawn by
-    hash, meet those of other classes in it: ``first_leaders`` at first, then eight times as many each round,
-    until the bucket is one class or all its nodes have been drawn. Every candidate pair is thus compared or
-    already in one class, and a bucket of copies costs a few rows per node.
+    least node of its bucket, which joins nearly all copies. Only buckets that this leaves with several
+    classes are compared in full: their nodes are dealt into tiles of about ``tile``, two tiles meet in a
+    task, and pairs of different classes are compared there, each in the first band that it shares. What
+    leaves a task are links. Every candidate pair is thus compared or already in one class.
 
     Null texts have null keys and are classes by themselves, with their own id. Texts without words are one
     node if equal. A null id counts as greater than all others; repeated rows are equal texts. Texts shorter
@@ -246,26 +316,17 @@ def duplicate_classes(
 
     links = compare(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     roots = components(links) if links is not None else None
-    lower, leaders = 0.0, first_leaders
-    while True:
-        placed = members.select("bucket", "node", "n")
-        if roots is not None:
-            placed = placed.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        else:
-            placed = placed.withColumn("root", F.col("node"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-        # Buckets of up to ``lower`` nodes have had all of them drawn.
-        left = materialize(placed.filter(F.col("n") > lower).join(split, "bucket"))
-        if left.isEmpty():
-            break
-        draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
-        drawn = left.filter((draw >= lower) & (draw < leaders)).select("bucket", F.col("node").alias("p"), F.col("root").alias("r"))
-        pairs = left.join(drawn, "bucket").filter("root <> r").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        found = compare(pairs)
-        if found is not None and not found.isEmpty():
-            links = found if links is None else materialize(links.unionByName(found).distinct())
-            roots = components(links)
-        lower, leaders = float(leaders), leaders * 8
+    placed = members.select("bucket", "node", "n")
+    if roots is not None:
+        placed = placed.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    else:
+        placed = placed.withColumn("root", F.col("node"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+    open_members = placed.join(split, "bucket")
+    found = materialize(_compared(open_members, nodes.select("node", "bands", "signature").join(texts, "node"), similarity, estimate, tile))
+    if not found.isEmpty():
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
     classes = nodes.select("key", "id", "node")
     if roots is not None:
         classes = classes.join(roots, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root"))
