@@ -87,7 +87,7 @@ def fit_toxicity(
 
     A rarer positive class weighs up to four times as much. The sample takes the labelled rows of ``train`` whose id hashes below a bound; as it has a proven size, it
     goes to the documents as a broadcast, and no text is shuffled. Rows with a null id, text or label teach
-    nothing. The order of learning follows the hash, so the result does not depend on the partitions.
+    nothing. The order of learning follows a hash of the id, so the result does not depend on the partitions.
     """
     labelled = labels.filter(train & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")
@@ -97,7 +97,8 @@ def fit_toxicity(
         return ToxicityModel(np.zeros(1 << bits, np.float32), -4.0, bits)
     draw = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30))
     bound = F.when(F.col("_label") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0])) * float(1 << 30)
-    sample = labelled.withColumn("_draw", draw).filter(F.col("_draw") < bound)
+    # Learned in the order of another hash: by the draw, the class with the smaller share would come first.
+    sample = labelled.withColumn("_draw", draw).filter(F.col("_draw") < bound).withColumn("_draw", F.xxhash64("_id", F.lit(13)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
