@@ -180,10 +180,11 @@ class PieceModel:
         return self.bytes_of[np.frombuffer(raw, np.uint8)]
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of a unit, by score; among equal ones the longer pieces from the start.
+        """The ``n`` best segmentations of a unit, by score; equal ones in the order of the search.
 
         Forward Viterbi scores are the exact rest costs of an A* search that runs backward from the end, so
-        partial paths leave the queue in order of the score of the whole path they lead to.
+        partial paths leave the queue in order of the score of the whole path they lead to. Of equal ones the
+        one nearest to the start goes first, so ties don't widen the search.
         """
         chars = [OWN_SPACE if c == chr(SPACE) else SPACE if c == " " else ord(c) for c in unit]
         size = len(chars)
@@ -198,27 +199,22 @@ class PieceModel:
                 if piece is not None:
                     into[end].append((end - k, piece[0], piece[1]))
                     forward[end] = max(forward[end], forward[end - k] + piece[1])
-        queue = [(-forward[size], (), size, 0.0, ())]
-        found, score = [], None
-        complete: list[tuple[float, tuple, tuple]] = []
-        while queue and (len(complete) < n or -queue[0][0] == score):
-            total, _, at, done, path = heapq.heappop(queue)
+        # Whole score, place, number of the entry, score behind the place, and the pieces behind it as a linked list.
+        queue: list[tuple] = [(-forward[size], size, 0, 0.0, None)]
+        found, pushed = [], 0
+        while queue and len(found) < n:
+            total, at, _, done, path = heapq.heappop(queue)
             if at == 0:
-                score = -total
-                complete.append((total, tuple(-k for k, _ in path), path))
+                ids, i = [], 0
+                while path is not None:
+                    (k, number), path = path
+                    ids += [number] if number >= 0 else self.spell(chars[i]).tolist()
+                    i += k
+                found.append((-total, ids))
                 continue
             for start, number, s in into[at]:
-                heapq.heappush(
-                    queue, (-(forward[start] + s + done), (-(at - start),), start, done + s, ((at - start, number), *path))
-                )
-            if len(complete) > 64 * n:  # a unit whose ties outnumber this keeps those found first
-                break
-        for total, _, path in sorted(complete)[:n]:
-            ids, at = [], 0
-            for k, number in path:
-                ids += [number] if number >= 0 else self.spell(chars[at]).tolist()
-                at += k
-            found.append((-total, ids))
+                pushed += 1
+                heapq.heappush(queue, (-(forward[start] + s + done), start, pushed, done + s, ((at - start, number), path)))
         return found
 
 
@@ -306,7 +302,11 @@ class Segmenter:
         if number not in self.searched:
             if len(self.searched) >= self.most // 8:
                 self.searched.clear()
-            self.searched[number] = self.model.n_best(raw.decode("utf-8", "surrogatepass"), self.n)
+            own = self.ids.take(np.array([number]))[0].tolist()
+            found = self.model.n_best(raw.decode("utf-8", "surrogatepass"), self.n)
+            others = [x for x in found if x[1] != own]
+            # The best of the search may be another one of the same score.
+            self.searched[number] = [(found[0][0], own), *others][: self.n]
         return self.searched[number]
 
 
