@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeweave.llm.arrowtext import LOWER, Ranges, distinct, slices, text_bytes, word_hashes, word_spans
+from tapeweave.llm.arrowtext import LOWER, Ranges, distinct, slices, spread, text_bytes, word_hashes, word_spans
 
 MAGIC = b"EFTOK1\x00\x00"
 #: Ones between the sampled positions of a select structure.
@@ -141,8 +141,9 @@ class WordTokenizer:
 
     The tokenizer lowers case, drops white space, and never joins letters with marks, so the ids of a text are
     those of its words in order, and of a word's runs of ASCII letters and of marks (other than the
-    apostrophe, which contractions keep). Only a special token's name joins them; where one may stand, words
-    stay whole. Parts are told apart by 64-bit hashes; the memory holds at most ``most`` of them.
+    apostrophe, which contractions keep). Only a special token's name joins them, and only in its own case;
+    where one may stand, words stay whole and those with ``<|`` keep their case. Parts are told apart by 64-bit
+    hashes; the memory holds at most ``most`` of them.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -185,10 +186,16 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the end offset of each text."""
-        data, offsets = text_bytes(texts)
-        data = LOWER[data]
+        given, offsets = text_bytes(texts)
+        data = LOWER[given]
         starts, ends, bounds = word_spans(data, offsets)
-        if data.size and not ((data[:-1] == 60) & (data[1:] == 124)).any():
+        names = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        if names.size:
+            # Special tokens are matched before case is lowered: words with one of their names stay as given.
+            held = np.unique(np.searchsorted(starts, names, "right") - 1)
+            at = spread(starts[held], ends[held] - starts[held])
+            data[at] = given[at]
+        elif data.size:
             starts, ends, bounds = _parts(data, offsets, starts, ends)
         codes, hashes, first = distinct(word_hashes(data, starts, ends))
         keys = hashes.tolist()

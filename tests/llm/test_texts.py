@@ -73,6 +73,19 @@ def test_parts_of_words_give_the_library_ids(model_files):
         assert [x.tolist() for x in np.split(ids, stops)[:-1]] == want
 
 
+def test_special_tokens_keep_their_case(model_files):
+    encoder = tokenbin.WordTokenizer(model_files("word_bpe_49k.json"), most=40)
+    rng = random.Random(2)
+    names = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|StartOfText|>"]
+    bits = [*names, "<|End", "<", "|", "|>", "endoftext", "A", "b", "É", " ", "\n", "'S", "7", "0", "-"]
+    texts = [*names, *["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)], "plain Text"]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        ids, stops = encoder.encode(pa.array(part), 2)
+        want = [x.ids + [2] for x in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, stops)[:-1]] == want
+
+
 # --- transport streams -----------------------------------------------------------------------
 
 
