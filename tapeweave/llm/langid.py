@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeweave.llm.arrowtext import grown, slices, text_bytes
@@ -99,46 +100,69 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.02) -> np
     return centroids[sizes >= min(least * len(x), sizes.max())]
 
 
+def _least(known: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` least distinct values of both."""
+    return np.unique(np.concatenate([known, hashes]))[:n]
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One row per language and text hash; each task sends a text on once."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            first = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            if first:
+                yield batch.take(pa.array(first))
+
+    return rows.mapInArrow(once, "text string, lang string, h bigint").dropDuplicates(["lang", "h"])
+
+
 def fit_languages(
     docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", dims: int = 4096, centroids: int = 4,
     per_lang: int = 400, accept: float = 0.2,
 ) -> LanguageModel:
     """Centroids learned from the rows of ``train`` that have a language and a text.
 
-    Document frequencies count all training rows, summed per task first. Each language is clustered on a
-    sample of about ``per_lang`` rows, those whose text hashes below a bound. ``accept`` is the share of the
-    cosine to expect below which a text is rejected.
+    Document frequencies count all training rows, summed per task first. Each language is clustered on its
+    ``per_lang`` distinct texts of least hash, or on all it has if they are fewer, whatever their numbers of
+    copies; so every language with a training text has a centroid. ``accept`` is the share of the cosine to
+    expect below which a text is rejected.
     """
     rows = docs.filter(train).select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, langs = np.zeros(dims), 0, {}
+        seen, total, least = np.zeros(dims), 0, {}
         for batch in batches:
             texts = batch.column(0)
             for a, b in slices(texts, rows=512):
                 seen += (ngram_counts(texts.slice(a, b - a), dims) > 0).sum(0)
             total += len(batch)
-            for entry in pc.value_counts(batch.column(1)).to_pylist():
-                langs[entry["values"]] = langs.get(entry["values"], 0) + entry["counts"]
-        names = list(langs)
+            coded, hashes = pc.dictionary_encode(batch.column(1)), batch.column(2).to_numpy()
+            codes = coded.indices.to_numpy()
+            for i, name in enumerate(coded.dictionary.to_pylist()):
+                least[name] = _least(least.get(name, hashes[:0]), hashes[codes == i], per_lang)
+        owner = [name for name, known in least.items() for _ in known]
         yield pa.RecordBatch.from_pydict(
-            {"seen": [seen.astype(np.int64).tolist()], "total": [total], "langs": [names], "counts": [[langs[x] for x in names]]},
-            schema=pa.schema([("seen", pa.list_(pa.int64())), ("total", pa.int64()), ("langs", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]),
+            {"seen": [seen.astype(np.int64).tolist()], "total": [total], "langs": [owner], "hashes": [[int(h) for x in least.values() for h in x]]},
+            schema=pa.schema([("seen", pa.list_(pa.int64())), ("total", pa.int64()), ("langs", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64()))]),
         )
 
-    parts = materialize(rows.mapInArrow(frequencies, "seen array<bigint>, total bigint, langs array<string>, counts array<bigint>"))
+    parts = materialize(rows.mapInArrow(frequencies, "seen array<bigint>, total bigint, langs array<string>, hashes array<bigint>"))
     # One row per n-gram bucket, and one per language.
     seen = dict(parts.select(F.posexplode("seen").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect())
     total = parts.agg(F.sum("total")).first()[0] or 0
-    per = dict(
-        parts.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy("x.langs").agg(F.sum("x.counts")).collect()
-    )
+    texts_of = parts.select(F.explode(F.arrays_zip("langs", "hashes")).alias("x")).select(F.col("x.langs").alias("lang"), F.col("x.hashes").alias("h")).distinct()
+    placed = texts_of.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= per_lang)
+    # The greatest hash drawn of every language, and how many are.
+    drawn = {r["lang"]: (r["last"], r["n"]) for r in placed.groupBy("lang").agg(F.max("h").alias("last"), F.count("*").alias("n")).collect()}
     idf = np.log((1 + total) / (1 + np.array([seen.get(i, 0) for i in range(dims)]))) + 0.05
     model = LanguageModel([], np.zeros((0, dims)), np.zeros(0), np.zeros(0), idf, accept)
-    if not per:
+    if not drawn:
         return model
-    share = F.create_map(*[F.lit(v) for name, n in sorted(per.items()) for v in (name, min(1.0, per_lang / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    last = F.create_map(*[F.lit(v) for name, (h, _) in sorted(drawn.items()) for v in (name, h)])
 
     def sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,18 +170,19 @@ def fit_languages(
             for a, b in slices(texts, rows=512):
                 x = model.vectors(texts.slice(a, b - a)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.tobytes() for row in x], pa.binary()), batch.column(1).slice(a, b - a)], ["vector", "lang"]
+                    [pa.array([row.tobytes() for row in x], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["vector", "lang", "h"]
                 )
 
-    sample = rows.filter(draw < share[F.col("lang")]).mapInArrow(sample_vectors, "vector binary, lang string").toArrow()
+    chosen = _one_of_each(rows.filter(F.col("h") <= last[F.col("lang")]))
+    sample = chosen.mapInArrow(sample_vectors, "vector binary, lang string, h bigint").toArrow()
     vectors = np.frombuffer(b"".join(sample.column("vector").to_pylist()), np.float32).reshape(-1, dims).astype(float)
     names = np.array(sample.column("lang").to_pylist())
-    order = np.lexsort(tuple(vectors[:, :8].T))  # the rows come in any order
+    order = np.argsort(sample.column("h").to_numpy(), kind="stable")  # the rows come in any order
     vectors, names = vectors[order], names[order]
-    for name in sorted(per):
+    for name in sorted(drawn):
         x = vectors[names == name]
-        if not len(x):
-            continue
+        if len(x) != drawn[name][1]:
+            raise RuntimeError(f"{len(x)} training texts of {name!r} where {drawn[name][1]} were drawn")
         c = _cluster(x, centroids)
         cosine = x @ c.T
         of = cosine.argmax(1)

@@ -211,6 +211,29 @@ def test_language_on_held_out_rows(spark, corner_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify_languages(docs, none).collect()} == {"und"}
 
 
+def test_every_language_is_learned_whatever_its_copies(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(12):
+        words = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(30)]
+        rows += [(" ".join(words), f"l{i:02}")] * 200
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = langid.fit_languages(docs, F.lit(True), per_lang=20)
+    assert sorted(set(model.langs)) == [f"l{i:02}" for i in range(12)]
+    got = langid.identify_languages(docs.distinct(), model).collect()
+    assert len(got) == 12 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_languages_are_clustered_on_a_bounded_number_of_distinct_texts(spark, monkeypatch):
+    rows = [(t, lang) for _, t, lang in language_rows(300)]
+    docs = spark.createDataFrame(rows + rows[:60] * 40, "text string, lang string").repartition(5)
+    seen, cluster = [], langid._cluster
+    monkeypatch.setattr(langid, "_cluster", lambda x, k: seen.append(x) or cluster(x, k))
+    langid.fit_languages(docs, F.lit(True), per_lang=25)
+    assert [len(x) for x in seen] == [25] * 3 and all(len(np.unique(x, axis=0)) == 25 for x in seen)
+
+
 def test_toxicity_on_held_out_rows(spark, corner_docs, no_docs):
     rng = random.Random(4)
     rows = []
