@@ -34,11 +34,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC``, learned from two thirds of the labelled ones among them.
 
-    Null and empty texts have the model's least specific score and stay.
+    Null and empty texts have no word to judge and stay, whatever the model's score of no words is.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, remainder("doc_id", 3) != 1)
-    return score_toxicity(docs, model, out="_toxic").filter(F.col("_toxic") < TOXIC).select(*docs.columns)
+    stays = (F.col("_toxic") < TOXIC) | F.col("text").isNull() | (F.col("text") == "")
+    return score_toxicity(docs, model, out="_toxic").filter(stays).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
