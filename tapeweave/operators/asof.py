@@ -22,7 +22,8 @@ def asof_join(
     ``rights`` maps a suffix to a frame; its columns come out as ``column_suffix``. Right times
     must be unique per key. All frames are stacked and scanned once, so one shuffle serves any
     number of right frames, no pair of rows is ever formed, and a long series is cut into time
-    blocks of ``block_seconds``. The left frame is read once, the right ones twice.
+    blocks of ``block_seconds``; blocks without any right row carry on the last one before them. The
+    left frame is read a second time for its keys and times alone, the right ones twice in full.
     """
     payload = {s: [c for c in r.columns if c not in (*keys, ts)] for s, r in rights.items()}
     types = {

@@ -62,7 +62,7 @@ def block_scan(
     ``blocks``    block expressions, coarse to fine; each must follow the order
     ``scans``     output name -> (aggregate, value)
     ``inclusive`` whether a row's own value counts
-    ``givers``    which rows have values at all, if not all; only these are read for the block totals
+    ``givers``    which rows have values at all, if not all; only these are aggregated for the block totals
 
     ``df`` is read twice, for the rows and for the totals: pass a stored frame if it is costly.
     """
@@ -83,6 +83,9 @@ def block_scan(
     totals = (base if givers is None else base.filter(givers)).groupBy(*keys, *names).agg(
         *[_total(fn, F.col(v), order).alias(f"_carry_{o}") for o, (fn, v) in values.items()]
     )
+    if givers is not None:
+        # A block without givers carries on what the blocks before it gave, so it needs a row too.
+        totals = base.select(*keys, *names).distinct().join(totals, [*keys, *names], "left")
     carry_scans = {f"_carry_{o}": (_across(fn), F.col(f"_carry_{o}")) for o, (fn, _) in values.items()}
     if len(blocks) == 1:
         before = Window.partitionBy(*keys).orderBy(names[0]).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from conftest import BAR, minute_rows
+from bar_rows import BAR, minute_rows
 from pyspark.sql import functions as F
 
 from tapeweave import schemas

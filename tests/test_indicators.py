@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import BAR, minute_rows
+from bar_rows import BAR, minute_rows
 from pyspark.sql import functions as F
 
 from tapeweave.operators.bars import close_labeled, ticks_to_bars

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import BAR, minute_rows
+from bar_rows import BAR, minute_rows
 from pyspark.sql import functions as F
 
 from tapeweave.operators import models, samples

@@ -98,3 +98,20 @@ def test_asof_matches_pandas(spark, frame):
     early = right[right.ts < "2024-02-01"].rename(columns={"value": "y"})
     np.testing.assert_allclose(got["y_o"].astype(float), merge(early.assign(y=early.y * 2))["y"], atol=0)
     assert len(got) == len(pdf)
+
+
+def test_asof_carries_over_blocks_without_right_rows(spark):
+    """Hourly rows against two weekly ones: most days hold no right row at all, and none may lose its context."""
+    hours = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=336, freq="h")})
+    left = pd.concat([hours.assign(symbol=s) for s in ("a", "b")])
+    weekly = pd.DataFrame({
+        "symbol": ["a", "a", "b"], "ts": pd.to_datetime(["2024-01-01", "2024-01-08", "2024-01-03 05:00"], format="ISO8601"), "x": [1.0, 2.0, 3.0],
+    })
+    ldf = spark.createDataFrame(left[["symbol", "ts"]], "symbol string, ts timestamp_ntz")
+    rdf = spark.createDataFrame(weekly, "symbol string, ts timestamp_ntz, x double")
+    empty = rdf.filter("false").withColumnRenamed("x", "y")
+    for seconds in (3600, 86400, 86400 * 30):
+        got = asof_join(ldf, {"w": rdf, "none": empty}, block_seconds=seconds).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+        want = pd.merge_asof(left.sort_values("ts"), weekly.sort_values("ts"), on="ts", by="symbol").sort_values(["symbol", "ts"]).reset_index(drop=True)
+        np.testing.assert_array_equal(got["x_w"].astype(float), want["x"])
+        assert got["y_none"].isna().all() and len(got) == 672

@@ -3,7 +3,7 @@ import shutil
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import BAR, minute_rows
+from bar_rows import BAR, minute_rows
 from pyspark.sql import functions as F
 
 from tapeweave.operators import catalysts as cat
