@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeweave.llm.collocations import mine_phrases
 from tapeweave.llm.embeddings import link_vectors
 from tapeweave.llm.langid import fit_languages, identify_languages
 from tapeweave.llm.media import encode_streams, stream_features
@@ -94,6 +95,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_near_vectors": op2_near_vectors,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_segments": op8_piece_segments,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 # Sizes, targets and the truncation at the total, with plain windows.
@@ -168,7 +174,45 @@ JOIN parts p USING (page_id)
 LEFT JOIN judged j ON p.host = j.host AND p.path = j.path
 """
 
+# Phrases as joined words; wide integers for the products.
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), found AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM lists
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM lists
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM lists
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM found GROUP BY ALL
+), c AS MATERIALIZED (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.cut, c.w[1] AS head, array_to_string(c.w[2:], ' ') AS tail FROM c, (SELECT 1 AS cut) x
+  UNION ALL SELECT c.lang, c.k, c.phrase, c.a, 2, c.w[1] || ' ' || c.w[2], c.w[3] FROM c WHERE c.k = 3
+), scored AS (
+  SELECT cuts.*, l.a AS l, r.a AS r, ((1000000::HUGEINT * cuts.a * cuts.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = cuts.head JOIN f r ON r.lang = cuts.lang AND r.phrase = cuts.tail
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), held AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE h.longer IS NULL OR s.k = 3 OR 100 * h.longer < 50 * s.a
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       (SELECT sum(f.a) FROM f WHERE f.k = 1 AND f.lang = k.lang)::BIGINT AS n, score
+FROM kept k QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op9_url_filter": _URL_SQL,
     "op10_source_mix": _MIX_SQL,
+    "op11_phrase_collocations": _PHRASE_SQL,
 }
