@@ -16,6 +16,7 @@ from tapeweave.llm.lm import score_texts
 from tapeweave.llm.minhash import duplicate_classes
 from tapeweave.llm.mixing import mix_sources
 from tapeweave.llm.pieces import encode_pieces
+from tapeweave.llm.spelling import group_spellings
 from tapeweave.llm.tokenbin import read_tokens, write_tokens
 from tapeweave.llm.toxicity import fit_toxicity, score_toxicity
 from tapeweave.llm.urls import filter_urls
@@ -99,6 +100,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_near_vectors": op2_near_vectors,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 # Sizes, targets and the truncation at the total, with plain windows.
