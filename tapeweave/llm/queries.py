@@ -15,6 +15,7 @@ from tapeweave.llm.media import encode_streams, stream_features
 from tapeweave.llm.lm import score_texts
 from tapeweave.llm.minhash import duplicate_classes
 from tapeweave.llm.mixing import mix_sources
+from tapeweave.llm.pii import KINDS, find_personal, fit_tagger
 from tapeweave.llm.pieces import encode_pieces
 from tapeweave.llm.spelling import group_spellings
 from tapeweave.llm.tokenbin import read_tokens, write_tokens
@@ -104,6 +105,16 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(_table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal(docs, fit_tagger(docs))
+    own = F.filter("personal", lambda s: s["base"])
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    kinds = F.transform(own, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined("personal").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_near_vectors": op2_near_vectors,
@@ -117,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_personal_data": op13_personal_data,
 }
 
 # Sizes, targets and the truncation at the total, with plain windows.
