@@ -26,17 +26,22 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred", n_
 
 
 def classification_report(
-    df: DataFrame, label: str = "label", pred: str = "pred", n_classes: int = 3, by: list[str] = []
+    df: DataFrame, label: str = "label", pred: str = "pred", n_classes: int = 3, by: list[str] = [], count: str | None = None,
 ) -> DataFrame:
-    """One row per group: size, accuracy, balanced accuracy, macro F1 and per-class measures."""
+    """One row per group: size, accuracy, balanced accuracy, macro F1 and per-class measures.
+
+    ``count`` names a column of how many samples a row stands for; without it every row is one.
+    """
     y, p = F.col(label), F.col(pred)
     valid = _in_range(label, pred, n_classes)
-    counts = [F.count(F.lit(1)).alias("_n"), F.count_if(y == p).alias("_right")]
+    each = F.lit(1).cast("bigint") if count is None else F.col(count)
+    total = lambda test: F.coalesce(F.sum(F.when(test, each)), F.lit(0).cast("bigint"))
+    counts = [total(F.lit(True)).alias("_n"), total(y == p).alias("_right")]
     for k in range(n_classes):
         counts += [
-            F.count_if(valid & (y == k) & (p == k)).alias(f"_tp{k}"),
-            F.count_if(valid & (p == k)).alias(f"_pred{k}"),
-            F.count_if(valid & (y == k)).alias(f"_true{k}"),
+            total(valid & (y == k) & (p == k)).alias(f"_tp{k}"),
+            total(valid & (p == k)).alias(f"_pred{k}"),
+            total(valid & (y == k)).alias(f"_true{k}"),
         ]
     totals = df.groupBy(*by).agg(*counts)
     ratio = lambda a, b: F.coalesce(F.col(a) / zero_null(F.col(b).cast("double")), F.lit(0.0))

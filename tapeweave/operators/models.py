@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tapeweave.operators.bars import close_labeled, fill_missing_bars
 from tapeweave.operators.evaluation import classification_report, fold_summary
-from tapeweave.operators.labels import from_class
+from tapeweave.operators.indicators import FEATURE_COLUMNS
+from tapeweave.operators.labels import from_class, label_settings
 from tapeweave.operators.samples import (
-    apply_scaler, build_samples, chronological_rank, class_weights, fold_bounds, model_columns, sample_timeframes, scaler_stats,
+    apply_scaler, block_edges, block_moments, build_samples, chronological_rank, class_weights, fold_blocks, model_columns,
+    sample_timeframes, scale_columns, scaler_stats, with_fold_block,
 )
+from tapeweave.schemas import PRICE_COLUMNS
 from tapeweave.session import materialize
 
 N_CLASSES = 3
@@ -41,7 +49,8 @@ def _with_weights(samples: DataFrame) -> DataFrame:
 
 
 def _fit(samples: DataFrame, features: list[str], estimator) -> PipelineModel:
-    return Pipeline(stages=[_inputs(samples, features), estimator]).fit(_with_weights(samples))
+    weighted = samples if "weight" in samples.columns else _with_weights(samples)
+    return Pipeline(stages=[_inputs(samples, features), estimator]).fit(weighted)
 
 
 def fit_trees(samples: DataFrame, features: list[str], trees: int = 50, depth: int = 6, seed: int = 42) -> PipelineModel:
@@ -163,30 +172,149 @@ def score_loaded(loaded: dict, samples: DataFrame) -> DataFrame:
     return score(loaded["model"], _scaled(samples.sparkSession, loaded, samples) if loaded["scaler"] else samples)
 
 
+def _folded(samples: DataFrame, n_splits: int, expanding: bool) -> tuple[DataFrame, int, list[tuple[int, int]]]:
+    """Stored samples with rank and fold block, the number of blocks, and the folds."""
+    ranked = materialize(chronological_rank(samples))
+    edges = block_edges(ranked.count(), n_splits)
+    return materialize(with_fold_block(ranked, edges)), len(edges) - 1, fold_blocks(edges, expanding)
+
+
 def walk_forward_reports(
-    samples: DataFrame, features: list[str], n_splits: int = 4, expanding: bool = True, fit=fit_trees, **options
+    samples: DataFrame, features: list[str], n_splits: int = 4, expanding: bool = True, fit=None, **options
 ) -> DataFrame:
-    """One classification report per fold. Scaler and model see the fold's training rows only."""
-    # The samples are stored once with their rank; a fold is two ranges of it.
-    ranked = materialize(chronological_rank(samples))
-    reports = []
-    for k, low, cut, high in fold_bounds(ranked.count(), n_splits, expanding):
-        train = ranked.filter((F.col("rank") >= low) & (F.col("rank") < cut))
-        val = ranked.filter((F.col("rank") >= cut) & (F.col("rank") < high))
-        stats = scaler_stats(train, features)
-        model = fit(apply_scaler(train, stats, features), features, **options)
-        scored = score(model, apply_scaler(val, stats, features))
-        reports.append(classification_report(scored).select(F.lit(k).alias("fold"), "*"))
-    if not reports:
+    """One row per fold: ``n_train`` and the classification report of its validation rows.
+
+    Scaler, class weights and model see the fold's training rows only. Samples are ranked once; one aggregate gives
+    the moments and class counts of every fold block, which add up to any fold's. ``fit`` (``fit_trees`` unless
+    given) is called for all folds at once from threads; the folds' scores make one report.
+    """
+    folded, blocks, folds = _folded(samples, n_splits, expanding)
+    if not folds:
         raise ValueError("too few samples for any fold")
-    return reduce(DataFrame.unionByName, reports)
+    return _reports(_fold_scores(folded, blocks, folds, features, fit or fit_trees, options), folded, folds)
+
+
+def _reports(scored: DataFrame, folded: DataFrame, folds: list[tuple[int, int]]) -> DataFrame:
+    sizes = folded.groupBy("block").count().collect()  # a row per block
+    n_train = {k: sum(r["count"] for r in sizes if low <= r["block"] < k) for k, low in folds}
+    out = classification_report(scored, by=["fold"])
+    chosen = F.coalesce(*[F.when(F.col("fold") == k, F.lit(n)) for k, n in n_train.items()]).cast("bigint")
+    return out.select("fold", chosen.alias("n_train"), *[c for c in out.columns if c != "fold"])
+
+
+def _fold_scores(folded: DataFrame, blocks: int, folds: list[tuple[int, int]], features: list[str], fit, options: dict, label: str = "label") -> DataFrame:
+    """(fold, label, pred) of every fold's validation rows, by a model fitted on its training rows."""
+    moments = block_moments(folded, features, blocks)
+    counts = {(r["block"], r["label"]): r["n"] for r in folded.groupBy("block", F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
+
+    def one(fold: tuple[int, int]) -> DataFrame:
+        k, low = fold
+        stats = moments.stats(features, low, k)
+        scaled = scale_columns(folded.filter(F.col("block") <= k), stats, features).withColumn("label", F.col(label))
+        sizes = [sum(n for (b, c), n in counts.items() if low <= b < k and c == cls) for cls in range(N_CLASSES)]
+        weight = F.element_at(F.array(*[F.lit(sum(sizes) / (N_CLASSES * max(1, n))) for n in sizes]), F.col("label") + 1)
+        train = scaled.filter((F.col("block") >= low) & (F.col("block") < k)).withColumn("weight", weight)
+        val = scaled.filter(F.col("block") == k)
+        return score(fit(train, features, **options), val).select(F.lit(k).alias("fold"), "label", "pred")
+
+    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, folds))
 
 
 def walk_forward_summary(samples: DataFrame, features: list[str], **options) -> DataFrame:
     return fold_summary(walk_forward_reports(samples, features, **options))
 
 
-def draw_trials(n_trials: int, seed: int = 42) -> list[dict]:
+# --- nearest class means ---------------------------------------------------------------------
+
+
+def _label_matrix(batch: pa.RecordBatch, labels: str) -> np.ndarray:
+    column = batch.column(labels)
+    return np.stack(column.to_numpy(zero_copy_only=False)) if pa.types.is_list(column.type) else column.to_numpy()[:, None]
+
+
+def centroid_reports(
+    samples: DataFrame, features: list[str], n_splits: int = 4, expanding: bool = True, labels: str = "label",
+) -> DataFrame:
+    """(setting, fold, n_train, report...): walk-forward reports of the nearest class mean, for many label settings at once.
+
+    The model's input is every last and mean column in units of the feature's deviation over the fold's training
+    windows; a sample gets the class whose training mean is nearest, of equal ones the first; classes without a
+    training row are none's. ``labels`` is a column of classes or of arrays of them, one per setting. Two passes
+    over the samples serve all folds and settings: sums per block and class, then counts of (label, prediction).
+    """
+    folded, blocks, folds = _folded(samples, n_splits, expanding)
+    if not folds:
+        raise ValueError("too few samples for any fold")
+    return _centroid_reports(folded, blocks, folds, features, labels)
+
+
+def _centroid_reports(folded: DataFrame, blocks: int, folds: list[tuple[int, int]], features: list[str], labels: str) -> DataFrame:
+    columns = model_columns(features, sample_timeframes(folded, features[0]))
+    settings = len(folded.first()[labels]) if isinstance(folded.schema[labels].dataType, T.ArrayType) else 1
+    moments = block_moments(folded, features, blocks)
+    narrow = folded.select("block", labels, *columns)
+    cells = settings * N_CLASSES
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros((blocks, cells), np.int64), np.zeros((blocks, cells, len(columns)))
+        for batch in batches:
+            x, y, block = matrix(batch), _label_matrix(batch, labels), batch.column("block").to_numpy()
+            for s in range(settings):
+                for c in range(N_CLASSES):
+                    of = y[:, s] == c
+                    n[:, s * N_CLASSES + c] += np.bincount(block[of], minlength=blocks)
+                    np.add.at(total[:, s * N_CLASSES + c], block[of], x[of])
+        at = np.flatnonzero(n.any(1))
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array(np.repeat(at, cells)), "cell": pa.array(np.tile(np.arange(cells), at.size)),
+            "n": pa.array(n[at].ravel()), "total": pa.array(list(total[at].reshape(-1, len(columns))), pa.list_(pa.float64())),
+        })
+
+    parts = narrow.mapInArrow(sums, "block bigint, cell bigint, n bigint, total array<double>")
+    added = parts.select("block", "cell", "n", F.posexplode("total").alias("i", "x")).groupBy("block", "cell", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    rows = added.groupBy("block", "cell").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("x"))
+    n, total = np.zeros((blocks, cells)), np.zeros((blocks, cells, len(columns)))
+    for r in rows.select("block", "cell", "n", F.col("x.x").alias("x")).collect():  # blocks x settings x classes
+        n[r["block"], r["cell"]], total[r["block"], r["cell"]] = r["n"], r["x"]
+    deviation = {k: moments.stats(features, low, k) for k, low in folds}
+    # The columns go through all features for each timeframe and kind in turn.
+    unit = {k: np.tile([deviation[k][c][1] for c in features], len(columns) // len(features)) for k, _ in folds}
+    known = {k: n[low:k].sum(0) for k, low in folds}
+    means = {k: total[low:k].sum(0) / np.maximum(known[k], 1)[:, None] / unit[k] for k, low in folds}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((blocks, settings, N_CLASSES, N_CLASSES), np.int64)
+        for batch in batches:
+            x, y, block = matrix(batch), _label_matrix(batch, labels), batch.column("block").to_numpy()
+            for k, _ in folds:
+                rows = np.flatnonzero(block == k)
+                scaled = x[rows] / unit[k]
+                for s in range(settings):
+                    mine = slice(s * N_CLASSES, (s + 1) * N_CLASSES)
+                    far = np.stack([((scaled - m) ** 2).sum(1) for m in means[k][mine]], axis=1)
+                    far[:, known[k][mine] == 0] = np.inf
+                    np.add.at(found[k, s], (y[rows, s], far.argmin(1)), 1)
+        fold, setting, label, pred = np.nonzero(found)
+        yield pa.RecordBatch.from_pydict({
+            "fold": fold.astype(np.int32), "setting": setting.astype(np.int32), "label": label.astype(np.int32), "pred": pred.astype(np.int32),
+            "n": found[fold, setting, label, pred],
+        })
+
+    judged = narrow.mapInArrow(judge, "fold int, setting int, label int, pred int, n bigint")
+    out = classification_report(judged, by=["setting", "fold"], count="n")
+    sizes = {k: int(moments.n[low:k].sum()) for k, low in folds}
+    chosen = F.coalesce(*[F.when(F.col("fold") == k, F.lit(m)) for k, m in sizes.items()]).cast("bigint")
+    return out.select("setting", "fold", chosen.alias("n_train"), *[c for c in out.columns if c not in ("setting", "fold")])
+
+
+# --- search ----------------------------------------------------------------------------------
+
+
+def draw_trials(n_trials: int = 20, seed: int = 42) -> list[dict]:
     """Seeded random draws over the search ranges."""
     rng = np.random.default_rng(seed)
     return [
@@ -201,34 +329,62 @@ def draw_trials(n_trials: int, seed: int = 42) -> list[dict]:
 
 
 def search_params(
-    base: DataFrame, base_timeframe: str, context_timeframes: list[str], features: list[str],
+    base: DataFrame, base_timeframe: str, context_timeframes: list[str], features: list[str] = FEATURE_COLUMNS,
     n_trials: int = 20, seed: int = 42, n_splits: int = 4, trials: list[dict] | None = None, min_samples: int = 50,
-    **sample_options,
+    keep: int = 4, keys: list[str] = ["symbol"], horizon: int = 12, atr_window: int = 14, **sample_options,
 ) -> DataFrame:
-    """(trial, params..., n_samples, score): mean balanced accuracy over walk-forward folds per drawn setting.
-
-    Label geometry is part of the search, so each trial labels the bars anew. A setting that leaves fewer
-    than ``min_samples`` samples has no score (NULL). The best trial is the row with the largest score.
+    """(trial, params..., n_samples, n_down, n_flat, n_up, fixed_score, rung, score) of every drawn setting, by successive halving.
+
+    The samples' features are built once, and one scan ahead labels them under all settings. Rung 0 scores every
+    setting with nearest class means, in two passes for all settings and folds. One in ``keep`` of them, the best,
+    go on to rung 1, forests of a quarter of their trees, and one in ``keep`` of those to rung 2, whole forests.
+    Scores are means of balanced accuracy over the walk-forward folds; ``score`` is that of the highest rung a
+    setting reached, NULL at rung 0; equal scores go by the trial's number. With fewer than ``min_samples`` samples
+    no setting has a score.
     """
     spark = base.sparkSession
-    rows = []
-    for number, p in enumerate(trials or draw_trials(n_trials, seed)):
-        samples = materialize(build_samples(
-            base, base_timeframe, context_timeframes, features=features,
-            take_profit_atr=p["take_profit_atr"], stop_loss_atr=p["stop_loss_atr"], **sample_options,
-        ))
-        value, n = None, samples.count()
-        if n >= min_samples:
-            summary = walk_forward_summary(
-                samples, features, n_splits=n_splits, trees=p["trees"], depth=p["depth"], seed=seed
-            )
-            value = float(summary.first()["balanced_accuracy_mean"])
-        rows.append((number, p["take_profit_atr"], p["stop_loss_atr"], p["trees"], p["depth"], n, value))
+    trials = trials or draw_trials(n_trials, seed)
+    features_of = build_samples(
+        base, base_timeframe, context_timeframes, features=features, require_label=False, horizon=horizon, keys=keys, atr_window=atr_window, **sample_options
+    )
+    closed = close_labeled(fill_missing_bars(base, base_timeframe, keys), base_timeframe).select(*keys, "ts", *PRICE_COLUMNS)
+    settings = [(t["take_profit_atr"], t["stop_loss_atr"]) for t in trials]
+    labelled = materialize(label_settings(closed, base_timeframe, settings, horizon, atr_window, keys))
+    samples = materialize(features_of.drop("label", "ret").join(labelled, [*keys, "ts"]))
+    per_class = samples.select(F.posexplode("labels").alias("trial", "label")).groupBy("trial").agg(
+        *[F.count_if(F.col("label") == c).alias(f"c{c}") for c in range(N_CLASSES)]
+    )
+    counts = {r["trial"]: [r[f"c{c}"] for c in range(N_CLASSES)] for r in per_class.collect()}
+    n = sum(counts.get(0, [0]))
+    fixed, rung, best = {}, {}, {}
+    if n >= min_samples:
+        folded, blocks, folds = _folded(samples, n_splits, True)
+        reports = _centroid_reports(folded, blocks, folds, features, "labels")
+        fixed = {r["setting"]: r["balanced_accuracy_mean"] for r in fold_summary(reports, by=["setting"]).collect()}
+        order = lambda scores: sorted(scores, key=lambda t: (-scores[t], t))
+        left = order(fixed)
+        for level, share in ((1, 4), (2, 1)):
+            left = left[: max(1, len(left) // keep)]
+            reached = {}
+            for t in left:
+                p, mine = trials[t], folded.withColumn("_label", F.get("labels", F.lit(t)))
+                scored = _fold_scores(mine, blocks, folds, features, fit_trees, {"trees": max(1, p["trees"] // share), "depth": p["depth"], "seed": seed}, "_label")
+                reached[t] = float(fold_summary(classification_report(scored, by=["fold"])).first()["balanced_accuracy_mean"])
+            rung |= {t: level for t in left}
+            best |= reached
+            left = order(reached)
+    rows = [
+        (t, p["take_profit_atr"], p["stop_loss_atr"], p["trees"], p["depth"], n, *counts.get(t, [0] * N_CLASSES), fixed.get(t), rung.get(t, 0), best.get(t))
+        for t, p in enumerate(trials)
+    ]
     return spark.createDataFrame(
-        rows, "trial int, take_profit_atr double, stop_loss_atr double, trees int, depth int, n_samples long, score double"
+        rows, "trial int, take_profit_atr double, stop_loss_atr double, trees int, depth int, n_samples long, n_down long, n_flat long, n_up long,"
+        " fixed_score double, rung int, score double"
     )
 
 
 def best_trial(results: DataFrame) -> DataFrame:
+    """The setting with the best score among those of the highest rung."""
     params = [c for c in results.columns if c != "score"]
-    return results.filter("score IS NOT NULL").agg(F.max_by(F.struct(*params), F.struct("score", -F.col("trial"))).alias("p"), F.max("score").alias("score")).select("p.*", "score")
+    best = F.max_by(F.struct(*params), F.struct("rung", "score", -F.col("trial")))
+    return results.filter("score IS NOT NULL").agg(best.alias("p"), F.max_by("score", F.struct("rung", "score")).alias("score")).select("p.*", "score")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from tapeweave.operators.labels import barrier_columns, to_class
 from tapeweave.operators.scan import block_scan, range_blocks, time_block
 from tapeweave.operators.series import INDEX, Blocks, row_blocks
 from tapeweave.schemas import PRICE_COLUMNS
-from tapeweave.session import materialize
+from tapeweave.session import materialize, materialize_all, require_rows
 
 
 def timeframe_bars(filled: DataFrame, timeframe: str, base_timeframe: str, keys: list[str] = ["symbol"]) -> DataFrame:
@@ -32,12 +35,12 @@ def timeframe_features(
     keys: list[str] = ["symbol"],
     atr_window: int = 14,
 ) -> dict[str, DataFrame]:
-    """One feature frame per timeframe; the filled base is written once and shared."""
+    """One stored feature frame per timeframe; the filled base is written once and shared."""
     filled = materialize(fill_missing_bars(base, base_timeframe, keys))
-    return {
+    return materialize_all({
         tf: add_indicators(timeframe_bars(filled, tf, base_timeframe, keys), tf, features, keys, atr_window)
         for tf in sort_labels(list(dict.fromkeys([*timeframes, base_timeframe])))
-    }
+    })
 
 
 def clean_features(df: DataFrame, features: list[str], timeframe: str, keys: list[str] = ["symbol"]) -> DataFrame:
@@ -112,12 +115,13 @@ def build_samples(
 
     Each row holds, per timeframe and feature, the last value, mean and variance over the
     ``window`` bars that were closed at the row's time; a row needs a full window on every
-    timeframe. ``require_label=False`` also keeps the last ``horizon`` bars, for scoring.
+    timeframe. ``require_label=False`` also keeps the last ``horizon`` bars, for scoring. The samples are stored;
+    raises if no series gives one.
     """
     wanted = list(dict.fromkeys([*features, "atr"]))
     frames = timeframe_features(base, context_timeframes, base_timeframe, wanted, keys, atr_window)
 
-    base_rows = materialize(frames[base_timeframe]).withColumn("atr_raw", F.col("atr"))
+    base_rows = frames[base_timeframe].withColumn("atr_raw", F.col("atr"))
     cleaned = clean_features(base_rows, features, base_timeframe, keys)
     blocks = row_blocks(cleaned, keys, back=window - 1, ahead=horizon)
     own = base_timeframe in context_timeframes
@@ -135,13 +139,12 @@ def build_samples(
     for tf, frame in frames.items():
         if tf == base_timeframe or tf not in context_timeframes:
             continue
-        clean = clean_features(materialize(frame), features, tf, keys)
+        clean = clean_features(frame, features, tf, keys)
         rights[tf] = flat_features(clean, features, window, keys)
-    if not rights:
-        return rows
-    span = counting_span(base_timeframe)
-    joined = asof_join(rows, rights, keys, block_seconds=span)
-    return joined.dropna(subset=[f"{features[0]}_last_{tf}" for tf in rights])
+    if rights:
+        rows = asof_join(rows, rights, keys, block_seconds=counting_span(base_timeframe))
+        rows = rows.dropna(subset=[f"{features[0]}_last_{tf}" for tf in rights])
+    return require_rows(materialize(rows))
 
 
 def sample_timeframes(samples: DataFrame, feature: str) -> list[str]:
@@ -179,15 +182,58 @@ def scaler_stats(samples: DataFrame, features: list[str]) -> DataFrame:
 
 def apply_scaler(samples: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
     """Scaled last and mean columns. ``stats`` has one row per feature and is read once."""
+    return scale_columns(samples, {r["feature"]: (r["mean"], r["std"]) for r in stats.collect()}, features)
+
+
+def scale_columns(samples: DataFrame, stats: dict[str, tuple[float, float]], features: list[str]) -> DataFrame:
+    """The same with (mean, std) by feature at hand."""
     timeframes = sample_timeframes(samples, features[0])
-    by_name = {r["feature"]: (r["mean"], r["std"]) for r in stats.collect()}
     scaled = {
-        f"{c}_{kind}_{tf}": (F.col(f"{c}_{kind}_{tf}") - by_name[c][0]) / by_name[c][1]
+        f"{c}_{kind}_{tf}": (F.col(f"{c}_{kind}_{tf}") - stats[c][0]) / stats[c][1]
         for c in features for kind in ("last", "mean") for tf in timeframes
     }
     return samples.withColumns(scaled)
 
 
+@dataclass(frozen=True)
+class BlockMoments:
+    """What scalers of any run of fold blocks need, one entry per block, feature and timeframe."""
+
+    n: np.ndarray  # blocks
+    mean: np.ndarray  # blocks x features x timeframes: averages of the window means
+    spread: np.ndarray  # the same: squared deviations of the window means from their average, summed
+    inside: np.ndarray  # the same: variances inside the windows, summed
+
+    def stats(self, features: list[str], low: int, high: int) -> dict[str, tuple[float, float]]:
+        """(mean, std) by feature of the samples of blocks ``low`` to ``high - 1``, as ``scaler_stats`` gives them."""
+        some = slice(low, high)
+        n = self.n[some, None, None]
+        total = n.sum()
+        mean = (n * self.mean[some]).sum(0) / total
+        between = (self.spread[some] + n * (self.mean[some] - mean) ** 2).sum(0) / total
+        center = mean.mean(1, keepdims=True)
+        std = np.sqrt((self.inside[some].sum(0) / total + between + (mean - center) ** 2).mean(1))
+        return {c: (float(m), 1.0 if s < 1e-8 else float(s)) for c, m, s in zip(features, center[:, 0], std)}
+
+
+def block_moments(samples: DataFrame, features: list[str], blocks: int, block: str = "block") -> BlockMoments:
+    """The moments of every fold block, in one aggregate whatever the number of folds."""
+    timeframes = sample_timeframes(samples, features[0])
+    names = [(c, tf) for c in features for tf in timeframes]
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for i, (c, tf) in enumerate(names):
+        means = F.col(f"{c}_mean_{tf}")
+        aggregates += [F.avg(means).alias(f"m{i}"), F.var_pop(means).alias(f"v{i}"), F.sum(f"{c}_var_{tf}").alias(f"s{i}")]
+    shape = (blocks, len(features), len(timeframes))
+    n, mean, spread, inside = np.zeros(blocks), np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    for row in samples.groupBy(block).agg(*aggregates).collect():
+        k = row[block]
+        n[k] = row["n"]
+        values = lambda letter: np.array([row[f"{letter}{i}"] for i in range(len(names))], float).reshape(shape[1:])
+        mean[k], spread[k], inside[k] = values("m"), values("v") * n[k], values("s")
+    return BlockMoments(n, mean, spread, inside)
+
+
 def chronological_rank(df: DataFrame, order: list[str] = ["ts", "symbol"], out: str = "rank") -> DataFrame:
     """0-based position of each row in one global order, without a global sort window.
 
@@ -208,13 +254,25 @@ def temporal_split(df: DataFrame, val_fraction: float = 0.2, order: list[str] =
     return chronological_rank(df, order).withColumn("role", F.when(F.col("rank") < cut, "train").otherwise("val"))
 
 
-def fold_bounds(n: int, n_splits: int, expanding: bool = True) -> list[tuple[int, int, int, int]]:
-    """(fold, low, cut, high) of the folds that have rows on both sides: train on [low, cut), validate on [cut, high)."""
+def block_edges(n: int, n_splits: int) -> list[int]:
+    """First ranks of the ``n_splits + 1`` blocks that folds are made of, with the end."""
     if n_splits < 1:
         raise ValueError("n_splits must be at least 1")
-    at = [int(i * (n / (n_splits + 1))) for i in range(n_splits + 1)] + [n]
-    rows = [(i, 0 if expanding else at[i - 1], at[i], at[i + 1]) for i in range(1, n_splits + 1)]
-    return [r for r in rows if r[1] < r[2] < r[3]]
+    return [int(i * (n / (n_splits + 1))) for i in range(n_splits + 1)] + [n]
+
+
+def fold_blocks(edges: list[int], expanding: bool = True) -> list[tuple[int, int]]:
+    """(fold, first training block) of the folds that have rows on both sides: fold k trains up to block k - 1 and validates on block k."""
+    folds = [(k, 0 if expanding else k - 1) for k in range(1, len(edges) - 1)]
+    return [(k, low) for k, low in folds if edges[low] < edges[k] < edges[k + 1]]
+
+
+def with_fold_block(ranked: DataFrame, edges: list[int], out: str = "block") -> DataFrame:
+    """Ranked samples with the number of their block."""
+    block = F.lit(0)
+    for edge in edges[1:-1]:
+        block = block + (F.col("rank") >= edge).cast("int")
+    return ranked.withColumn(out, block)
 
 
 def walk_forward_folds(

@@ -38,6 +38,7 @@ class Blocks:
     df: DataFrame
     keys: tuple[str, ...]
     sub_rows: int
+    rows_each: int
 
     def window(self):
         return Window.partitionBy(*self.keys, "_blk").orderBy("_sub", INDEX)
@@ -50,7 +51,7 @@ class Blocks:
         return Window.partitionBy(*self.keys, "_blk", "_sub").orderBy(INDEX)
 
     def with_df(self, df: DataFrame) -> "Blocks":
-        return Blocks(df, self.keys, self.sub_rows)
+        return Blocks(df, self.keys, self.sub_rows, self.rows_each)
 
     def columns(self, cols: dict[str, Column]) -> "Blocks":
         return self.with_df(self.df.withColumns(cols)) if cols else self
@@ -86,4 +87,4 @@ def row_blocks(
         .withColumn("_sub", F.floor(F.col(INDEX) / sub_rows))
         .repartition(*keys, "_blk")
     )
-    return Blocks(out, tuple(keys), sub_rows)
+    return Blocks(out, tuple(keys), sub_rows, rows)

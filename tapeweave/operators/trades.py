@@ -2,43 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeweave.functions.costs import Costs, apply_costs
 from tapeweave.functions.sizing import Sizing, size_positions
-from tapeweave.operators.indicators import counting_span, feature_blocks
-from tapeweave.operators.series import INDEX, with_row_index
+from tapeweave.functions.touch import Extremes
+from tapeweave.operators.indicators import add_indicators, counting_span
+from tapeweave.operators.series import INDEX, row_blocks, with_row_index
 from tapeweave.session import materialize
 
 
+def trade_bars(bars: DataFrame, timeframe: str, atr_window: int = 14, keys: list[str] = ["symbol"]) -> DataFrame:
+    """Numbered bars with their ATR, stored: what signals are opened on and walked along."""
+    indexed = with_row_index(bars, keys, span_seconds=counting_span(timeframe))
+    return materialize(add_indicators(indexed, timeframe, ["atr"], keys, atr_window).select(
+        *keys, "ts", "open", "high", "low", "close", "atr", INDEX
+    ))
+
+
 def open_context(
-    bars: DataFrame, signals: DataFrame, timeframe: str, max_horizon: int, atr_window: int = 14,
-    keys: list[str] = ["symbol"],
+    bars: DataFrame, signals: DataFrame, max_horizon: int, keys: list[str] = ["symbol"],
 ) -> DataFrame:
-    """Signals that can be traded, with the next bar's open, the signal bar's ATR and the path ahead.
+    """Signals that can be traded, with the next bar's number, open and time and the signal bar's ATR.
 
-    ``path`` holds the entry bar and the ``max_horizon`` bars after it. Bars that carry a signal are
-    marked by an equi-join before the bars are cut into blocks, so there is no range join, and only
-    marked bars keep a path. ``horizon`` may not exceed ``max_horizon``.
+    ``bars`` come from ``trade_bars``. A signal is matched to its bar by an equi-join on the time.
+    ``horizon`` may not exceed ``max_horizon``.
     """
-    acting = signals.filter(F.col("direction") != 0)
-    marks = acting.select(*keys, "ts").distinct().withColumn("marked", F.lit(True))
-    indexed = with_row_index(bars, keys, span_seconds=counting_span(timeframe))
-    blocks = feature_blocks(
-        indexed.join(marks, [*keys, "ts"], "left"), timeframe, ["atr"], keys, atr_window, ahead=max_horizon + 1
-    )
+    blocks = row_blocks(bars, keys, ahead=1)
     order = blocks.window()
-    bar = F.struct("ts", "high", "low", "close", "atr", F.col(INDEX).alias("idx"))
-    blocks = blocks.columns({
-        "entry": F.lead("open").over(order),
-        "entry_time": F.lead("ts").over(order),
-        "path": F.collect_list(bar).over(blocks.rows(1, max_horizon + 1)),
-    })
-    context = blocks.own().filter(F.col("marked") & F.col("entry_time").isNotNull() & (F.col("atr") > 0)).select(
-        *keys, "ts", F.col(INDEX).alias("bar_index"), "entry", "entry_time", "atr", "path"
+    blocks = blocks.columns({"entry": F.lead("open").over(order), "entry_time": F.lead("ts").over(order)})
+    context = blocks.own().filter(F.col("entry_time").isNotNull() & (F.col("atr") > 0)).select(
+        *keys, "ts", F.col(INDEX).alias("bar_index"), "entry", "entry_time", "atr"
     )
+    acting = signals.filter(F.col("direction") != 0)
     own = [c for c in acting.columns if c not in context.columns or c in (*keys, "ts")]
     too_far = F.raise_error(F.lit("signal horizon exceeds max_horizon")).cast("int")
     return acting.select(*own).join(context, [*keys, "ts"]).withColumn(
@@ -53,49 +53,67 @@ def one_per_moment(signals: DataFrame, keys: list[str] = ["symbol"]) -> DataFram
     return signals.groupBy(*keys, "ts").agg(best).select(*keys, "ts", "best.*").select(*signals.columns)
 
 
-def trade_outcomes(plans: DataFrame, trail_atr_mult: float | None = None) -> DataFrame:
+def trade_outcomes(
+    plans: DataFrame, bars: DataFrame, max_horizon: int, trail_atr_mult: float | None = None, keys: list[str] = ["symbol"],
+) -> DataFrame:
     """Exit of each plan: stop, trailing stop, take-profit, or the close at the horizon.
 
-    Bars are read in order along the plan's own path. The stop is tested before the take-profit;
-    a trailing stop is first tightened with the bar's own range.
+    A plan runs from the bar after its signal for ``horizon`` more bars. The stop is tested before the take-profit;
+    a trailing stop is first tightened with the bar's own range. Plans and ``bars`` (from ``trade_bars``) meet block
+    by block; there, tables of running extremes are descended to the first touch, so no plan carries its path and
+    a plan costs as many steps as its horizon has binary digits.
     """
-    state = "struct<stop:double,price:double,ts:timestamp_ntz,idx:bigint,reason:string>"
-    long_side = F.col("direction") > 0
-    take = F.col("take_profit")
-
-    def step(acc, bar):
-        stop = acc["stop"]
-        if trail_atr_mult:
-            reach = trail_atr_mult * bar["atr"]
-            tightened = F.when(
-                long_side, F.greatest(stop, bar["high"] - reach)
-            ).otherwise(F.least(stop, bar["low"] + reach))
-            stop = F.when(bar["atr"] > 0, tightened).otherwise(stop)
-        stopped = F.when(long_side, bar["low"] <= stop).otherwise(bar["high"] >= stop)
-        taken = F.when(long_side, bar["high"] >= take).otherwise(bar["low"] <= take)
-        price = F.when(stopped, stop).when(taken, take)
-        reason = F.when(stopped, F.lit("trail" if trail_atr_mult else "stop")).when(taken, F.lit("take"))
-        moved = F.struct(
-            stop.alias("stop"), price.alias("price"), bar["ts"].alias("ts"), bar["idx"].alias("idx"),
-            reason.alias("reason"),
-        ).cast(state)
-        return F.when(acc["reason"].isNotNull(), acc).otherwise(moved)
-
-    begin = F.struct(
-        F.col("stop").cast("double"), F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz"),
-        F.lit(None).cast("bigint"), F.lit(None).cast("string"),
-    ).cast(state)
-    walked = plans.withColumn("_path", F.slice("path", F.lit(1), F.col("horizon") + 1)).withColumn(
-        "_end", F.aggregate("_path", begin, step)
+    read = [*keys, "ts", "high", "low", "close", "atr", INDEX]
+    # New names for the same columns, as plans may come from these bars.
+    blocks = row_blocks(bars.select(*read).toDF(*read), keys, ahead=max_horizon + 1)
+    # More than one plan of a bar is possible, so what a block's plans read is their own columns and nothing else.
+    dealt = plans.withColumn("_blk", F.floor(F.col("bar_index") / blocks.rows_each))
+    added = "exit double, exit_time timestamp_ntz, exit_index bigint, reason string"
+    names = [c for c in plans.columns if c not in ("exit", "exit_time", "exit_index", "reason")]
+    schema = T.StructType([*[plans.schema[c] for c in names], *T.StructType.fromDDL(added).fields])
+    stop_reason = "trail" if trail_atr_mult else "stop"
+
+    def walk(mine: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.sort_by(INDEX)
+        number = block[INDEX].to_numpy()
+        high, low, close, atr = (block[c].to_numpy().astype(float) for c in ("high", "low", "close", "atr"))
+        start = mine["bar_index"].to_numpy() + 1 - (number[0] if number.size else 0)
+        long_side = mine["direction"].to_numpy() > 0
+        stop, take = (mine[c].to_numpy().astype(float) for c in ("stop", "take_profit"))
+        bars_each = np.minimum(mine["horizon"].to_numpy() + 1, number.size - start)
+        reach = np.where(atr > 0, (trail_atr_mult or 0.0) * atr, np.inf)
+        exit_at, price = np.zeros(len(mine), np.int64), np.zeros(len(mine))
+        hit, stopped = np.zeros(len(mine), bool), np.zeros(len(mine), bool)
+        for side, some in ((1.0, np.flatnonzero(long_side)), (-1.0, np.flatnonzero(~long_side))):
+            if not some.size:
+                continue
+            # A short is a long on mirrored prices.
+            tops, floors = (high, low) if side > 0 else (-low, -high)
+            pull = np.where(np.isfinite(reach), tops - reach, -np.inf) if trail_atr_mult else None
+            passed, last_stop = Extremes(tops, floors, int(bars_each[some].max()), pull).first(
+                start[some], bars_each[some], side * stop[some], side * take[some]
+            )
+            hit[some] = passed < bars_each[some]
+            exit_at[some] = start[some] + np.minimum(passed, bars_each[some] - 1)
+            stopped[some] = floors[exit_at[some]] <= last_stop
+            price[some] = side * np.where(stopped[some], last_stop, side * take[some])
+        reason = np.where(hit, np.where(stopped, stop_reason, "take"), "horizon")
+        out = mine.select(names)
+        out = out.append_column("exit", pa.array(np.where(hit, price, close[exit_at])))
+        out = out.append_column("exit_time", block["ts"].take(pa.array(exit_at)))
+        return out.append_column("exit_index", pa.array(number[exit_at])).append_column("reason", pa.array(reason, pa.string()))
+
+    return dealt.groupBy(*keys, "_blk").cogroup(blocks.df.groupBy(*keys, "_blk")).applyInArrow(
+        lambda mine, block: walk(mine, block) if len(mine) else empty_rows(mine, names), schema
     )
-    last = F.element_at("_path", F.lit(-1))
-    hit = F.col("_end")["reason"].isNotNull()
-    return walked.withColumns({
-        "exit": F.when(hit, F.col("_end")["price"]).otherwise(last["close"]),
-        "exit_time": F.when(hit, F.col("_end")["ts"]).otherwise(last["ts"]),
-        "exit_index": F.when(hit, F.col("_end")["idx"]).otherwise(last["idx"]),
-        "reason": F.when(hit, F.col("_end")["reason"]).otherwise("horizon"),
-    }).drop("_path", "_end", "path")
+
+
+def empty_rows(table: pa.Table, names: list[str]) -> pa.Table:
+    """No outcome, for a block of bars without plans."""
+    out = table.select(names)
+    for name, kind in (("exit", pa.float64()), ("exit_time", pa.timestamp("us")), ("exit_index", pa.int64()), ("reason", pa.string())):
+        out = out.append_column(name, pa.array([], kind))
+    return out
 
 
 SELECTION_ROWS = 1024
@@ -176,12 +194,11 @@ def trade_ledger(
     """
     gated = signals.filter((F.col("direction") != 0) & (F.col("probability") >= min_prob))
     gated = one_per_moment(gated) if one_per_symbol else gated
-    context = open_context(bars, gated, timeframe, max_horizon, atr_window)
-    plans = size_positions(context, equity, sizing)
-    trades = apply_costs(trade_outcomes(plans, trail_atr_mult), costs)
+    walked = trade_bars(bars, timeframe, atr_window)
+    plans = size_positions(open_context(walked, gated, max_horizon), equity, sizing)
+    trades = apply_costs(trade_outcomes(plans, walked, max_horizon, trail_atr_mult), costs)
     if one_per_symbol:
-        # The choice reads its trades more than once; without a stored copy their paths would be
-        # walked again each time.
+        # The choice reads its trades more than once.
         trades = single_position(materialize(trades), max_horizon + 1)
     return trades.select(
         "symbol", "direction", F.col("ts").alias("signal_ts"), "entry_time", "exit_time", "entry", "exit",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeweave.operators.catalysts import KEYWORDS, MODEL_LABELS, STRENGTH
 from tapeweave.operators.indicators import INDICATOR_COLUMNS
+from tapeweave.operators.models import draw_trials
 from tapeweave.operators.patterns import PATTERN_COLUMNS
 from tapeweave.plans.fixtures import LEXICON, SYMBOLS
 
@@ -214,47 +215,100 @@ def flat(source: str, out: str, cols: list[str], window: int) -> str:
     return f"{out} AS MATERIALIZED (SELECT * FROM (SELECT symbol, ts, i, {stats} FROM {source}) WHERE i >= {window - 1})"
 
 
-FEATURES = ["ret_1", "log_ret_1", "sma_20", "bb_mid", "bb_upper", "bb_lower", "bb_width", "stoch_k", "stoch_d", "vwap_dev", "close_pos", "cdl_doji"]
+FEATURES = INDICATOR_COLUMNS + PATTERN_COLUMNS
+
+
+def hours(k: int) -> str:
+    return f"date_trunc('day', ts) + (extract(hour FROM ts) // {k} * {k}) * INTERVAL 1 HOUR"
+
+
+def grid(expr: str, name: str, bits: int) -> str:
+    return f"round({expr} * {2**bits}.0::DOUBLE) / {2**bits}.0::DOUBLE + 0.0 AS {name}"
+
+
+def frame_ctes(k: int) -> list[str]:
+    """All features of the bars of ``k`` hours, cleaned as ``c<k>``; the bars with their indicators are ``e<k>``."""
+    if k == 1:
+        bars = "f1 AS (SELECT symbol, ts + INTERVAL 1 HOUR AS ts, open, high, low, close, volume FROM filled)"
+    else:
+        bars = bar_bars(f"f{k}", "filled", DAY if k == 24 else hours(k), f"bin + INTERVAL {k} HOUR")
+    flags = ", ".join(f"CAST({PATTERN_SQL[c]} AS INTEGER) AS {c}" for c in PATTERN_COLUMNS)
+    return [bars, window_features(f"f{k}", f"w{k}"), ewm_features(f"w{k}", f"e{k}"), f"d{k} AS (SELECT *, {flags} FROM e{k})", cleaned(f"d{k}", f"c{k}", FEATURES)]
+
+
+FRAMES = (1, 2, 4, 8)
 
 
 def sample_ctes() -> str:
-    doji = f"{PATTERN_SQL['cdl_doji']}"
-    base = "fclose AS (SELECT symbol, ts + INTERVAL 1 HOUR AS ts, open, high, low, close, volume FROM filled)"
-    parts = [B1H, FILLED, base, window_features("fclose", "w1"), f"d1 AS (SELECT *, {doji} AS cdl_doji FROM w1)",
-             bar_bars("f4", "filled", FOUR, "bin + INTERVAL 4 HOUR"), window_features("f4", "w4"),
-             f"d4 AS (SELECT *, {doji} AS cdl_doji FROM w4)",
-             cleaned("d1", "c1", FEATURES), flat("c1", "x1", FEATURES, 64),
-             cleaned("d4", "c4", FEATURES), flat("c4", "x4", FEATURES, 64),
-             atr_only("w1", "a1"), labelled("a1", "lab")]
-    picked = ", ".join(f"x{k}.{c}_{kind} AS {c}_{kind}_{tf}" for k, tf in ((1, "1h"), (4, "4h")) for c in FEATURES
-                       for kind in ("last", "mean", "var"))
-    joined = f"""samples AS MATERIALIZED (SELECT lab.symbol, lab.ts, CAST(lab.label + 1 AS INTEGER) AS label, lab.ret, {picked}
-  FROM lab JOIN x1 ON x1.symbol = lab.symbol AND x1.ts = lab.ts
-  ASOF JOIN x4 ON x4.symbol = lab.symbol AND x4.ts <= lab.ts WHERE lab.label IS NOT NULL)"""
-    return ", ".join([*parts, joined])
+    parts = [B1H, FILLED]
+    for k in FRAMES:
+        parts += [*frame_ctes(k), flat(f"c{k}", f"x{k}", FEATURES, 64)]
+    picked = ", ".join(f"x{k}.{c}_{kind} AS {c}_{kind}_{k}h" for k in FRAMES for c in FEATURES for kind in ("last", "mean"))
+    ends = ", ".join(f"x{k}.i AS i{k}" for k in FRAMES)
+    joins = " ".join(f"ASOF JOIN x{k} ON x{k}.symbol = lab.symbol AND x{k}.ts <= lab.ts" for k in FRAMES[1:])
+    joined = f"""samples AS MATERIALIZED (SELECT lab.symbol, lab.ts, lab.i, CAST(lab.label + 1 AS INTEGER) AS label, lab.ret, {picked}, {ends}
+  FROM lab JOIN x1 ON x1.symbol = lab.symbol AND x1.ts = lab.ts {joins} WHERE lab.label IS NOT NULL)"""
+    return ", ".join([*parts, labelled("e1", "lab"), joined])
+
+
+# Labelled bars and the number of the last bar of every timeframe that was closed then.
+TENSOR_FRAMES = {1: "1h", 2: "2h", 4: "4h", 24: "1d"}
+POINTED = """pointed AS MATERIALIZED (SELECT lab.symbol, lab.ts, CAST(lab.label + 1 AS INTEGER) AS label, lab.i AS i1, c2.i AS i2, c4.i AS i4, c24.i AS i24
+  FROM lab ASOF JOIN c2 ON c2.symbol = lab.symbol AND c2.ts <= lab.ts ASOF JOIN c4 ON c4.symbol = lab.symbol AND c4.ts <= lab.ts
+  ASOF JOIN c24 ON c24.symbol = lab.symbol AND c24.ts <= lab.ts
+  WHERE lab.label IS NOT NULL AND least(lab.i, c2.i, c4.i, c24.i) >= 15)"""
 
 
 SAMPLES = sample_ctes()
-MODEL_COLS = [f"{c}_{kind}_{tf}" for tf in ("1h", "4h") for c in FEATURES for kind in ("last", "mean")]
+MODEL_COLS = [f"{c}_{kind}_{k}h" for k in FRAMES for kind in ("last", "mean") for c in FEATURES]
+# Samples in their global order, with the blocks that four expanding folds are made of.
+BLOCKED = """blocked AS MATERIALIZED (SELECT *, (rank >= floor(n / 5.0::DOUBLE))::INT + (rank >= floor(2 * (n / 5.0::DOUBLE)))::INT
+  + (rank >= floor(3 * (n / 5.0::DOUBLE)))::INT + (rank >= floor(4 * (n / 5.0::DOUBLE)))::INT AS block
+  FROM (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS rank, count(*) OVER () AS n FROM samples))"""
 # The window values are unrolled here: mean and deviation over every value of every window.
-UNROLLED = "unrolled AS (" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, v.{c} AS x FROM samples s JOIN x{k} w ON w.symbol = s.symbol
-  AND w.ts = (SELECT max(ts) FROM x{k} m WHERE m.symbol = s.symbol AND m.ts <= s.ts)
-  JOIN c{k} v ON v.symbol = w.symbol AND v.i BETWEEN w.i - 63 AND w.i"""
-    for k in (1, 4) for c in FEATURES
+UNROLLED = "unrolled AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT s.block, {', '.join('v.' + c for c in FEATURES)} FROM blocked s JOIN c{k} v ON v.symbol = s.symbol AND v.i BETWEEN s.i{k} - 63 AND s.i{k}"
+    for k in FRAMES
 ) + ")"
-STATS = """stats AS MATERIALIZED (SELECT feature, avg(x) AS mean,
-  CASE WHEN stddev_pop(x) < 1e-8 THEN 1.0 ELSE stddev_pop(x) END AS std FROM unrolled GROUP BY 1)"""
+STATS = "stats AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) < 1e-8 THEN 1.0 ELSE stddev_pop({c}) END AS std FROM unrolled" for c in FEATURES
+) + ")"
+ALL_STATS = f"{SAMPLES}, {BLOCKED}, {UNROLLED}, {STATS}"
 
 
 def scaled(col: str) -> str:
-    feature = next(c for c in FEATURES if col.startswith(c + "_"))
-    return r(
-        f"({col} - (SELECT mean FROM stats WHERE feature = '{feature}')) / (SELECT std FROM stats WHERE feature = '{feature}')",
-        col,
+    feature = next(c for c in sorted(FEATURES, key=len, reverse=True) if col.startswith((c + "_last_", c + "_mean_")))
+    return grid(
+        f"({col} - (SELECT mean FROM stats WHERE feature = '{feature}')) / (SELECT std FROM stats WHERE feature = '{feature}')", col, 12
     )
 
 
+# Nearest class means under several label settings: ``marks`` has (setting, symbol, ts, label).
+NEAREST = f"""long AS MATERIALIZED (SELECT symbol, ts, block, col, x, regexp_replace(col, '_(last|mean)_[0-9]+h$', '') AS feature
+  FROM blocked UNPIVOT (x FOR col IN ({', '.join(MODEL_COLS)}))),
+folds AS (SELECT unnest([1, 2, 3, 4]) AS fold),
+wide_devs AS (SELECT fold, {', '.join(f"CASE WHEN stddev_pop({c}) < 1e-8 THEN 1.0 ELSE stddev_pop({c}) END AS {c}" for c in FEATURES)}
+  FROM unrolled JOIN folds ON block < fold GROUP BY fold),
+devs AS (SELECT fold, feature, std FROM wide_devs UNPIVOT (std FOR feature IN ({', '.join(FEATURES)}))),
+block_sums AS MATERIALIZED (SELECT setting, block, label, col, feature, sum(x) AS total, count(*) AS n FROM long JOIN marks USING (symbol, ts) GROUP BY ALL),
+means AS MATERIALIZED (SELECT setting, fold, label AS cls, col, std, sum(total) / sum(n) AS mean FROM block_sums JOIN folds ON block < fold
+  JOIN devs USING (fold, feature) GROUP BY ALL),
+far AS (SELECT m.setting, l.block AS fold, l.symbol, l.ts, m.cls, sum(pow((l.x - m.mean) / m.std, 2)) AS d
+  FROM long l JOIN means m ON m.fold = l.block AND m.col = l.col GROUP BY ALL),
+nearest AS (SELECT setting, fold, symbol, ts, cls AS pred FROM far QUALIFY row_number() OVER (PARTITION BY setting, symbol, ts ORDER BY d, cls) = 1),
+predicted AS MATERIALIZED (SELECT setting, fold, (setting, fold) AS part, label, pred FROM nearest JOIN marks USING (setting, symbol, ts))"""
+ONE_SETTING = "marks AS (SELECT 0 AS setting, symbol, ts, label FROM samples)"
+TRIALS = "trials AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({t}, {p['take_profit_atr']!r}::DOUBLE, {p['stop_loss_atr']!r}::DOUBLE)" for t, p in enumerate(draw_trials())
+) + ") AS v(setting, take, stop))"
+TRIAL_MARKS = """touches AS (SELECT setting, a.symbol, a.i, min(b.i) FILTER (b.high >= a.close + take * a.atr) AS tp,
+    min(b.i) FILTER (b.low <= a.close - stop * a.atr) AS sl
+  FROM e1 a JOIN e1 b ON b.symbol = a.symbol AND b.i BETWEEN a.i + 1 AND a.i + 12, trials GROUP BY 1, 2, 3),
+marks AS MATERIALIZED (SELECT setting, s.symbol, s.ts, CAST(CASE WHEN sl IS NOT NULL AND (tp IS NULL OR sl <= tp) THEN 0 WHEN tp IS NOT NULL THEN 2 ELSE 1 END AS INTEGER) AS label
+  FROM samples s JOIN touches t ON t.symbol = s.symbol AND t.i = s.i)"""
+SEARCHED = f"{SAMPLES}, {BLOCKED}, {UNROLLED}, {TRIALS}, {TRIAL_MARKS}, {NEAREST}"
+
+
 RANKED = "ranked AS (SELECT symbol, ts, row_number() OVER (ORDER BY ts, symbol) - 1 AS rank, count(*) OVER () AS n FROM bars)"
 
 
@@ -513,10 +567,23 @@ ORACLE = {
                         body=f"SELECT symbol, ts, {rs('close_pos, sma_20, ret_1')} FROM c"),
     "flat_features": q(WINDOWED, cleaned("wf", "c", ["ret_1", "close_pos"]), flat("c", "x", ["ret_1", "close_pos"], 16),
                        body=f"SELECT symbol, ts, {rs([f'{c}_{k}' for c in ('ret_1', 'close_pos') for k in ('last', 'mean', 'var')])} FROM x"),
-    "build_samples": q(SAMPLES, body=f"SELECT symbol, ts, label, {r('ret')}, {', '.join(r(f'{c} + 1e-8', c) for c in MODEL_COLS)} FROM samples"),
-    "scaler_stats": q(SAMPLES, UNROLLED, STATS, body=f"SELECT feature, {rs('mean, std')} FROM stats"),
-    "scaled_features": q(SAMPLES, UNROLLED, STATS, body=f"""SELECT symbol, ts, {', '.join(scaled(c) for c in
-        ('ret_1_last_1h', 'ret_1_mean_4h', 'bb_width_last_4h', 'close_pos_mean_1h'))} FROM samples"""),
+    "window_tensors": q(
+        B1H, FILLED, *[part for k in TENSOR_FRAMES for part in frame_ctes(k)], labelled("e1", "lab"), POINTED,
+        body=" UNION ALL ".join(
+            f"SELECT p.symbol, p.ts, p.label, '{name}' AS timeframe, CAST(v.i - p.i{k} + 15 AS INTEGER) AS bar, {', '.join(grid('v.' + c, c, 16) for c in FEATURES)} "
+            f"FROM pointed p JOIN c{k} v ON v.symbol = p.symbol AND v.i BETWEEN p.i{k} - 15 AND p.i{k}" for k, name in TENSOR_FRAMES.items()
+        ),
+    ),
+    "weekly_asof": q(
+        B1H, FILLED, "fclose AS (SELECT symbol, ts + INTERVAL 1 HOUR AS ts, close FROM filled)",
+        bar_bars("fw", "filled", SUNDAY, "bin + INTERVAL 7 DAY"), bar_bars("f4", "filled", FOUR, "bin + INTERVAL 4 HOUR"),
+        "gapped AS (SELECT * FROM f4 WHERE dayofyear(ts) % 3 = 0)",
+        body=f"""SELECT b.symbol, b.ts, {r('b.close', 'close')}, {r('w.close', 'close_1w')}, {r('w.volume', 'volume_1w')}, {r('g.high', 'high_gap')}
+        FROM fclose b ASOF LEFT JOIN fw w ON w.symbol = b.symbol AND w.ts <= b.ts ASOF LEFT JOIN gapped g ON g.symbol = b.symbol AND g.ts <= b.ts""",
+    ),
+    "build_samples": q(SAMPLES, body=f"SELECT symbol, ts, label, {grid('ret', 'ret', 16)}, {', '.join(grid(c, c, 16) for c in MODEL_COLS)} FROM samples"),
+    "scaler_stats": q(ALL_STATS, body=f"SELECT feature, {rs('mean, std')} FROM stats"),
+    "scaled_features": q(ALL_STATS, body=f"SELECT symbol, ts, {', '.join(scaled(c) for c in MODEL_COLS)} FROM samples"),
     "temporal_split": q(B1HC, RANKED, body="SELECT symbol, ts, rank, CASE WHEN rank < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS role FROM ranked"),
     "walk_forward_folds": folds(4, True),
     "walk_forward_rolling": folds(3, False),
@@ -607,10 +674,18 @@ ORACLE = {
         (SELECT count(*) FROM predicted x WHERE x.label = t AND x.pred = p) AS count FROM range(0, 3) AS a(t), range(0, 3) AS b(p)"""),
     "class_report": q(PREDICTED, report("1"), body=f"SELECT {rs(REPORT_COLS)} FROM reports"),
     "fold_summary": q(PREDICTED, report("fold"), body=f"SELECT count(*)::DOUBLE AS n_folds, {FOLD_COLS} FROM reports"),
-    "baseline_fit_score": q(SAMPLES, SAMPLE_RANKED, body=MODEL_ROWS),
-    "ensemble_score": q(SAMPLES, SAMPLE_RANKED, body=MODEL_ROWS.replace("FROM ranked", ", TRUE AS weighted, TRUE AS reloaded FROM ranked")),
+    "baseline_fit_score": q(SAMPLES, SAMPLE_RANKED, body=MODEL_ROWS.replace("FROM ranked", ", TRUE AS learned FROM ranked")),
+    "ensemble_score": q(SAMPLES, SAMPLE_RANKED, body=MODEL_ROWS.replace("FROM ranked", ", TRUE AS weighted, TRUE AS reloaded, TRUE AS learned FROM ranked")),
     "walk_forward": q(SAMPLES, SAMPLE_RANKED, body=f"""SELECT fold, count(*) FILTER (role = 'train') AS n_train,
-        count(*) FILTER (role = 'val') AS n_val, TRUE AS in_range FROM ({fold_rows(3, True)}) GROUP BY fold"""),
+        count(*) FILTER (role = 'val') AS n_val, TRUE AS in_range FROM ({fold_rows(4, True)}) GROUP BY fold"""),
+    "walk_forward_fixed": q(SAMPLES, BLOCKED, UNROLLED, ONE_SETTING, NEAREST, report("fold"), body=f"""SELECT CAST(g AS INTEGER) AS fold,
+        (SELECT count(*) FROM blocked WHERE block < g) AS n_train, {rs(REPORT_COLS)} FROM reports"""),
+    "param_search": q(SEARCHED, report("part"), """scores AS (SELECT g[1] AS setting, avg(balanced_accuracy) AS fixed_score FROM reports GROUP BY 1),
+        sized AS (SELECT setting, count(*) AS n_samples, count(*) FILTER (label = 0) AS n_down, count(*) FILTER (label = 1) AS n_flat,
+        count(*) FILTER (label = 2) AS n_up FROM marks GROUP BY 1),
+        placed AS (SELECT *, row_number() OVER (ORDER BY fixed_score DESC, setting) <= 5 AS advanced FROM scores)""",
+        body=f"""SELECT CAST(setting AS INTEGER) AS trial, {r('take', 'take_profit_atr')}, {r('stop', 'stop_loss_atr')}, n_samples, n_down, n_flat, n_up,
+        {r('fixed_score')}, advanced, advanced AS scored FROM trials JOIN sized USING (setting) JOIN placed USING (setting)"""),
     "average_probs": q("""members AS (SELECT doc_id, [0.5, 0.3, 0.2] AS a, CASE WHEN quality = 1 THEN [0.1, 0.2, 0.7] ELSE [0.0, 0.9, 0.1] END AS b FROM labels),
         mixed AS (SELECT doc_id, list_transform([1, 2, 3], lambda k: 0.25 * a[k]::DOUBLE + 0.75 * b[k]::DOUBLE) AS p FROM members),
         topped AS (SELECT doc_id, p, CAST(list_position(p, list_max(p)) AS INTEGER) - 1 AS pred FROM mixed)""",

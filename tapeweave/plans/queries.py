@@ -14,10 +14,10 @@ from tapeweave.functions import text
 from tapeweave.functions.costs import STANDARD_COSTS, apply_costs
 from tapeweave.functions.sizing import Sizing, size_positions
 from tapeweave.operators import catalysts as cat
-from tapeweave.operators import evaluation, fusion, metrics, models, portfolio, samples, trades
+from tapeweave.operators import evaluation, fusion, metrics, models, portfolio, samples, tensors, trades
 from tapeweave.operators.asof import asof_join
 from tapeweave.operators.bars import close_labeled, fill_missing_bars, resample_bars
-from tapeweave.operators.indicators import INDICATOR_COLUMNS, add_indicators, add_obv
+from tapeweave.operators.indicators import FEATURE_COLUMNS, INDICATOR_COLUMNS, add_indicators, add_obv
 from tapeweave.operators.labels import triple_barrier_labels
 from tapeweave.operators.patterns import PATTERN_COLUMNS
 from tapeweave.operators.series import INDEX
@@ -35,6 +35,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[fix(f) for f in df.schema.fields])
 
 
+def gridded(df: DataFrame, bits: int) -> DataFrame:
+    """Doubles to the nearest multiple of ``2 ** -bits``. Averages of prices in cents often lie halfway between two
+    decimal roundings, where the last bit decides; they never lie halfway between two binary ones."""
+    step = float(2**bits)
+    fix = lambda f: (F.round(F.col(f.name) * step) / step + 0.0).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name)
+    return df.select(*[fix(f) for f in df.schema.fields])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/runs/{name}-{uuid.uuid4().hex}"
 
@@ -130,10 +138,8 @@ def window_arrays(spark, sf):
 
 # --- labels and samples ----------------------------------------------------------------------
 
-SAMPLE_FEATURES = [
-    "ret_1", "log_ret_1", "sma_20", "bb_mid", "bb_upper", "bb_lower", "bb_width", "stoch_k", "stoch_d", "vwap_dev", "close_pos", "cdl_doji",
-]
-SAMPLE_OPTIONS = dict(window=64, horizon=12)
+#: Four timeframes over which 30 days of hourly bars hold the default window of 64 bars.
+FRAMES = ["1h", "2h", "4h", "8h"]
 
 
 def triple_barrier(spark, sf):
@@ -158,25 +164,39 @@ def flat_features(spark, sf):
 
 
 def _samples(spark, sf) -> DataFrame:
-    return samples.build_samples(
-        fx.hourly(spark, sf), "1h", ["1h", "4h"], features=SAMPLE_FEATURES, **SAMPLE_OPTIONS
-    )
+    """Samples of all features, with the default window and horizon."""
+    return samples.build_samples(fx.hourly(spark, sf), "1h", FRAMES)
 
 
 def build_samples(spark, sf):
-    cols = [f"{c}_{kind}_{tf}" for tf in ("1h", "4h") for c in SAMPLE_FEATURES for kind in ("last", "mean")]
-    # Means of prices often end in 5 behind the last digit shown: a hair more lets both engines round them up.
-    return rounded(_samples(spark, sf).select("symbol", "ts", "label", "ret", *[(F.col(c) + 1e-8).alias(c) for c in cols]))
+    return gridded(_samples(spark, sf).select("symbol", "ts", "label", "ret", *samples.model_columns(FEATURE_COLUMNS, FRAMES)), 16)
 
 
 def scaler_stats(spark, sf):
-    return rounded(samples.scaler_stats(materialize(_samples(spark, sf)), SAMPLE_FEATURES))
+    return rounded(samples.scaler_stats(_samples(spark, sf), FEATURE_COLUMNS))
 
 
 def scaled_features(spark, sf):
-    s = materialize(_samples(spark, sf))
-    out = samples.apply_scaler(s, samples.scaler_stats(s, SAMPLE_FEATURES), SAMPLE_FEATURES)
-    return rounded(out.select("symbol", "ts", "ret_1_last_1h", "ret_1_mean_4h", "bb_width_last_4h", "close_pos_mean_1h"))
+    s = _samples(spark, sf)
+    out = samples.apply_scaler(s, samples.scaler_stats(s, FEATURE_COLUMNS), FEATURE_COLUMNS)
+    return gridded(out.select("symbol", "ts", *samples.model_columns(FEATURE_COLUMNS, FRAMES)), 12)
+
+
+def window_tensors(spark, sf):
+    """Every cell of every sample's windows on four timeframes: a row per sample, timeframe and bar, a column per feature."""
+    frames = ["1h", "2h", "4h", "1d"]
+    built = tensors.build_tensors(fx.hourly(spark, sf), "1h", frames, window=16)
+    stacked = F.array(*[F.struct(F.lit(tf).alias("timeframe"), F.col(f"window_{tf}").alias("cells")) for tf in frames])
+    bars = built.select("symbol", "ts", "label", F.explode(stacked).alias("w")).select("symbol", "ts", "label", "w.timeframe", F.posexplode("w.cells").alias("bar", "x"))
+    return gridded(bars.select("symbol", "ts", "label", "timeframe", "bar", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(FEATURE_COLUMNS)]), 16)
+
+
+def weekly_asof(spark, sf):
+    """Hourly closes with the last closed weekly bar, and with the last 4-hour bar of a series that misses two days in three."""
+    base = materialize(fill_missing_bars(fx.bars_1h(spark, sf), "1h"))
+    left = close_labeled(base, "1h").select("symbol", "ts", "close")
+    gapped = resample_bars(base, "4h").filter(F.dayofyear("ts") % 3 == 0)
+    return rounded(asof_join(left, {"1w": resample_bars(base, "1w").select("symbol", "ts", "close", "volume"), "gap": gapped.select("symbol", "ts", "high")}))
 
 
 def temporal_split(spark, sf):
@@ -396,30 +416,36 @@ def fused_meta(spark, sf):
 
 def _context(spark, sf):
     bars = fx.hourly_closed(spark, sf)
-    return trades.open_context(bars, fx.signals_of(bars), "1h", 12)
+    walked = trades.trade_bars(bars, "1h")
+    return walked, trades.open_context(walked, fx.signals_of(bars), 12)
+
+
+def _walked(spark, sf, trail=None):
+    bars, context = _context(spark, sf)
+    return trades.trade_outcomes(size_positions(context), bars, 12, trail)
 
 
 def _plans(method):
     def run(spark, sf):
-        plans = size_positions(_context(spark, sf), 100_000.0, Sizing(method=method))
-        return rounded(plans.drop("path", "bar_index", "horizon", "atr", "entry_time"))
+        plans = size_positions(_context(spark, sf)[1], 100_000.0, Sizing(method=method))
+        return rounded(plans.drop("bar_index", "horizon", "atr", "entry_time"))
     return run
 
 
 def _outcomes(trail):
     def run(spark, sf):
-        out = trades.trade_outcomes(size_positions(_context(spark, sf)), trail)
+        out = _walked(spark, sf, trail)
         return rounded(out.select("symbol", "ts", "direction", "entry_time", "entry", "exit_time", "exit", "reason"))
     return run
 
 
 def trade_costs(spark, sf):
-    out = apply_costs(trades.trade_outcomes(size_positions(_context(spark, sf))), STANDARD_COSTS)
+    out = apply_costs(_walked(spark, sf), STANDARD_COSTS)
     return rounded(out.select("symbol", "ts", "direction", "quantity", "pnl", "cost"))
 
 
 def single_position(spark, sf):
-    out = materialize(trades.trade_outcomes(size_positions(_context(spark, sf))))
+    out = materialize(_walked(spark, sf))
     return rounded(trades.single_position(out, 13).select("symbol", "ts", "direction", "entry_time", "exit_time", "reason"))
 
 
@@ -532,8 +558,14 @@ def fold_summary(spark, sf):
 def baseline_fit_score(spark, sf):
     """Trees fitted on the earlier samples, scoring the later ones."""
     s = materialize(samples.temporal_split(_samples(spark, sf), 0.2))
-    model = models.fit_trees(s.filter("role = 'train'"), SAMPLE_FEATURES)
-    return _scored(models.score(model, s.filter("role = 'val'")))
+    train = s.filter("role = 'train'")
+    model = models.fit_trees(train, FEATURE_COLUMNS)
+    return _scored(models.score(model, s.filter("role = 'val'")), _learned(models.score(model, train)))
+
+
+def _learned(scored: DataFrame):
+    """Whether the training rows were learned: a guess would be right for a third of each class."""
+    return F.lit(evaluation.classification_report(scored).first()["balanced_accuracy"] > 0.6).alias("learned")
 
 
 def _scored(scored: DataFrame, *more) -> DataFrame:
@@ -547,7 +579,8 @@ def _scored(scored: DataFrame, *more) -> DataFrame:
 
 def ensemble_score(spark, sf):
     s = materialize(samples.temporal_split(_samples(spark, sf), 0.2))
-    both = models.fit_ensemble(s.filter("role = 'train'"), SAMPLE_FEATURES, 0.5)
+    train = s.filter("role = 'train'")
+    both = models.fit_ensemble(train, FEATURE_COLUMNS, 0.5)
     path = scratch(spark, "model")
     models.save_ensemble(spark, both, path)
     loaded, late = models.load_ensemble(spark, path), s.filter("role = 'val'")
@@ -556,7 +589,8 @@ def ensemble_score(spark, sf):
     near = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) < 1e-9), lambda x: x)
     rows = models.score_ensemble(both, late).join(members, ["symbol", "ts"]).join(again, ["symbol", "ts"])
     half = F.zip_with("regression", "trees", lambda a, b: (a + b) / 2)
-    return _scored(rows, near("probs", half).alias("weighted"), (near("regression", "r2") & near("trees", "t2")).alias("reloaded"))
+    same = (near("probs", half).alias("weighted"), (near("regression", "r2") & near("trees", "t2")).alias("reloaded"))
+    return _scored(rows, *same, _learned(models.score_ensemble(both, train)))
 
 
 def average_probs(spark, sf):
@@ -571,22 +605,25 @@ def average_probs(spark, sf):
 
 
 def walk_forward(spark, sf):
-    s = materialize(_samples(spark, sf))
-    reports = models.walk_forward_reports(s, SAMPLE_FEATURES, n_splits=3)
-    scores = [c for c, kind in reports.dtypes if kind == "double" and c not in ("n", "support")]
-    bounded = [F.col(c).isNull() | F.col(c).between(0.0, 1.0) for c in scores if not c.startswith(("n_", "support"))]
-    sized = samples.walk_forward_folds(s, 3).groupBy("fold").agg(
-        F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "val").alias("n_val")
-    )
-    held = reports.select("fold", F.forall(F.array(*bounded), lambda x: x).alias("in_range"))
-    return sized.join(held, "fold")
+    """Forests on all folds: their sizes, and that every measure is one."""
+    reports = models.walk_forward_reports(_samples(spark, sf), FEATURE_COLUMNS)
+    measures = [c for c in reports.columns if c not in ("fold", "n_train", "n")]
+    held = F.forall(F.array(*[F.col(c).between(0.0, 1.0) for c in measures]), lambda x: x)
+    return reports.select("fold", "n_train", F.col("n").cast("bigint").alias("n_val"), held.alias("in_range"))
+
+
+def walk_forward_fixed(spark, sf):
+    """Every column of the folds' reports, by a model that SQL can state: the nearest class mean."""
+    return rounded(models.centroid_reports(_samples(spark, sf), FEATURE_COLUMNS).drop("setting"))
 
 
 def param_search(spark, sf):
-    return models.search_params(
-        fx.hourly(spark, sf), "1h", ["1h"], SAMPLE_FEATURES, n_splits=2,
-        trials=models.draw_trials(2), **SAMPLE_OPTIONS,
-    )
+    """All trials on all folds; which of them went on to forests follows from the scores that SQL can state."""
+    found = models.search_params(fx.hourly(spark, sf), "1h", FRAMES)
+    return rounded(found.select(
+        "trial", "take_profit_atr", "stop_loss_atr", "n_samples", "n_down", "n_flat", "n_up", "fixed_score", (F.col("rung") > 0).alias("advanced"),
+        F.coalesce(F.col("score").between(0.0, 1.0), F.lit(False)).alias("scored"),
+    ))
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -700,6 +737,8 @@ QUERIES = {
     **{"pattern_" + c.removeprefix("cdl_"): _indicators(c) for c in PATTERN_COLUMNS},
     "mtf_asof": mtf_asof,
     "window_arrays": window_arrays,
+    "window_tensors": window_tensors,
+    "weekly_asof": weekly_asof,
     "triple_barrier": triple_barrier,
     "class_balance": class_balance,
     "clean_features": clean_features,
@@ -765,6 +804,7 @@ QUERIES = {
     "baseline_fit_score": baseline_fit_score,
     "ensemble_score": ensemble_score,
     "walk_forward": walk_forward,
+    "walk_forward_fixed": walk_forward_fixed,
     "average_probs": average_probs,
     "param_search": param_search,
     "stream_bars": stream_bars,

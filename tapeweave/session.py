@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return stage(df)[0]
 
 
+def materialize_all(frames: dict) -> dict:
+    """``materialize`` of several independent frames at once, so that one's last tasks don't hold up the next."""
+    with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
+        return dict(zip(frames, pool.map(materialize, frames.values())))
+
+
+def require_rows(df: DataFrame, why: str = "no series gave a labelled sample") -> DataFrame:
+    """``df``, a stored frame, if it has a row; raises otherwise."""
+    if df.isEmpty():
+        raise ValueError(why)
+    return df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table folder through the file system that owns it."""
     jvm = spark._jvm

@@ -68,17 +68,17 @@ def test_costs(spark, costs, args, pnl, cost):
     assert got["pnl"] == pytest.approx(pnl) and got["cost"] == pytest.approx(cost)
 
 
-PATH = "path array<struct<ts:timestamp_ntz,high:double,low:double,close:double,atr:double,idx:bigint>>"
+WALKED = "symbol string, ts timestamp_ntz, high double, low double, close double, atr double, _i long"
+PLAN = "symbol string, direction int, entry double, stop double, take_profit double, horizon int, bar_index long"
 
 
 def walk(spark, bars, direction=1, entry=100.0, stop=98.0, take=104.0, horizon=12, trail=None):
-    path = [(T0 + timedelta(minutes=i), float(h), float(l), float(c), a, i) for i, (h, l, c, a) in enumerate(bars)]
-    df = spark.createDataFrame(
-        [("AAA", direction, entry, stop, take, horizon, path)],
-        f"symbol string, direction int, entry double, stop double, take_profit double, horizon int, {PATH}",
-    )
-    r = trade_outcomes(df, trail).first()
-    return r["exit"], r["exit_index"], r["reason"]
+    """Exit price, bar and reason of a plan whose signal is on the bar before the given ones."""
+    rows = [("AAA", T0 + timedelta(minutes=i), float(h), float(l), float(c), a, i) for i, (h, l, c, a) in enumerate([(0, 0, 0, 1.0), *bars])]
+    plan = spark.createDataFrame([("AAA", direction, entry, stop, take, horizon, 0)], PLAN)
+    r = trade_outcomes(plan, spark.createDataFrame(rows, WALKED), horizon, trail).first()
+    assert r["exit_time"] == T0 + timedelta(minutes=r["exit_index"])
+    return r["exit"], r["exit_index"] - 1, r["reason"]
 
 
 def test_exit_rules(spark):
@@ -99,6 +99,39 @@ def test_trailing_stop(spark):
     assert walk(spark, [(105, 97, 98, 0.0)], take=200.0, trail=2.0) == (98.0, 0, "trail")
 
 
+@pytest.mark.parametrize("trail", [None, 1.5])
+def test_outcomes_equal_a_walk_along_every_path(spark, trail):
+    """Random walks of two symbols with missing ATRs, horizons up to 200 bars, many plans a bar, plans near the end."""
+    rng = np.random.default_rng(11)
+    rows, plans, want = [], [], []
+    for symbol, n in (("HOT", 900), ("b", 40)):
+        close = 100 + np.cumsum(rng.normal(0, 0.5, n))
+        high, low = close + rng.random(n), close - rng.random(n)
+        atr = np.where(rng.random(n) < 0.1, 0.0, rng.random(n) + 0.2)
+        rows += [(symbol, T0 + timedelta(minutes=i), *map(float, (high[i], low[i], close[i], atr[i])), i) for i in range(n)]
+        for _ in range(n):
+            at, side, horizon = int(rng.integers(0, n - 1)), int(rng.choice([-1, 1])), int(rng.integers(0, 201))
+            entry = float(close[at])
+            stop, take = entry - side * float(rng.random() * 6), entry + side * float(rng.random() * 12)
+            plans.append((symbol, side, entry, stop, take, horizon, at))
+            level, found = stop, None
+            path = range(at + 1, min(n, at + 2 + horizon))
+            for i in path:
+                if trail and atr[i] > 0:
+                    level = max(level, high[i] - trail * atr[i]) if side > 0 else min(level, low[i] + trail * atr[i])
+                if (low[i] <= level) if side > 0 else (high[i] >= level):
+                    found = (float(level), i, "trail" if trail else "stop")
+                elif (high[i] >= take) if side > 0 else (low[i] <= take):
+                    found = (take, i, "take")
+                if found:
+                    break
+            want.append((*plans[-1], *(found or (float(close[path[-1]]), path[-1], "horizon"))))
+    got = trade_outcomes(spark.createDataFrame(plans, PLAN), spark.createDataFrame(rows, WALKED), 200, trail)
+    assert not any(x in str(got._jdf.queryExecution()) for x in ("collect_list", "CollectList"))
+    cols = ["symbol", "direction", "entry", "stop", "take_profit", "horizon", "bar_index", "exit", "exit_index", "reason"]
+    assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(want)
+
+
 def signal(spark, *rows):
     return spark.createDataFrame([(s, t, d, 0.9, h) for s, t, d, h in rows], SIGNAL)
 
