@@ -187,6 +187,20 @@ def plan_groups(docs: DataFrame, words: DataFrame, text: str, lang: str, budget:
     return plan
 
 
+def frequent_words(words: DataFrame) -> np.ndarray:
+    """Hashes of at most ``CODED`` words: all from the least count on, in steps of a fifth, that so many reach."""
+    step = F.floor(F.log2("n") * 4)
+    left, least = CODED, None
+    # A row per step, from the greatest counts down: a few hundred.
+    for row in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["step"]
+    chosen = words.filter(step >= least).select("h").toPandas()["h"] if least is not None else []
+    return np.sort(np.array(chosen, np.int64)).view(np.uint64)
+
+
 _zstd = pa.Codec("zstd", compression_level=1)
 
 
@@ -310,7 +324,7 @@ def mine_phrases(
     words = materialize(count_words(docs, "text", "lang"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     plan = plan_groups(docs, words, "text", "lang", budget)
-    frequent = words.select("h", "n").orderBy(F.desc("n"), "h").limit(CODED).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    frequent = frequent_words(words)
     codes = np.concatenate([np.zeros(1, np.uint64), frequent, np.zeros(_ESCAPED - frequent.size, np.uint64)])
     grams = materialize(count_phrases(cut_suffixes(docs, plan, codes, "text", "lang"), plan, codes, least))
 
