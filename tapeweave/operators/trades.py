@@ -119,6 +119,53 @@ def empty_rows(table: pa.Table, names: list[str]) -> pa.Table:
 SELECTION_ROWS = 1024
 
 
+#: Blocks whose maps are put together in one step.
+CHAINED = 64
+
+
+def block_starts(maps: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, _blk, _busy): what every block of a series starts with, if the first starts with 0.
+
+    ``maps`` has for each block (keys, ``_blk``) the array ``_map`` of what it hands on for each start from 0 to
+    ``most``; a missing block hands on 0. ``CHAINED`` neighbours at a time are put together into the map of
+    their group, and those of groups again, until a series is one group; then the starts are handed back down. So
+    no task walks a series, and the steps grow with the logarithm of its blocks.
+    """
+    levels = [materialize(maps)]
+    while (levels[-1].agg(F.max("_blk")).first()[0] or 0) > 0:
+        levels.append(materialize(_grouped_maps(levels[-1], keys).select(
+            *keys, "_blk", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long")), lambda s: _handed_on(s)["busy"]).alias("_map")
+        )))
+    starts = levels[-1].select(*keys, "_blk", F.lit(0).cast("long").alias("_busy"))
+    for below in reversed(levels[:-1]):
+        met = _grouped_maps(below, keys).join(starts, [*keys, "_blk"]).select(*keys, F.explode(_handed_on(F.col("_busy"))["met"]).alias("x"))
+        starts = met.select(*keys, "x.*")
+    return starts
+
+
+def _grouped_maps(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per group of ``CHAINED`` neighbouring blocks, with their numbers and maps in order."""
+    group = F.floor(F.col("_blk") / CHAINED)
+    return maps.groupBy(*keys, group.alias("_group")).agg(F.sort_array(F.collect_list(F.struct("_blk", "_map"))).alias("_maps")).withColumnRenamed("_group", "_blk")
+
+
+def _handed_on(start):
+    """What a group hands on from ``start`` (``busy``), and what each of its blocks starts with (``met``)."""
+    first = F.col("_blk") * CHAINED
+    state = "struct<at:bigint,busy:bigint,met:array<struct<_blk:bigint,_busy:bigint>>>"
+
+    def step(acc, block):
+        busy = F.when(block["_blk"] == acc["at"], acc["busy"]).otherwise(F.lit(0).cast("long"))  # a gap frees the series
+        met = F.concat(acc["met"], F.array(F.struct(block["_blk"].alias("_blk"), busy.alias("_busy"))))
+        return F.struct((block["_blk"] + 1).alias("at"), F.get(block["_map"], busy.cast("int")).alias("busy"), met.alias("met")).cast(state)
+
+    begin = F.struct(first.alias("at"), start.cast("long").alias("busy"), F.array().alias("met")).cast(state)
+    end = lambda acc: F.struct(
+        F.when(acc["at"] == first + CHAINED, acc["busy"]).otherwise(F.lit(0).cast("long")).alias("busy"), acc["met"].alias("met")
+    )
+    return F.aggregate("_maps", begin, step, end)
+
+
 def single_position(
     trades: DataFrame, max_bars: int, keys: list[str] = ["symbol"], block_bars: int = SELECTION_ROWS
 ) -> DataFrame:
@@ -149,19 +196,7 @@ def single_position(
         *keys, "_blk", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_bars).cast("long")), late).alias("_map")
     )
 
-    def chain(pdf):
-        # One small row per block of bars; a gap in blocks frees the symbol.
-        pdf = pdf.sort_values("_blk")
-        busy, previous, starts = 0, None, []
-        for number, table in zip(pdf["_blk"], pdf["_map"]):
-            busy = busy if previous is not None and number == previous + 1 else 0
-            starts.append(busy)
-            busy, previous = int(table[busy]), number
-        return pdf.drop(columns="_map").assign(_busy=starts)
-
-    key_fields = [maps.schema[k] for k in keys]
-    schema = T.StructType([*key_fields, T.StructField("_blk", T.LongType()), T.StructField("_busy", T.LongType())])
-    starts = maps.groupBy(*keys).applyInPandas(chain, schema)
+    starts = block_starts(maps, keys, max_bars)
 
     chosen = F.aggregate(
         "_walk",

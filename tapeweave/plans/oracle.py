@@ -542,6 +542,8 @@ ORACLE = {
     "obv_z": windowed("obv_z"),
     "bar_shape": decayed("close_pos", "range_atr"),
     "indicators": decayed(*INDICATOR_COLUMNS),
+    "feature_names": q(FULL, f"flagged AS (SELECT *, {', '.join(f'{PATTERN_SQL[c]} AS {c}' for c in PATTERN_COLUMNS)} FROM feat)",
+                       body=" UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n FROM flagged" for c in FEATURES)),
     "indicators_supplier": q(
         SUPPLIER_BARS, window_features("sbars", "swf"), SUPPLIER_EWM,
         body=f"SELECT symbol, ts, {rs(SUPPLIER_COLUMNS)}, CAST({PATTERN_SQL['cdl_doji']} AS INTEGER) AS cdl_doji FROM sfeat",
@@ -599,6 +601,7 @@ ORACLE = {
         AND symbol = 'error' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25'"""),
     "series_coverage": q(B1H, body="SELECT symbol, '1h' AS timeframe, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n_rows FROM bars GROUP BY 1"),
     "news_coverage": q(NEWS, body=f"SELECT symbol, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS n_rows FROM {LAST_NEWS.format('news')} GROUP BY 1"),
+    "empty_series": q(B1H, body=f"SELECT symbol, '1h' AS timeframe, ts, {OHLC} FROM bars WHERE symbol = 'nosuch'"),
     "list_symbols": "SELECT DISTINCT event_type AS symbol FROM events",
     "base_bars": q(B1H, body=f"SELECT symbol, ts, {rs(OHLC)} FROM bars WHERE symbol IN ('click', 'purchase')"),
     "chunk_plan": q(PLAN, body="""SELECT symbol, timeframe, k AS chunk, start + k * INTERVAL 7 DAY AS lo,
@@ -614,7 +617,7 @@ ORACLE = {
         (SELECT count(*) FROM news n WHERE n.symbol = a.symbol AND n.ts >= TIMESTAMP '2024-01-07' AND n.ts < TIMESTAMP '2024-01-28') AS rows,
         (SELECT count(DISTINCT date_diff('minute', TIMESTAMP '2024-01-07', n.ts) // 10080) FROM news n WHERE n.symbol = a.symbol
           AND n.ts >= TIMESTAMP '2024-01-07' AND n.ts < TIMESTAMP '2024-01-28') AS filled_chunks,
-        a.c AS inserted, CAST(0 AS BIGINT) AS updated, a.c AS total FROM (SELECT symbol, count(*) AS c FROM {LAST_NEWS.format('news')}
+        a.c AS inserted, CAST(0 AS BIGINT) AS updated, a.c AS total, CAST(0 AS BIGINT) AS rejected, '' AS error FROM (SELECT symbol, count(*) AS c FROM {LAST_NEWS.format('news')}
         AND ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-28' GROUP BY 1) a"""),
     "load_news_rows": q(NEWS, body=f"""SELECT ts, symbol, headline, md5(body) AS body_md5, source, url FROM {LAST_NEWS.format('news')}
         AND ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-28'"""),

@@ -17,7 +17,7 @@ from tapeweave.operators import catalysts as cat
 from tapeweave.operators import evaluation, fusion, metrics, models, portfolio, samples, tensors, trades
 from tapeweave.operators.asof import asof_join
 from tapeweave.operators.bars import close_labeled, fill_missing_bars, resample_bars
-from tapeweave.operators.indicators import FEATURE_COLUMNS, INDICATOR_COLUMNS, add_indicators, add_obv
+from tapeweave.operators.indicators import FEATURE_COLUMNS, INDICATOR_COLUMNS, add_indicators, add_obv, feature_columns
 from tapeweave.operators.labels import triple_barrier_labels
 from tapeweave.operators.patterns import PATTERN_COLUMNS
 from tapeweave.operators.series import INDEX
@@ -103,6 +103,14 @@ def obv(spark, sf):
     return add_obv(fx.hourly_closed(spark, sf), "1h").select("symbol", "ts", "obv")
 
 
+def feature_names(spark, sf):
+    """The model inputs of a feature frame, each with the number of its values."""
+    f = add_indicators(fx.hourly_closed(spark, sf), "1h")
+    names = feature_columns(f)
+    counts = f.agg(*[F.count(c).alias(c) for c in names])
+    return counts.unpivot([], names, "feature", "n")
+
+
 def indicators_supplier(spark, sf):
     """Trend and volatility of the daily bars of every supplier."""
     cols = ["ret_1", "sma_20", "bb_width", "ema_12", "atr", "stoch_k", "cdl_doji"]
@@ -294,6 +302,11 @@ def base_bars(spark, sf):
     return rounded(loads.base_bars(_stored_bars(spark, sf), ["click", "purchase", "nosuch"], "1h"))
 
 
+def empty_series(spark, sf):
+    """A series that is not stored, as the typed empty frame."""
+    return schemas.empty_bars(spark).unionByName(_stored_bars(spark, sf).read(["nosuch"]))
+
+
 def _plan(spark, sf):
     end = F.lit("2024-01-28 00:00:00").cast("timestamp_ntz")
     names = fx.ticks(spark, sf).select("symbol").distinct()
@@ -734,6 +747,7 @@ QUERIES = {
     "bar_shape": _indicators("close_pos", "range_atr"),
     "indicators": _indicators(*INDICATOR_COLUMNS),
     "indicators_supplier": indicators_supplier,
+    "feature_names": feature_names,
     **{"pattern_" + c.removeprefix("cdl_"): _indicators(c) for c in PATTERN_COLUMNS},
     "mtf_asof": mtf_asof,
     "window_arrays": window_arrays,
@@ -758,6 +772,7 @@ QUERIES = {
     "series_coverage": series_coverage,
     "news_coverage": news_coverage,
     "list_symbols": list_symbols,
+    "empty_series": empty_series,
     "base_bars": base_bars,
     "chunk_plan": chunk_plan,
     "resume_plan": resume_plan,

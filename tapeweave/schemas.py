@@ -52,8 +52,9 @@ def keep_last(df: DataFrame, keys: list[str], arrival) -> DataFrame:
 def canonical_bars(df: DataFrame, keys: list[str] | None = None, arrival: str | None = None) -> DataFrame:
     """Bars with canonical names and types, one per key and time (the last to arrive).
 
-    Column names match in any letter case. ``arrival`` names the column that orders duplicates;
-    it must make the order total among rows of one key and time.
+    Column names match in any letter case. ``arrival`` names the column that orders duplicates; it must make the
+    order total among rows of one key and time. Without it the frame's own order counts, as its partitions come:
+    of a file's rows the last stays.
     """
     by_lower = {c.lower(): c for c in df.columns}
     time_name = next((by_lower[c] for c in TIME_COLUMNS if c in by_lower), None)
@@ -73,7 +74,7 @@ def canonical_bars(df: DataFrame, keys: list[str] | None = None, arrival: str |
         *[F.col(by_lower.get(k, k)).alias(k) for k in keys],
         ts.alias("ts"),
         *[F.col(by_lower[c]).cast("double").alias(c) for c in PRICE_COLUMNS],
-        (F.col(arrival) if arrival else F.lit(0)).alias("_arrival"),
+        (F.col(arrival) if arrival else F.monotonically_increasing_id()).alias("_arrival"),
     )
     return keep_last(out, keys + ["ts"], F.col("_arrival")).drop("_arrival")
 

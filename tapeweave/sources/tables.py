@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeweave.schemas import BAR_SCHEMA, NEWS_SCHEMA, canonical_bars, canonical_news
-from tapeweave.session import drop_path, materialize, path_exists, stage
+from tapeweave.session import child_names, drop_path, materialize, path_exists, stage, touch_path
 
 
 def merge_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Stored and incoming rows merged by key, the incoming row winning.
 
     Adds ``change``: ``inserted``, ``updated`` or ``kept``. Copies of a key collapse before the
-    shuffle. ``incoming`` may hold an ``arrival`` column that orders copies among themselves.
+    shuffle. ``incoming`` may hold an ``arrival`` column that orders copies among themselves; without it the last
+    in the frame's order wins.
     """
-    arrival = F.col("arrival") if "arrival" in incoming.columns else F.lit(0)
+    arrival = F.col("arrival") if "arrival" in incoming.columns else F.monotonically_increasing_id()
     columns = stored.columns
     rest = [c for c in columns if c not in keys]
     both = stored.select(*columns, F.lit(0).alias("_new"), F.lit(0).cast("long").alias("_arrival")).unionByName(
@@ -53,19 +54,25 @@ def range_filter(df: DataFrame, start: datetime | None, end: datetime | None) ->
     return df
 
 
-def touched_months(rows: DataFrame) -> tuple[list[tuple[int, int]], Column]:
-    """The months of ``rows`` (year, month columns), one small pair each, and their partition filter."""
-    months = sorted((r["year"], r["month"]) for r in rows.select("year", "month").distinct().collect())
-    test = F.lit(False)
-    for year, month in months:
-        test = test | ((F.col("year") == year) & (F.col("month") == month))
-    return months, test
+#: Up to so many values become a partition filter; more are left to the join with the manifest.
+FEW = 100
 
 
-class Table:
-    """A Parquet table in partition folders, read by range and written by upsert.
+def _few(df: DataFrame, column: str) -> Column:
+    """A filter on a partition column's values, if there are few."""
+    values = [r[0] for r in df.select(column).distinct().limit(FEW + 1).collect()]
+    return F.col(column).isin(values) if len(values) <= FEW else F.lit(True)
+
 
-    One writer at a time; any number of readers.
+class Table:
+    """A Parquet table of month folders, read by range and written by upserts that commit as a whole.
+
+    ``data/commit=<n>/<series>/year=/month=`` holds the month folders that commit n wrote; a folder is never changed.
+    ``_commits/<n>`` holds the manifest: for every month of every series the commit whose folder is live, its
+    rows and its first and last time, and it counts once it holds the mark ``_DONE``. The greatest marked number
+    is the table. So a write that is cut off anywhere before its mark has changed nothing, and one that is cut
+    off after it has changed everything. All of it lies in the table's own folder. One writer at a time; readers
+    keep what they have opened until the commit after next.
     """
 
     schema: T.StructType
@@ -79,122 +86,142 @@ class Table:
     def partitions(self) -> list[str]:
         return [*self.series, "year", "month"]
 
+    def _folder(self, number: int) -> str:
+        return f"{self.root}/_commits/{number}"
+
+    def _numbers(self) -> list[int]:
+        """Numbers of all commits, also of those without a mark."""
+        begun = [n.removeprefix("commit=") for n in child_names(self.spark, f"{self.root}/data")]
+        return sorted({int(n) for n in [*begun, *child_names(self.spark, f"{self.root}/_commits")] if n.isdigit()})
+
+    def version(self) -> int:
+        """The number of the last whole commit, 0 for none."""
+        return next((n for n in reversed(self._numbers()) if path_exists(self.spark, f"{self._folder(n)}/_DONE")), 0)
+
     def exists(self) -> bool:
-        return path_exists(self.spark, self.root)
+        return self.version() > 0
 
     @property
-    def journal(self) -> str:
-        """Names the staged folders of an upsert from before its first change of the table until after its last."""
-        return f"{self.root}-upserting"
-
-    def pending(self) -> str | None:
-        """The staged rows of an upsert that has not ended, if there is one."""
-        if not path_exists(self.spark, self.journal):
-            return None
-        row = self.spark.read.text(self.journal).first()
-        return row["value"] if row else None
+    def _manifest_schema(self) -> T.StructType:
+        columns = [*[self.schema[c] for c in self.series], *T.StructType.fromDDL("year int, month int").fields]
+        counts = "commit bigint, n_rows bigint, min_ts timestamp_ntz, max_ts timestamp_ntz, inserted bigint, updated bigint"
+        return T.StructType([*columns, *T.StructType.fromDDL(counts).fields])
+
+    def manifest(self, number: int | None = None) -> DataFrame:
+        """A row per live month of a series, of the last commit or of a given one."""
+        number = self.version() if number is None else number
+        if not number:
+            return self.spark.createDataFrame([], self._manifest_schema)
+        return self.spark.read.schema(self._manifest_schema).parquet(f"{self._folder(number)}/parts")
+
+    def _rows(self, live: DataFrame) -> DataFrame:
+        """The rows of the months in ``live``, with their partition columns."""
+        full = T.StructType([*self.schema.fields, *T.StructType.fromDDL("commit bigint, year int, month int").fields])
+        if not path_exists(self.spark, f"{self.root}/data"):
+            return self.spark.createDataFrame([], full).drop("commit")
+        stored = self.spark.read.schema(full).parquet(f"{self.root}/data").filter(_few(live, "commit"))
+        whole = [*self.partitions, "commit"]
+        return stored.join(live.select(*whole), whole, "left_semi").drop("commit")
 
     def scan(self) -> DataFrame:
-        """All rows with their partition columns, under the declared schema.
-
-        While an upsert is under way, or after one was cut off, the folders it replaces are read from its
-        staged rows, which hold all of theirs.
-        """
-        full = T.StructType([
-            *self.schema.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())
-        ])
-        stored = self.spark.read.schema(full).parquet(self.root) if self.exists() else self.spark.createDataFrame([], full)
-        staged = self.pending()
-        if staged is None:
-            return stored
-        merged = self.spark.read.schema(full).parquet(staged)
-        rest = stored.join(merged.select(*self.partitions).distinct(), self.partitions, "left_anti")
-        return rest.select(*full.names).unionByName(merged)
-
-    def recover(self) -> bool:
-        """End an upsert that was cut off, from its staged rows; says whether there was one."""
-        staged = self.pending()
-        if staged is None:
-            # A journal without text was cut off before anything changed.
-            drop_path(self.spark, self.journal)
-            return False
-        self._replace(staged)
-        drop_path(self.spark, self.journal)
-        drop_path(self.spark, staged)
-        return True
-
-    def _replace(self, staged: str) -> None:
-        """Replace the folders of the staged rows; doing it again gives the same folders."""
-        (
-            # Rebalanced by folder: small folders share a task, a folder that is too big is split.
-            self.spark.read.parquet(staged).drop("change")
-            .hint("rebalance", *[F.col(c) for c in self.partitions])
-            .sortWithinPartitions(*self.partitions, "ts")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*self.partitions)
-            .parquet(self.root)
-        )
+        """All rows with their partition columns, under the declared schema."""
+        return self._rows(self.manifest())
 
     def read(
         self, symbols: list[str] | None = None, start: datetime | None = None, end: datetime | None = None,
         columns: list[str] | None = None, ordered: bool = False,
     ) -> DataFrame:
-        """Rows of ``[start, end)``; folders outside the range are not opened."""
-        df = self.scan().filter(month_predicate(start, end))
+        """Rows of ``[start, end)``; folders outside the range or of other symbols are not opened."""
+        wanted = month_predicate(start, end)
         if symbols is not None:
-            df = df.filter(F.col("symbol").isin(symbols))
+            wanted = wanted & F.col("symbol").isin(symbols)
+        df = self._rows(self.manifest().filter(wanted)).filter(wanted)
         df = range_filter(df, start, end).select(*self.schema.names)
         df = df.select("ts", *[c for c in columns if c != "ts"]) if columns else df
         return df.orderBy("ts") if ordered else df
 
     def coverage(self) -> DataFrame:
-        """First and last time and row count of every series."""
-        return self.scan().groupBy(*self.series).agg(
-            F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n_rows")
+        """First and last time and row count of every series, from the manifest alone."""
+        return self.manifest().groupBy(*self.series).agg(
+            F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("n_rows").alias("n_rows")
         )
 
     def symbols(self) -> DataFrame:
-        return self.scan().select("symbol").distinct().orderBy("symbol")
+        """The stored symbols in order, from the manifest alone."""
+        return self.manifest().select("symbol").distinct().orderBy("symbol")
 
     def canonical(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def _reached(self, step: str) -> None:
+        """Called after each step of an upsert; a test cuts it off here."""
+
     def upsert(self, df: DataFrame) -> DataFrame:
         """Merge rows by key, the new row winning, and report what changed per series.
 
-        Only the month folders that receive rows are read and rewritten: the months, a pair of numbers
-        each, are a partition filter of the scan. The merged rows are written to the shared folder first,
-        then a journal names them, then the folders are replaced, then the journal goes. An upsert that is
-        cut off before the journal has changed nothing; one that is cut off later is ended by the next
-        upsert (``recover``), and reads see it as done. Doing it again changes nothing.
+        Only the months that receive rows are read, and written anew under the next commit's number; the manifest
+        names them beside the months that stay, and its mark ends the commit. Doing it again changes nothing.
         """
-        self.recover()
-        incoming, incoming_path = stage(
-            self.canonical(df).withColumns({"year": F.year("ts"), "month": F.month("ts")})
+        current, number = self.version(), max(self._numbers(), default=0) + 1
+        incoming, incoming_path = stage(self.canonical(df).withColumns({"year": F.year("ts"), "month": F.month("ts")}))
+        self._reached("staged")
+        self._write(self._merged(incoming, self.manifest(current)), number)
+        self._reached("written")
+        self._publish(current, number)
+        self._reached("listed")
+        touch_path(self.spark, f"{self._folder(number)}/_DONE")
+        self._reached("committed")
+        self._clean(number, current)
+        drop_path(self.spark, incoming_path)
+        return self.changes(number)
+
+    def changes(self, number: int) -> DataFrame:
+        """(series, inserted, updated, total) of a commit: total counts the rows of the months it wrote."""
+        return self.manifest(number).filter(F.col("commit") == number).groupBy(*self.series).agg(
+            F.sum("inserted").alias("inserted"), F.sum("updated").alias("updated"), F.sum("n_rows").alias("total")
         )
-        merged, merged_path = stage(self._merged(incoming))
-        self.spark.createDataFrame([(merged_path,)], "value string").coalesce(1).write.mode("overwrite").text(self.journal)
-        self._replace(merged_path)
-        drop_path(self.spark, self.journal)
-        report = merged.groupBy(*self.series).agg(
-            F.count_if(F.col("change") == "inserted").alias("inserted"),
-            F.count_if(F.col("change") == "updated").alias("updated"),
-            F.count(F.lit(1)).alias("total"),
+
+    def _merged(self, incoming: DataFrame, manifest: DataFrame) -> DataFrame:
+        """Incoming rows merged with those of the months they go to."""
+        touched = materialize(incoming.select(*self.partitions).distinct())
+        live = manifest.join(touched, self.partitions, "left_semi")
+        near = _few(touched, "symbol") & _few(touched, "year") & _few(touched, "month")
+        return merge_upsert(self._rows(live.filter(near)).filter(near), incoming, self.keys)
+
+    def _write(self, merged: DataFrame, number: int) -> None:
+        columns = ["commit", *self.partitions]
+        (
+            # Rebalanced by folder: small folders share a task, a folder that is too big is split.
+            merged.withColumn("commit", F.lit(number).cast("bigint"))
+            .hint("rebalance", *[F.col(c) for c in columns])
+            .sortWithinPartitions(*columns, "ts")
+            .write.mode("append").partitionBy(*columns).parquet(f"{self.root}/data")
         )
-        # One row per series; kept as a table, so that the merge is not run again.
-        out = materialize(report)
-        for path in (incoming_path, merged_path):
-            drop_path(self.spark, path)
-        return out
-
-
-    def _merged(self, incoming: DataFrame) -> DataFrame:
-        """Incoming rows merged with those of the folders they go to."""
-        touched = incoming.select(*self.partitions).distinct()
-        _, in_months = touched_months(incoming)
-        stored = self.scan().filter(in_months).join(touched, self.partitions, "left_semi")
-        return merge_upsert(stored, incoming, self.keys)
+
+    def _publish(self, current: int, number: int) -> None:
+        """The manifest of the new commit, still without its mark: its own months counted, the others carried over."""
+        parts = f"{self._folder(number)}/parts"
+        written = f"{self.root}/data/commit={number}"
+        old = self.manifest(current)
+        if path_exists(self.spark, written):
+            full = T.StructType([*self.schema.fields, *T.StructType.fromDDL("change string, year int, month int").fields])
+            fresh = self.spark.read.schema(full).parquet(written).groupBy(*self.partitions).agg(
+                F.lit(number).cast("bigint").alias("commit"), F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+                F.count_if(F.col("change") == "inserted").alias("inserted"), F.count_if(F.col("change") == "updated").alias("updated"),
+            )
+            fresh = materialize(fresh)
+            old = old.join(fresh.select(*self.partitions), self.partitions, "left_anti").select(*self._manifest_schema.names)
+            old = old.unionByName(fresh)
+        old.write.mode("overwrite").parquet(parts)
+
+    def _clean(self, number: int, previous: int) -> None:
+        """Drop the folders that neither this commit nor the one before it reads."""
+        used = {r[0] for n in (number, previous) if n for r in self.manifest(n).select("commit").distinct().collect()}
+        for n in self._numbers():
+            if n not in used and n != number:
+                drop_path(self.spark, f"{self.root}/data/commit={n}")
+            if n not in (number, previous):
+                drop_path(self.spark, self._folder(n))
 
 
 class BarTable(Table):

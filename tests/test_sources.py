@@ -1,5 +1,8 @@
 import json
-import shutil
+import os
+import re
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,7 +13,7 @@ from tapeweave.operators import catalysts as cat
 from tapeweave.schemas import canonical_news, empty_news
 from tapeweave.sources import loads
 from tapeweave.sources.news import news_from_json, news_slice, read_news_csv
-from tapeweave.sources.tables import BarTable, NewsTable, touched_months
+from tapeweave.sources.tables import BarTable, NewsTable
 
 NEWS = "ts timestamp_ntz, symbol string, headline string, body string, source string, url string"
 JUNE, JULY = datetime(2024, 6, 28, 12), datetime(2024, 7, 2, 9)
@@ -20,6 +23,11 @@ def bars(spark, rows=None, timeframe="1m"):
     return spark.createDataFrame(rows or minute_rows(), BAR).withColumn("timeframe", F.lit(timeframe))
 
 
+def data_filters(plan):
+    """The partition filters of the scan of a table's rows: the one that knows commits as a partition."""
+    return next(f for f in re.findall(r"PartitionFilters: \[(.*?)\]", plan) if "commit" in f)
+
+
 def test_round_trip_and_range(spark, tmp_path):
     table = BarTable(spark, str(tmp_path / "bars"))
     assert table.read().count() == 0 and table.coverage().count() == 0
@@ -32,7 +40,7 @@ def test_round_trip_and_range(spark, tmp_path):
     c = table.coverage().first()
     assert (c["min_ts"], c["max_ts"], c["n_rows"]) == (rows[0][1], rows[-1][1], 360)
     assert [r[0] for r in table.symbols().collect()] == ["AAA"]
-    assert (tmp_path / "bars" / "symbol=AAA" / "timeframe=1m" / "year=2024" / "month=6").is_dir()
+    assert (tmp_path / "bars" / "data" / "commit=1" / "symbol=AAA" / "timeframe=1m" / "year=2024" / "month=6").is_dir()
 
 
 def test_upsert_is_idempotent_and_last_wins(spark, tmp_path):
@@ -57,46 +65,66 @@ def test_upsert_leaves_other_months_alone(spark, tmp_path):
     assert table.read().count() == 720
 
 
-def test_upsert_reads_only_its_months(spark, tmp_path, capsys):
+def test_upsert_reads_only_its_months_and_symbols(spark, tmp_path):
     table = BarTable(spark, str(tmp_path / "bars"))
     later = [(s, t + timedelta(days=40), *x) for s, t, *x in minute_rows()]
-    table.upsert(bars(spark, minute_rows() + later))
+    table.upsert(bars(spark, minute_rows() + later + [("BBB", t, *x) for _, t, *x in later]))
     incoming = bars(spark, later[:3]).withColumns({"year": F.year("ts"), "month": F.month("ts")})
-    stored = table.scan().filter(touched_months(incoming)[1])
-    assert {p.split("month=")[1][0] for p in (r[0] for r in stored.select(F.input_file_name()).distinct().collect())} == {"7"}
-    table._merged(incoming).explain()
-    filters = capsys.readouterr().out.split("PartitionFilters: [")[1]
-    assert "= 2024), (mon" in filters.split("PushedFilters")[0]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = table._merged(incoming, table.manifest())._jdf.queryExecution().executedPlan().toString()
+    filters = data_filters(plan)
+    assert "AAA" in filters and "2024" in filters and "BBB" not in filters and "month" in filters
+    table.upsert(bars(spark, later[:3]))
+    assert sorted(p.parent.name for p in (tmp_path / "bars" / "data" / "commit=2").rglob("*.parquet")) == ["month=7"]
 
 
-def test_an_upsert_that_is_cut_off_loses_nothing(spark, tmp_path, monkeypatch):
-    root = tmp_path / "bars"
-    table = BarTable(spark, str(root))
-    table.upsert(bars(spark))
-    changed = bars(spark, [(s, t, 1.0, 1.0, 1.0, 1.0, 1.0) for s, t, *_ in minute_rows()[:5]])
+CUT = """
+import os, sys
+sys.path[:0] = [{repo!r}, {tests!r}]
+from datetime import timedelta
+from pyspark.sql import functions as F
+from bar_rows import BAR, minute_rows
+from tapeweave.session import local_session
+from tapeweave.sources.tables import BarTable
 
-    def cut_off(self, staged):
-        shutil.rmtree(next(root.rglob("month=6")))  # the old folder is gone, the new one not there
-        raise RuntimeError("lost")
+class Cut(BarTable):
+    def _reached(self, step):
+        if step == {step!r}:
+            os._exit(9)
 
-    with monkeypatch.context() as m:
-        m.setattr(BarTable, "_replace", cut_off)
-        with pytest.raises(RuntimeError, match="lost"):
-            table.upsert(changed)
-    again = BarTable(spark, str(root))
-    closes = lambda: [r["close"] for r in again.read(ordered=True).collect()]
-    assert len(closes()) == 360 and closes()[:5] == [1.0] * 5
-    report = again.upsert(changed).first()
-    assert (report["inserted"], report["updated"], report["total"]) == (0, 5, 360)
-    assert len(closes()) == 360 and closes()[:5] == [1.0] * 5 and again.pending() is None
-
-
-def test_an_upsert_cut_off_before_its_journal_changes_nothing(spark, tmp_path):
+spark = local_session(2, "cut", shuffle_partitions=2)
+rows = [(s, t + timedelta(days=d), 1.0, 1.0, 1.0, 1.0, 1.0) for d in (0, 40) for s, t, *_ in minute_rows()[:5]]
+Cut(spark, {root!r}).upsert(spark.createDataFrame(rows, BAR).withColumn("timeframe", F.lit("1m")))
+"""
+
+
+@pytest.mark.parametrize("step", ["staged", "written", "listed", "committed"])
+def test_a_write_killed_between_steps_is_all_or_nothing(spark, tmp_path, step):
+    """Another process writes and is killed; this one opens the table, and goes on with it."""
+    root = str(tmp_path / "bars")
+    table = BarTable(spark, root)
+    table.upsert(bars(spark))
+    here = os.path.dirname(os.path.abspath(__file__))
+    code = CUT.format(repo=os.path.dirname(here), tests=here, step=step, root=root)
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=300).returncode == 9
+    closes = lambda: [r["close"] for r in table.read(ordered=True).collect()]
+    whole = step == "committed"
+    assert len(closes()) == (365 if whole else 360) and closes()[:5] == ([1.0] * 5 if whole else [r[5] for r in minute_rows()[:5]])
+    assert table.coverage().first()["n_rows"] == len(closes())
+    changed = bars(spark, [(s, t, 2.0, 2.0, 2.0, 2.0, 2.0) for s, t, *_ in minute_rows()[:2]])
+    report = table.upsert(changed).first()
+    assert (report["inserted"], report["updated"], report["total"]) == (0, 2, 360)
+    assert closes()[:5] == [2.0, 2.0, *([1.0] * 3 if whole else [r[5] for r in minute_rows()[2:5]])]
+    kept = {p.name for p in (tmp_path / "bars" / "data").glob("commit=*")}
+    assert kept == {f"commit={r[0]}" for n in (table.version(), 2 if whole else 1) for r in table.manifest(n).select("commit").collect()}
+
+
+def test_coverage_reads_no_rows(spark, tmp_path):
     table = BarTable(spark, str(tmp_path / "bars"))
     table.upsert(bars(spark))
-    (tmp_path / "bars-upserting").mkdir()
-    assert table.pending() is None and table.read().count() == 360 and not table.recover()
-    assert not (tmp_path / "bars-upserting").exists()
+    for df in (table.coverage(), table.symbols()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "_commits" in plan and "/data" not in plan
 
 
 def test_partition_filters_reach_the_scan(spark, tmp_path, capsys):
@@ -104,7 +132,8 @@ def test_partition_filters_reach_the_scan(spark, tmp_path, capsys):
     table.upsert(bars(spark))
     table.read(["AAA"], "1m", datetime(2024, 6, 3), datetime(2024, 6, 4), ["close"]).explain()
     plan = capsys.readouterr().out
-    assert "PartitionFilters: [isnotnull(symbol" in plan and "year" in plan.split("PartitionFilters")[1].split("]")[0]
+    filters = data_filters(plan)
+    assert "(symbol" in filters and "year" in filters and "commit" in filters
     assert "ReadSchema: struct<ts:timestamp_ntz,close:double>" in plan
 
 
@@ -120,7 +149,7 @@ def test_news_months_dedup_and_range(spark, tmp_path):
     got = table.read(["A"], ordered=True).collect()
     assert len(got) == 3 and {r["body"] for r in got if r["headline"] == "one"} == {"newer"}
     assert next(r for r in got if r["headline"] == "two")["source"] == ""
-    assert {p.name for p in (tmp_path / "news" / "symbol=A" / "year=2024").iterdir() if p.is_dir()} == {"month=6", "month=7"}
+    assert {p.name for p in (tmp_path / "news" / "data").rglob("symbol=A/year=2024/month=*")} == {"month=6", "month=7"}
     assert table.read(["A"], JULY, JULY + timedelta(days=1)).count() == 1 and table.read(["A"], JUNE, JULY).count() == 2
     cover = {r["symbol"]: (r["min_ts"], r["max_ts"]) for r in table.coverage().collect()}
     assert cover["A"] == (JUNE, JULY)
@@ -176,6 +205,51 @@ def test_incremental_load(spark, tmp_path):
     assert loads.base_bars(table, ["AAA", "ZZZ"], "1m").count() == 360
 
 
+def test_a_load_that_fails_goes_on_at_its_chunk(spark, tmp_path, monkeypatch):
+    """Chunks of a day; the third commit fails. What was committed stays, the ledger says so, a repeat does the rest."""
+    table = BarTable(spark, str(tmp_path / "bars"))
+    source = bars(spark, minute_rows(days=5, per_day=20) + [("BBB", *r[1:]) for r in minute_rows(days=2, per_day=20)])
+    start = datetime(2024, 6, 3)
+    wanted = spark.createDataFrame(
+        [(s, "1m", start, start + timedelta(days=5)) for s in ("AAA", "BBB", "CCC")], "symbol string, timeframe string, start timestamp_ntz, end timestamp_ntz"
+    )
+    written, upsert = [], BarTable.upsert
+
+    def failing(self, df):
+        written.append(sorted({r[0].day for r in df.select("ts").collect()}))
+        if len(written) == 3:
+            raise RuntimeError("the store is full\nand more")
+        return upsert(self, df)
+
+    with monkeypatch.context() as m:
+        m.setattr(BarTable, "upsert", failing)
+        with pytest.raises(RuntimeError, match="full"):
+            loads.load(source, wanted, table, "1d")
+    assert table.read().count() == 80 and written == [[3], [4], [5]]
+    states = {(r["symbol"], r["chunk"]): (r["state"], r["error"], r["inserted"]) for r in loads.ledger(table).collect()}
+    assert states["AAA", 1] == ("done", None, 20) and states["AAA", 2] == ("failed", "the store is full", 0) and states["CCC", 0] == ("done", None, 0)
+    with monkeypatch.context() as m:
+        m.setattr(BarTable, "upsert", lambda self, df: written.append(sorted({r[0].day for r in df.select("ts").collect()})) or upsert(self, df))
+        report = {r["symbol"]: r for r in loads.load(source, wanted, table, "1d").collect()}
+    assert written[3:] == [[5], [6], [7]]
+    assert (report["AAA"]["rows"], report["AAA"]["inserted"], report["AAA"]["total"], report["AAA"]["error"]) == (60, 60, 100, "")
+    assert (report["BBB"]["rows"], report["BBB"]["total"]) == (0, 40) and (report["CCC"]["rows"], report["CCC"]["total"], report["CCC"]["chunks"]) == (0, 0, 5)
+    assert table.read().count() == 140
+
+
+def test_rows_that_break_rules_are_kept_aside(spark, tmp_path):
+    table = BarTable(spark, str(tmp_path / "bars"))
+    rows = minute_rows(days=2, per_day=10)
+    spoiled = [(s, t, None if i == 3 else o, h, -1.0 if i in (3, 4, 15) else l, c, v) for i, (s, t, o, h, l, c, v) in enumerate(rows)]
+    start = datetime(2024, 6, 3)
+    report = loads.load(bars(spark, spoiled), plan(spark, start, start + timedelta(days=2)), table, "1d").first()
+    assert (report["rows"], report["rejected"], report["inserted"]) == (20, 3, 17)
+    assert report["error"] == "chunk 0: low_negative 2, open_null 1; chunk 1: low_negative 1"
+    aside = loads.rejects(table).orderBy("ts").collect()
+    assert [r["ts"] for r in aside] == [rows[i][1] for i in (3, 4, 15)] and aside[0]["violations"] == ["open_null", "low_negative"]
+    assert table.read().count() == 17
+
+
 def test_history_windows(spark):
     names = spark.createDataFrame([("A",), ("B",)], "symbol string")
     end = datetime(2024, 6, 30)

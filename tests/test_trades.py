@@ -377,3 +377,19 @@ def test_meta_keeps_its_entries(spark):
     sig = spark.createDataFrame([("A", at(0, 5), 1, 0.5, 12, {"model": "x"})], SIGNAL + ", meta map<string,string>")
     cat = spark.createDataFrame([("A", at(-5, 5), "earnings", 1.0, 1.0)], CATALYST)
     assert fusion.fuse_signals(sig, cat).first()["meta"] == {"model": "x", "catalyst_boost": "0.15"}
+
+
+def test_block_starts_equal_a_walk(spark):
+    """Long, short and gapped series, over several levels of groups."""
+    rng = np.random.default_rng(2)
+    rows, want = [], []
+    for symbol, numbers in (("HOT", range(300)), ("gaps", sorted(rng.choice(5000, 200, replace=False).tolist())), ("one", [7]), ("edge", [63, 64, 127, 128, 4095, 4096])):
+        busy, last = 0, None
+        for n in numbers:
+            table = rng.integers(0, 4, 4).tolist()
+            busy = busy if last is not None and n == last + 1 else 0
+            rows.append((symbol, n, table))
+            want.append((symbol, n, busy))
+            busy, last = table[busy], n
+    got = trades.block_starts(spark.createDataFrame(rows, "symbol string, _blk long, _map array<long>"), ["symbol"], 3)
+    assert sorted(tuple(r) for r in got.select("symbol", "_blk", "_busy").collect()) == sorted(want)
