@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,7 @@ class LanguageModel:
     rate: np.ndarray
     idf: np.ndarray
     accept: float
+    texts: dict[str, int] = field(default_factory=dict)  # distinct texts that each language was clustered on
 
     def vectors(self, texts: pa.Array) -> np.ndarray:
         """Unit TF-IDF vectors; counts enter by 1 + log."""
@@ -173,24 +174,34 @@ def fit_languages(
                     [pa.array([row.tobytes() for row in x], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["vector", "lang", "h"]
                 )
 
-    chosen = _one_of_each(rows.filter(F.col("h") <= last[F.col("lang")]))
-    sample = chosen.mapInArrow(sample_vectors, "vector binary, lang string, h bigint").toArrow()
-    vectors = np.frombuffer(b"".join(sample.column("vector").to_pylist()), np.float32).reshape(-1, dims).astype(float)
-    names = np.array(sample.column("lang").to_pylist())
-    order = np.argsort(sample.column("h").to_numpy(), kind="stable")  # the rows come in any order
-    vectors, names = vectors[order], names[order]
-    for name in sorted(drawn):
-        x = vectors[names == name]
-        if len(x) != drawn[name][1]:
-            raise RuntimeError(f"{len(x)} training texts of {name!r} where {drawn[name][1]} were drawn")
+    def cluster(key: tuple, table: pa.Table) -> pa.Table:
+        # At most per_lang vectors of a fixed size; they come in any order.
+        order = np.argsort(table.column("h").to_numpy(), kind="stable")
+        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, dims).astype(float)[order]
         c = _cluster(x, centroids)
         cosine = x @ c.T
         of = cosine.argmax(1)
         own = [of == j if (of == j).any() else np.ones(len(x), bool) for j in range(len(c))]
-        model.langs += [name] * len(c)
-        model.centroids = np.vstack([model.centroids, c])
-        model.peak = np.append(model.peak, [np.median(cosine[m, j]) for j, m in enumerate(own)])
-        model.rate = np.append(model.rate, [np.median(cosine[m, j] / np.maximum(x[m].sum(1), 1e-9)) for j, m in enumerate(own)])
+        return pa.table({
+            "lang": pa.array([key[0].as_py()] * len(c), pa.string()), "n": pa.array([len(x)] * len(c), pa.int64()), "place": pa.array(np.arange(len(c))),
+            "centroid": pa.array([v.tobytes() for v in c], pa.binary()), "peak": pa.array([float(np.median(cosine[m, j])) for j, m in enumerate(own)]),
+            "rate": pa.array([float(np.median(cosine[m, j] / np.maximum(x[m].sum(1), 1e-9))) for j, m in enumerate(own)]),
+        })
+
+    chosen = _one_of_each(rows.filter(F.col("h") <= last[F.col("lang")]))
+    sample = chosen.mapInArrow(sample_vectors, "vector binary, lang string, h bigint")
+    shape = "lang string, n bigint, place bigint, centroid binary, peak double, rate double"
+    # A few centroids a language.
+    learned = sorted(sample.groupBy("lang").applyInArrow(cluster, shape).collect(), key=lambda r: (r["lang"], r["place"]))
+    for name in sorted(drawn):
+        mine = [r for r in learned if r["lang"] == name]
+        if not mine or mine[0]["n"] != drawn[name][1]:
+            raise RuntimeError(f"{mine[0]['n'] if mine else 0} training texts of {name!r} where {drawn[name][1]} were drawn")
+        model.texts[name] = mine[0]["n"]
+        model.langs += [name] * len(mine)
+        model.centroids = np.vstack([model.centroids, *[np.frombuffer(r["centroid"])[None] for r in mine]])
+        model.peak = np.append(model.peak, [r["peak"] for r in mine])
+        model.rate = np.append(model.rate, [r["rate"] for r in mine])
     return model
 
 

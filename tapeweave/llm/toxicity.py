@@ -81,17 +81,21 @@ def ftrl(
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-    bits: int = 20, per_class: int = 4000, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0,
+    bits: int = 20, per_class: int = 4000, most: int = 1 << 14, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0,
 ) -> ToxicityModel:
     """Weights learned from a sample of about ``per_class`` labelled documents of each class.
 
-    A rarer positive class weighs up to four times as much. The sample takes the labelled rows of ``train`` whose id hashes below a bound; as it has a proven size, it
-    goes to the documents as a broadcast, and no text is shuffled. Rows with a null id, text or label teach
-    nothing. The order of learning follows a hash of the id, so the result does not depend on the partitions.
+    A rarer positive class weighs up to four times as much. The sample takes the labelled rows of ``train`` whose
+    id hashes below a bound, and of each text at most ``most`` features, those of least number; as it has a proven
+    size, its ids go to the documents as a broadcast and its features to one task, which learns. No text is
+    shuffled, and the driver gets the weights alone. Rows with a null id, text or label teach nothing; an id with
+    both labels counts as positive; repeated documents teach each time. Without a row of each class the model
+    scores all texts alike. The order of learning follows a hash of the id, so the result does not depend on the
+    partitions.
     """
-    labelled = labels.filter(train & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")
-    ).dropDuplicates(["_id"])
+    labelled = labels.filter(train & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.max(F.col(label).cast("int")).alias("_label")
+    )
     sizes = dict(labelled.groupBy("_label").count().collect())
     if len(sizes) < 2:
         return ToxicityModel(np.zeros(1 << bits, np.float32), -4.0, bits)
@@ -108,30 +112,49 @@ def fit_toxicity(
                 of, bucket = features(texts.slice(a, b - a), bits)
                 pair = np.unique((of << bits) + bucket)
                 cuts = np.searchsorted(pair >> bits, np.arange(b - a + 1))
+                if (np.diff(cuts) > most).any():
+                    pair = pair[np.arange(pair.size) - cuts[pair >> bits] < most]
+                    cuts = np.searchsorted(pair >> bits, np.arange(b - a + 1))
                 found = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((pair & ((1 << bits) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_draw").slice(a, b - a), batch.column("_id").slice(a, b - a), batch.column("_label").slice(a, b - a), found],
                     ["draw", "id", "label", "buckets"],
                 )
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = []
+        for batch in batches:
+            buckets = batch.column("buckets")
+            cuts, flat = buckets.offsets.to_numpy(), buckets.values.to_numpy()
+            keys = zip(batch.column("draw").to_pylist(), batch.column("id").to_pylist(), batch.column("label").to_pylist())
+            examples += [(*key, flat[a:b].copy()) for key, a, b in zip(keys, cuts[:-1], cuts[1:])]
+        if not examples:
+            return
+        examples.sort(key=lambda e: (e[0], e[1], e[3].size, e[3].tobytes()))
+        positive = sum(e[2] for e in examples)
+        balance = (1.0, min(4.0, max(1.0, (len(examples) - positive) / max(1, positive))))
+        weights, bias = ftrl([(e[3], e[2]) for e in examples], bits, epochs, alpha, beta, l1, l2, balance)
+        live = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([bias]), pa.array([live.astype(np.int32).tobytes()], pa.binary()), pa.array([weights[live].tobytes()], pa.binary())], ["bias", "live", "weights"]
+        )
+
     wanted = texts.join(F.broadcast(sample), "_id").select("_draw", F.col("_id").cast("string").alias("_id"), "_label", "text")
-    table = wanted.mapInArrow(rows, "draw bigint, id string, label int, buckets array<int>").toArrow()
-    buckets = table.column("buckets").combine_chunks()
-    cuts = buckets.offsets.to_numpy()
-    flat = buckets.values.to_numpy().astype(np.int64)
-    order = sorted(range(len(table)), key=list(zip(table.column("draw").to_pylist(), table.column("id").to_pylist())).__getitem__)
-    label_of = table.column("label").to_pylist()
-    positive = sum(label_of)
-    balance = (1.0, min(4.0, max(1.0, (len(label_of) - positive) / max(1, positive))))
-    weights, bias = ftrl([(flat[cuts[i] : cuts[i + 1]], label_of[i]) for i in order], bits, epochs, alpha, beta, l1, l2, balance)
-    return ToxicityModel(weights, bias, bits)
+    drawn = wanted.mapInArrow(rows, "draw bigint, id string, label int, buckets array<int>").repartition(1)
+    model = drawn.mapInArrow(learn, "bias double, live binary, weights binary").first()
+    weights = np.zeros(1 << bits, np.float32)
+    if model is None:
+        return ToxicityModel(weights, -4.0, bits)
+    weights[np.frombuffer(model["live"], np.int32)] = np.frombuffer(model["weights"], np.float32)
+    return ToxicityModel(weights, model["bias"], bits)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the probability that the whole text is toxic to every row.
 
-    Null and empty texts get the model's bias alone; equal texts get equal scores. A column named like the
-    added one is replaced. Texts are read in slices of bounded size.
+    Null and empty texts get the model's bias alone; equal texts get equal scores; repeated rows stay; an empty
+    table gives no row. A column named like the added one is replaced, all others are kept. Texts are read in
+    slices of bounded size.
     """
     kept = docs.drop(out)
     names, schema = kept.columns, grown(kept.schema, **{out: "double"})

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -225,13 +226,60 @@ def test_every_language_is_learned_whatever_its_copies(spark):
     assert len(got) == 12 and all(r["lang"] == r["lang_pred"] for r in got)
 
 
-def test_languages_are_clustered_on_a_bounded_number_of_distinct_texts(spark, monkeypatch):
+def test_languages_are_clustered_on_a_bounded_number_of_distinct_texts(spark):
     rows = [(t, lang) for _, t, lang in language_rows(300)]
     docs = spark.createDataFrame(rows + rows[:60] * 40, "text string, lang string").repartition(5)
-    seen, cluster = [], langid._cluster
-    monkeypatch.setattr(langid, "_cluster", lambda x, k: seen.append(x) or cluster(x, k))
-    langid.fit_languages(docs, F.lit(True), per_lang=25)
-    assert [len(x) for x in seen] == [25] * 3 and all(len(np.unique(x, axis=0)) == 25 for x in seen)
+    model = langid.fit_languages(docs, F.lit(True), per_lang=25)
+    assert model.texts == {"en": 25, "de": 25, "fr": 25}
+    assert langid.fit_languages(docs, F.lit(True), per_lang=1000).texts == {"en": 100, "de": 100, "fr": 100}
+    again = langid.fit_languages(docs.repartition(2), F.lit(True), per_lang=25)
+    assert (again.centroids == model.centroids).all() and again.langs == model.langs
+
+
+def test_language_scores_equal_dense_cosines():
+    """Counts, weights and the nearest centroid, gram by gram, for a model with given centroids."""
+    import pyarrow as pa
+
+    rng, dims = np.random.default_rng(1), 64
+    texts = ["Abc abd.", "é12 é", "", "a" * 50, "xyz, xyz! Xy z", " \n ", "zz\tzz"]
+    idf, centroids = rng.random(dims) + 0.1, langid.unit_rows(rng.random((5, dims)))
+    model = langid.LanguageModel(["a", "a", "b", "c", "c"], centroids, np.full(5, 0.9), np.full(5, 0.05), idf, 0.5)
+    langs, scores = model.predict(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        squeezed = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode())
+        counts = np.zeros(dims)
+        for n in (2, 3):
+            for i in range(len(squeezed) - n + 1):
+                code = 0
+                for byte in squeezed[i : i + n]:
+                    code = (code * 257 + byte) % 2**32
+                counts[(code * 2654435761) % 2**32 >> 32 - 6] += 1
+        x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+        x = x / max(np.sqrt(x @ x), 1e-300) if x.any() else x
+        cosine = centroids @ x
+        best = cosine.argmax()
+        lettered = any(c.isalpha() for c in text)
+        sure = lettered and cosine[best] >= 0.5 * min(0.9, 0.05 * x.sum())
+        assert lang == (model.langs[best] if sure else "und") and abs(score - (cosine[best] if lettered else 0)) < 1e-12
+
+
+def test_ftrl_equals_the_rule_coordinate_by_coordinate():
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(rng.integers(0, 32, rng.integers(0, 9))), int(rng.random() < 0.4)) for _ in range(60)]
+    got, bias = toxicity.ftrl(rows, 5, 3, 0.5, 1.0, 0.3, 0.7, (1.0, 2.5))
+    z, n, bias_n, want_bias = [0.0] * 32, [0.0] * 32, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.3 else -(z[i] - math.copysign(0.3, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.7)
+    for _ in range(3):
+        for buckets, label in rows:
+            w = {int(i): weight(i) for i in buckets}
+            g = (1 / (1 + math.exp(-(sum(w.values()) + want_bias))) - label) * (1.0, 2.5)[label]
+            for i, old in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * old
+                n[i] += g * g
+            bias_n += g * g
+            want_bias -= 0.5 * g / (1.0 + math.sqrt(bias_n))
+    np.testing.assert_allclose(got, [weight(i) for i in range(32)], atol=1e-6)
+    assert abs(bias - want_bias) < 1e-9 and any(w == 0 for w in got)
 
 
 def test_toxicity_on_held_out_rows(spark, corner_docs, no_docs):
