@@ -24,7 +24,8 @@ TOXIC = 0.7
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, learned from two thirds of those that have one.
 
-    Null texts and texts without letters go; other columns may be null.
+    Null texts and texts without letters go; other columns may be null, and repeated rows stay or go together. An
+    empty table stays empty; where no row has a language, nothing is recognised and all go.
     """
     model = fit_languages(docs, remainder("doc_id", 3) != 1)
     kept = identify_languages(docs, model, out="_lang", score="_cosine").filter(F.col("_lang") != UNKNOWN)
@@ -34,7 +35,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC``, learned from two thirds of the labelled ones among them.
 
-    Null and empty texts have no word to judge and stay, whatever the model's score of no words is.
+    Null and empty texts have no word to judge and stay, whatever the model's score of no words is; repeated rows
+    stay or go together; an empty table stays empty; without labels of both classes all stay.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, remainder("doc_id", 3) != 1)
@@ -45,7 +47,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near duplicates: the one with the least id, null last.
 
-    Null texts are no one's copy and stay. Of repeated rows, and of rows that share id and text, one stays.
+    Null texts are no one's copy and stay. Of repeated rows, and of rows that share id and text, one stays. An
+    empty table stays empty.
     """
     found = materialize(duplicate_classes(docs).filter("key IS NOT NULL"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key"))
@@ -69,7 +72,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: every document as often as the mix takes it, up to three times.
 
-    Null and empty texts have no words and are never taken; a null source is a source.
+    Null and empty texts have no words and are never taken; a null source is a source; each of several equal rows is
+    a document of its own; an empty table stays empty.
     """
     # Stored with a number per row, so that repeated and null ids keep their rows apart.
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -78,7 +82,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the best segmentation of every document, and the three best ones' scores; repeated rows stay."""
+    """Ids of the best segmentation of every document, and the three best ones' scores.
+
+    A null text has no ids; repeated rows stay; an empty table gives no row.
+    """
     return encode_pieces(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model")).withColumn(
         "n_tokens", F.size("ids").cast("bigint")
     )
