@@ -60,11 +60,12 @@ def _tile_moments(tile: int):
 
 
 def return_correlations(
-    returns: DataFrame, symbols: list[str] | None = None, min_rows: int = 1, tile: int = TILE
+    returns: DataFrame, symbols: list[str] | None = None, min_rows: int = 1, tile: int = TILE, least: float | None = None,
 ) -> DataFrame:
     """(symbol_a, symbol_b, correlation, n) of every pair ``a < b`` that shares ``min_rows`` moments.
 
-    The result has a row per pair of symbols by nature; the returns never form pairs. The returns
+    With ``least`` only pairs correlated as strongly, for or against, come out, which is what limits read; without it the result has
+    a row per pair of symbols by nature. The returns never form pairs. The returns
     of one moment are gathered (at most one per symbol), and each task turns its moments into sums
     per pair with one matrix product per tile of symbols; only these sums are shuffled. The returns
     are read twice: pass a stored frame if they are costly.
@@ -108,10 +109,12 @@ def return_correlations(
     var = lambda s, ss: F.greatest(n * F.col(ss) - F.col(s) * F.col(s), F.lit(0.0))
     spread = F.sqrt(var("sa", "saa")) * F.sqrt(var("sb", "sbb"))
     corr = (n * F.col("sab") - F.col("sa") * F.col("sb")) / zero_null(spread)
+    sums = sums.withColumn("correlation", corr)
+    sums = sums if least is None else sums.filter(F.abs("correlation") >= least)
     named = lambda side: names.select(F.col("_i").alias(side), F.col("symbol").alias(f"symbol_{side}"))
     return (
         sums.join(named("a"), "a").join(named("b"), "b")
-        .select("symbol_a", "symbol_b", corr.alias("correlation"), n.cast("long").alias("n"))
+        .select("symbol_a", "symbol_b", "correlation", n.cast("long").alias("n"))
     )
 
 

@@ -527,7 +527,7 @@ def open_state(spark, sf):
 
 
 def _breaches(spark, sf):
-    known = portfolio.return_correlations(_returns(spark, sf))
+    known = portfolio.return_correlations(_returns(spark, sf), least=LIMITS.max_correlation)
     return portfolio.limit_breaches(_ledger(spark, sf), limits=LIMITS, correlations=known)
 
 
@@ -540,7 +540,7 @@ def limit_breaches_correlated(spark, sf):
     loose = portfolio.Limits(
         max_concurrent_positions=1000, max_total_risk_pct=10.0, max_symbol_exposure_pct=100.0, max_daily_loss_pct=10.0, max_correlation=0.02,
     )
-    known = portfolio.return_correlations(_returns(spark, sf))
+    known = portfolio.return_correlations(_returns(spark, sf), least=loose.max_correlation)
     return portfolio.limit_breaches(_ledger(spark, sf), limits=loose, correlations=known).select("symbol", "signal_ts", "breach")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions.text import json_time
 from tapeweave.schemas import canonical_news
+from tapeweave.sources.csv import read_quoted_csv
 from tapeweave.sources.tables import range_filter
 
 
@@ -14,9 +15,9 @@ def read_news_csv(spark: SparkSession, path: str, multi_line: bool = False) -> D
     """News from CSV files with a header: timestamp, symbol, headline and optionally body, source, url.
 
     Times without an offset are UTC; a malformed time raises. ``multi_line`` allows line ends inside quoted
-    fields, at the price of one task per file.
+    fields; such a file is split like any other.
     """
-    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    raw = read_quoted_csv(spark, path) if multi_line else spark.read.option("header", True).option("escape", '"').csv(path)
     at = F.to_timestamp(F.col("timestamp"))
     ts = F.to_utc_timestamp(at, F.current_timezone()).cast("timestamp_ntz")
     return canonical_news(raw.withColumn("ts", ts))
