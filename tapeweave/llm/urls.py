@@ -52,13 +52,12 @@ class Level:
     hashes: int
 
     def holds(self, key: Column) -> Column:
-        """Whether all bits of the key are set. The bits are a literal: they go out with the plan."""
+        """Whether all bits of the key are set. The bits are a literal: they go out with the plan, once a level."""
         bits = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
-        tests = [F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in self.spots(key)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        return F.forall(
+            F.array(*self.spots(key)),
+            lambda p: F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1,
+        )
 
     def spots(self, key: Column) -> list[Column]:
         size = 64 * len(self.words) if self.words else self.size
@@ -82,11 +81,14 @@ class Cascade:
         return answer
 
 
-def _encode(keys: DataFrame, salt: int, bits_per_key: int, hashes: int, max_bits: int) -> Level:
-    n = keys.count()
+class TooLarge(ValueError):
+    """A filter that is not to be sent to every task."""
+
+
+def _encode(keys: DataFrame, n: int, salt: int, bits_per_key: int, hashes: int, max_bits: int) -> Level:
     size = 1 << max(6, math.ceil(math.log2(max(1, n) * bits_per_key)))
     if size > max_bits:
-        raise ValueError(f"{n} keys need a filter of {size} bits; max_bits allows {max_bits}")
+        raise TooLarge(f"{n} keys need a filter of {size} bits; max_bits allows {max_bits}")
     level = Level([], salt, hashes, size)
     spots = keys.select(F.explode(F.array(*level.spots(F.col("key")))).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(
@@ -105,19 +107,25 @@ def build_cascade(
 ) -> Cascade:
     """Filters that tell the keys of ``listed`` from all other keys of ``universe`` without error.
 
-    Both frames have one column ``key``; nulls and repeats are dropped. Every level is sized by the count of
-    its keys, and a filter beyond ``max_bits`` is refused: the bits are what every task receives. Each level
-    lets a few hundredths of the other side through, so the levels shrink fast; one that still does not end
-    after ``max_levels`` raises.
+    Both frames have one column ``key``; nulls and repeats are dropped. The first level has a hash for every
+    doubling of the universe against the list, so that about as many other keys as listed ones pass it, however
+    large the universe; the levels after it shrink by a few hundredths of the other side each. So what every task
+    receives grows with the list and the logarithm of the universe. A filter beyond ``max_bits`` raises
+    ``TooLarge``; more than ``max_levels`` would mean that hashes of listed and other keys agree, and raise.
     """
     listed = materialize(listed.filter(F.col("key").isNotNull()).distinct())
-    inside, outside = listed, universe.filter(F.col("key").isNotNull()).join(listed, "key", "left_anti").distinct()
+    outside = materialize(universe.filter(F.col("key").isNotNull()).join(listed, "key", "left_anti").distinct())
+    inside, n = listed, listed.count()
+    doublings = math.ceil(math.log2(max(1.0, math.sqrt(2) * outside.count() / max(1, n))))
+    first = max(hashes, doublings)
     levels: list[Level] = []
     while len(levels) < max_levels:
-        level = _encode(inside, len(levels), bits_per_key, hashes, max_bits)
+        shape = (bits_per_key, hashes) if levels else (max(bits_per_key, math.ceil(first / math.log(2))), first)
+        level = _encode(inside, n, len(levels), *shape, max_bits)
         levels.append(level)
         through = materialize(outside.filter(level.holds(F.col("key"))))
-        if through.isEmpty():
+        n = through.count()
+        if not n:
             return Cascade(levels)
         inside, outside = through, inside
     raise RuntimeError("the cascade does not end: the hashes of listed and other keys agree")
@@ -132,7 +140,8 @@ def filter_urls(
     ones the greater string). Where none fits, the block list decides: ``block`` if a label of the host is
     listed (``listed``), else ``allow``. Rules are looked up as keys, host suffix and path prefix together,
     in one cascade per verdict; labels in a third. The cascades are built over all keys that occur in
-    ``pages``, so membership is exact and the pages meet no join.
+    ``pages``, so membership is exact and the pages meet no join. Only a block list whose filter would pass
+    ``max_bits`` is joined instead, by the labels of the distinct hosts; the result is the same.
 
     Null URLs and those without ``://`` have empty host and path, no rule, and ``allow``. Columns of
     ``pages`` that are named like the added ones are replaced. Empty input gives no rows.
@@ -150,7 +159,16 @@ def filter_urls(
     by_verdict = {
         v: build_cascade(keys([h + p for w, h, p in rules if w == v]), universe, **sizes) for v in ("allow", "block")
     }
-    block_list = build_cascade(blocked if isinstance(blocked, DataFrame) else keys(blocked), labels, **sizes)
+    named = blocked if isinstance(blocked, DataFrame) else keys(blocked)
+    try:
+        block_list = build_cascade(named, labels, **sizes)
+        is_listed = F.exists(host_labels(F.col("host")), lambda x: block_list.contains(x))
+        judged = pages.withColumns({"host": host, "path": path})
+    except TooLarge:
+        hosts = parts.select(F.col("_h").alias("host"), F.explode(host_labels(F.col("_h"))).alias("key")).distinct()
+        hit = hosts.join(named.select("key").distinct(), "key", "left_semi").select("host", F.lit(True).alias("_hit")).distinct()
+        is_listed = F.coalesce("_hit", F.lit(False))
+        judged = pages.withColumns({"host": host, "path": path}).join(hit, "host", "left").select(*dict.fromkeys([*pages.columns, "host", "path"]), "_hit")
     hits = F.transform(
         rule_keys(F.col("host"), F.col("path"), lengths),
         lambda k: F.struct(
@@ -160,11 +178,10 @@ def filter_urls(
     )
     best = F.array_max(F.filter(hits, lambda x: x["verdict"].isNotNull()))
     return (
-        pages.withColumns({"host": host, "path": path})
-        .withColumns({"_best": best, "listed": F.exists(host_labels(F.col("host")), lambda x: block_list.contains(x))})
+        judged.withColumns({"_best": best, "listed": is_listed})
         .withColumns({
             "rule": F.col("_best.rule"),
             "verdict": F.coalesce(F.col("_best.verdict"), F.when(F.col("listed"), "block").otherwise("allow")),
         })
-        .drop("_best")
+        .drop("_best", "_hit")
     )

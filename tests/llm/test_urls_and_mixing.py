@@ -44,6 +44,25 @@ def test_cascade_is_exact_and_refuses_what_is_too_large(spark):
         build_cascade(listed, universe, max_bits=64)
 
 
+def test_later_levels_do_not_grow_with_the_universe(spark):
+    listed = spark.range(6).selectExpr("concat('k', id * 1000) as key")
+    for n in (3000, 1_000_000):
+        universe = spark.range(n).selectExpr("concat('k', id) as key")
+        cascade = build_cascade(listed, universe)
+        assert [len(level.words) <= 8 for level in cascade.levels] == [True] * len(cascade.levels)
+        assert universe.filter(cascade.contains(universe["key"])).count() == sum(1000 * i < n for i in range(6))
+
+
+def test_a_list_beyond_the_limit_is_joined(spark):
+    urls = [f"http://h{i % 50}.l{i % 7}.net/{i}" for i in range(120)] + [None, "", "no scheme", "http://H3.net/"]
+    names = [f"h{i}" for i in range(0, 50, 3)] + ["l5", None, "absent", "l5"]
+    blocked = spark.createDataFrame([(x,) for x in names], "key string")
+    plain = judged(spark, urls, blocked=blocked)
+    assert 20 < sum(r["listed"] for r in plain) < 110
+    assert judged(spark, urls, blocked=blocked, rules=(), max_bits=64) == judged(spark, urls, blocked=blocked, rules=())
+    assert [r["listed"] for r in plain] == [bool(set(names) & set(r["host"].split("."))) for r in plain]
+
+
 def test_no_listed_keys_and_no_pages(spark):
     assert [r["verdict"] for r in judged(spark, ["http://spam-farm.net/"], blocked=(), rules=())] == ["allow"]
     assert judged(spark, []) == []
