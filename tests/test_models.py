@@ -3,7 +3,7 @@ import pytest
 from bar_rows import BAR, minute_rows
 from pyspark.sql import functions as F
 
-from tapeweave.operators import models, samples
+from tapeweave.operators import labels, models, samples
 from tapeweave.session import materialize
 
 FEATURES = ["ret_1", "close_pos"]
@@ -60,7 +60,10 @@ def test_search(data):
     assert row["score"] is None and row["n_samples"] < 50  # too few to say
     out = models.search_params(base, "1m", ["1m"], FEATURES, trials=[t | {"trees": 3, "depth": 2} for t in trials], n_splits=2, window=8, horizon=6)
     best = models.best_trial(out).first()
-    assert best["score"] == max(r["score"] for r in out.collect()) > 0
+    rows = out.collect()
+    assert [r["rung"] for r in rows].count(2) == 1 and best["trial"] == next(r["trial"] for r in rows if r["rung"] == 2) and best["score"] > 0
+    assert max(rows, key=lambda r: (r["fixed_score"], -r["trial"]))["rung"] > 0 and all(r["score"] is None for r in rows if not r["rung"])
+    assert all(r["n_down"] + r["n_flat"] + r["n_up"] == r["n_samples"] for r in rows)
 
 
 def test_saved_model_scores_alike(spark, data, tmp_path):
@@ -74,3 +77,13 @@ def test_saved_model_scores_alike(spark, data, tmp_path):
     assert key(models.score_loaded(loaded, s)) == key(models.score(model, samples.apply_scaler(s, stats, FEATURES)))
     with pytest.raises(ValueError, match="no series"):
         models.fit_trees(s.filter("false"), FEATURES)
+
+
+def test_many_settings_are_labelled_as_each_alone(spark):
+    bars = spark.createDataFrame(minute_rows("A", days=2, per_day=150) + minute_rows("B", days=1, per_day=40, seed=4), BAR)
+    settings = [(2.0, 1.0), (1.0, 0.5), (0.7, 1.9)]
+    got = {(r["symbol"], r["ts"]): r["labels"] for r in labels.label_settings(bars, "1m", settings, horizon=9).collect()}
+    for k, (take, stop) in enumerate(settings):
+        alone = labels.triple_barrier_labels(bars, "1m", 9, take, stop).filter("label IS NOT NULL").collect()
+        assert {(r["symbol"], r["ts"]): int(r["label"]) + 1 for r in alone} == {at: x[k] for at, x in got.items()}
+    assert len({tuple(x) for x in got.values()}) > 5
