@@ -48,7 +48,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.nd
     names = coded.dictionary.to_pylist()
     salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    for a, b in slices(texts, limit=1 << 22, rows=1 << 16):
+    for a, b in slices(texts, limit=1 << 21, rows=1 << 16):
         yield texts.slice(a, b - a), salt[codes[a:b]], codes[a:b], names
 
 
@@ -306,7 +306,7 @@ def _score(left: str) -> str:
 
 
 def mine_phrases(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, top: int = 2000, cover: int = 50, budget: int = 1 << 20,
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, top: int = 2000, cover: int = 50, budget: int = 1 << 19,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two or three words.
 
