@@ -122,6 +122,53 @@ def test_stream_features(spark, corner_docs, no_docs):
     assert media.stream_features(media.encode_streams(no_docs)).collect() == []
 
 
+def test_all_streams_of_the_map_table():
+    payloads = [bytes((i * k) % 253 for i in range(n)) for k, n in enumerate((64, 70_000, 200_000, 128, 61440), 3)] * 12
+    mixed = media.mux_streams(payloads)
+    found = media.elementary_streams(mixed)
+    assert [s.payload for s in found] == payloads and [s.pid for s in found] == [media.DATA_PID + k for k in range(60)]
+    for s in found:
+        assert s.gaps == 0 and s.access_times == s.timestamps == [media.FIRST_PTS + i * media.TICKS for i in range(len(s.timestamps))]
+        # Decoding may start at each access point: its packet is the first of a unit of this stream.
+        heads = [mixed[p * media.PACKET : p * media.PACKET + 4] for p in s.access_points]
+        assert all(h[0] == media.SYNC and h[1] & 0x40 and (h[1] & 31) << 8 | h[2] == s.pid for h in heads)
+    with pytest.raises(ValueError):
+        media.demux(mixed)
+    with pytest.raises(ValueError):
+        media.mux_streams([b"x"] * (media.MOST_STREAMS + 1))
+    assert len(media.elementary_streams(media.mux_streams([b"x"] * media.MOST_STREAMS))) == media.MOST_STREAMS
+
+
+def test_counters_of_packets():
+    payload = media.padded(b"y" * 3000)
+    packets = [media.mux(payload)[i : i + media.PACKET] for i in range(0, len(media.mux(payload)), media.PACKET)]
+    twice = media.demux(b"".join(packets[:6] + [packets[5]] + packets[6:]))
+    assert twice.payload == payload and twice.gaps == 0
+    stuffing = bytes([media.SYNC, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    bare = bytes([media.SYNC, media.DATA_PID >> 8, media.DATA_PID & 255, 0x20 | packets[5][3] & 15, 183, 0]) + b"\xff" * 182
+    padded = media.demux(b"".join([stuffing] + packets[:6] + [bare, stuffing] + packets[6:]))
+    assert padded.payload == payload and padded.gaps == 0 and padded.access_points == [3]
+    with pytest.raises(ValueError):
+        media.demux(b"".join(packets[1:]))
+
+
+def test_parsed_streams_column(spark):
+    payloads = [media.padded(b"a" * 150_000), media.padded(b"b")]
+    rows = [(1, media.mux_streams(payloads), "c"), (2, None, "c"), (3, media.mux(b"z" * 64), "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, media binary, packets string")
+    parsed = media.parse_streams(frame)
+    got = {r["doc_id"]: r for r in parsed.collect()}
+    assert parsed.columns == ["doc_id", "packets", "streams"] and got[2]["streams"] is None and got[2]["packets"] is None
+    assert [bytes(s["payload"]) for s in got[1]["streams"]] == payloads and got[1]["packets"] == len(rows[0][1]) // 188
+    first = got[1]["streams"][0]
+    assert first["timestamps"] == [p["pts"] for p in first["access_points"]] == [90000, 93600, 97200] and first["gaps"] == 0
+    seek = parsed.select("doc_id", *[media.access_before(F.get("streams", F.lit(0)), F.lit(t)).alias(f"t{t}") for t in (89999, 95000, 10**9)])
+    at = {r["doc_id"]: r for r in seek.collect()}
+    places = [p["packet"] * 188 for p in first["access_points"]]
+    assert (at[1]["t89999"], at[1]["t95000"], at[1]["t1000000000"]) == (None, places[1], places[2]) and at[2]["t95000"] is None
+    assert [r["payload_bytes"] for r in media.stream_features(frame).orderBy("doc_id").collect()] == [150_016, None, 64]
+
+
 # --- near duplicates -------------------------------------------------------------------------
 
 
