@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeweave.llm.graph import components
@@ -106,28 +106,27 @@ def _join_labels(labels: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray
             labels = labels[labels]
 
 
-def _tiles(ordered: DataFrame, rows: int) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """Adds a tile of about ``rows`` rows by the leading coordinate; returns each tile's span of it.
+def _partners(low: np.ndarray, high: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last bin that each bin of rising spans has to meet: those at most ``gap`` away."""
+    last = np.searchsorted(low, high + gap, "right") - 1
+    # From the same comparison, so that meeting is mutual.
+    return np.searchsorted(last, np.arange(len(low)), "left"), last
 
-    The driver gets quantiles and a row per tile. Where equal coordinates make a tile too large, it is split
-    by hash.
+
+def _tiles(spark: SparkSession, binned: DataFrame, rows: int, gap: float) -> DataFrame:
+    """Per bin of the leading coordinate: its tiles (``start`` and ``parts``) and the tiles they meet, ``first`` to ``last``.
+
+    The driver gets a row per bin, that is per ``rows`` vectors; the table goes back as rows, not into a plan.
+    Where equal coordinates make a bin too large, hashes split it into several tiles.
     """
-    n = ordered.count()
-    count = max(1, -(-n // rows))
-    bounds = sorted(set(ordered.approxQuantile("z", [k / count for k in range(1, count)], 0.25 / count))) if count > 1 else []
-    bin_of = sum((F.col("z") >= b).cast("int") for b in bounds) if bounds else F.lit(0)
-    binned = ordered.withColumn("_bin", bin_of)
-    sizes = {r[0]: r[1] for r in binned.groupBy("_bin").count().collect()}
-    first, parts, at = {}, {}, 0
-    for k in sorted(sizes):
-        first[k], parts[k] = at, -(-sizes[k] // (2 * rows))
-        at += parts[k]
-    lookup = lambda d: F.array(*[F.lit(d.get(k, 0)) for k in range(max(sizes, default=0) + 1)])[F.col("_bin")]
-    tiled = materialize(
-        binned.withColumn("tile", lookup(first) + F.pmod(F.xxhash64("node"), lookup(parts).cast("bigint")).cast("int")).drop("_bin")
-    )
-    spans = {r[0]: (r[1], r[2]) for r in tiled.groupBy("tile").agg(F.min("z"), F.max("z")).collect()}
-    return tiled, [spans.get(t, (math.inf, -math.inf)) for t in range(at)]
+    found = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).orderBy("bin").toArrow()
+    n, low, high = (found.column(c).to_numpy() for c in ("n", "low", "high"))
+    parts = -(-n // (2 * rows))
+    ends = np.cumsum(parts)
+    first, last = _partners(low, high, gap)
+    start = ends - parts
+    table = pa.table({"_bin": found.column("bin"), "start": start, "parts": parts, "first": start[first], "last": ends[last] - 1})
+    return spark.createDataFrame(table)
 
 
 def link_vectors(
@@ -161,14 +160,22 @@ def link_vectors(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], ["node", "copies", "vec", "z"])
 
     ordered = materialize(nodes.select("node", "copies", "vec").mapInArrow(project, "node bigint, copies bigint, vec binary, z double"))
-    tiled, spans = _tiles(ordered, rows)
+    count = max(1, -(-ordered.count() // rows))
+    cuts = np.unique(ordered.approxQuantile("z", [k / count for k in range(1, count)], 0.25 / count)) if count > 1 else np.zeros(0)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.searchsorted(cuts, batch.column(3).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int64())], ["node", "copies", "vec", "z", "bin"])
+
+    binned = ordered.mapInArrow(place, "node bigint, copies bigint, vec binary, z double, bin bigint")
     gap = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
-    # Partners of a tile are a range, as spans rise with the tiles.
-    last = [max((k for k in range(t, len(spans)) if spans[k][0] - spans[t][1] <= gap), default=t) for t in range(len(spans))]
-    first = [min((k for k in range(t + 1) if last[k] >= t), default=t) for t in range(len(spans))]
-    pick = lambda values: F.array(*[F.lit(v) for v in values])[F.col("tile")]
-    meetings = tiled.withColumn("other", F.explode(F.sequence(pick(first), pick(last)))) if spans else tiled.withColumn("other", F.lit(0))
-    meetings = meetings.select("node", "copies", "vec", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    meetings = (
+        binned.join(_tiles(vectors.sparkSession, binned.select("bin", "z"), rows, gap), F.col("bin") == F.col("_bin"))
+        .withColumn("tile", F.col("start") + F.pmod(F.xxhash64("node"), "parts"))
+        .withColumn("other", F.explode(F.sequence("first", "last")))
+        .select("node", "copies", "vec", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    )
     stops = [min(k, dims) for k in range(0, dims + step, step)]
 
     def meet(table: pa.Table) -> pa.Table:

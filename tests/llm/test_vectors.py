@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeweave.llm.embeddings import link_vectors
+from tapeweave.llm.embeddings import _partners, _tiles, link_vectors
 from tapeweave.llm.graph import components
 
 
@@ -45,6 +45,30 @@ def test_links_against_brute_force(spark, rows_per_tile, inner):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_partners_are_all_bins_within_the_gap():
+    rng = np.random.default_rng(4)
+    edges = np.sort(rng.normal(size=400))
+    low, high = edges[::2], edges[1::2]
+    for gap in (0.0, 0.01, 0.3, 10.0):
+        first, last = _partners(low, high, gap)
+        want = [[k for k in range(200) if max(low[k] - high[t], low[t] - high[k]) <= gap] for t in range(200)]
+        assert [list(range(a, b + 1)) for a, b in zip(first, last)] == want
+    assert [len(x) for x in _partners(low[:0], high[:0], 0.3)] == [0, 0]
+
+
+def test_tiles_of_crowded_bins(spark):
+    rows = [(0, 0.0)] * 100 + [(1, 0.1 + i / 1000) for i in range(9)] + [(3, 5.0)]
+    table = _tiles(spark, spark.createDataFrame(rows, "bin long, z double"), 10, 0.3).collect()
+    assert sorted((r["_bin"], r["start"], r["parts"], r["first"], r["last"]) for r in table) == [(0, 0, 5, 0, 5), (1, 5, 1, 0, 5), (3, 6, 1, 6, 6)]
+
+
+def test_links_do_not_depend_on_the_tiles(spark):
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    coarse, fine = (link_vectors(frame, rows=r, inner=16, step=2) for r in (30, 2))
+    assert sorted(map(tuple, coarse.collect())) == sorted(map(tuple, fine.collect()))
+
+
 def test_no_vectors(spark):
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     only = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
