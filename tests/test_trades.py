@@ -344,6 +344,39 @@ def test_correlations_match_pandas(spark, tile):
     assert portfolio.return_correlations(df, ["A", "C"]).count() == 1
 
 
+@pytest.mark.parametrize("group", [60, 4_000_000])
+def test_correlations_of_groups_and_slices(spark, group):
+    rng = np.random.default_rng(4)
+    wide = pd.DataFrame({f"S{i}": rng.normal(size=90) for i in range(9)})
+    wide = wide.mask(rng.random(wide.shape) < 0.5)
+    wide["ts"] = pd.date_range("2024-01-01", periods=90, freq="1D")
+    long = wide.melt("ts", var_name="symbol", value_name="ret").dropna()
+    long = pd.concat([long, pd.DataFrame({"ts": wide.ts[:3], "symbol": "S1", "ret": [np.inf, np.nan, -np.inf]})])
+    long = long.drop_duplicates(["ts", "symbol"])
+    df = spark.createDataFrame(long, "ts timestamp_ntz, symbol string, ret double").repartition(3)
+    want = wide.drop(columns="ts").corr()
+    there = wide.drop(columns="ts").notna().astype(int)
+    common = there.T @ there
+    # Two symbols a tile; the small group also cuts the moments into slices.
+    got = portfolio.return_correlations(df, tile=2, group=group).toPandas()
+    assert len(got) == 36 and (got.symbol_a < got.symbol_b).all()
+    for _, r in got.iterrows():
+        assert r.n == common.loc[r.symbol_a, r.symbol_b] and r.correlation == pytest.approx(want.loc[r.symbol_a, r.symbol_b], abs=1e-9)
+    strong = portfolio.return_correlations(df, tile=2, group=group, least=0.2, min_rows=20).toPandas()
+    kept = got[(got.correlation.abs() >= 0.2) & (got.n >= 20)]
+    assert set(zip(strong.symbol_a, strong.symbol_b)) == set(zip(kept.symbol_a, kept.symbol_b)) and len(kept) < 36
+
+
+def test_pairs_of_symbols_are_not_shuffled(spark):
+    rows = [(f"S{i}", datetime(2024, 1, 1 + k), float((i * 7 + k * k) % 5)) for i in range(30) for k in range(9)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double")
+    plan = portfolio.return_correlations(df)._jdf.queryExecution().executedPlan().toString()
+    # The plan is printed from the result down: no exchange or join follows the step that adds up the pairs.
+    above = plan[: plan.index("MapIn")]
+    assert "Exchange" not in above and "Join" not in above
+    assert portfolio.return_correlations(df).count() == 435
+
+
 CATALYST = "symbol string, ts timestamp_ntz, catalyst string, strength double, confidence double"
 
 
