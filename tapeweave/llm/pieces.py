@@ -81,29 +81,37 @@ class PieceModel:
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each hash is a prefix, its piece (-1: none) and that piece's score."""
         known, number, score = np.zeros(h.size, bool), np.full(h.size, -1, np.int32), np.full(h.size, -np.inf)
+        at = np.arange(h.size)
         for t, (key, numbers, scores) in enumerate(self.tables):
             slot = self._slot(h, t)
-            hit = key[slot] == h
-            known |= hit
-            number[hit], score[hit] = numbers[slot[hit]], scores[slot[hit]]
+            there = key[slot]
+            hit = there == h
+            known[at[hit]], number[at[hit]], score[at[hit]] = True, numbers[slot[hit]], scores[slot[hit]]
+            # Only what meets another prefix in its slot may have moved on.
+            on = np.flatnonzero(~hit & (there != 0))
+            at, h = at[on], h[on]
         return known, number, score
 
-    def lattice(self, chars: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece and score of every edge, by start and length - 1; ``stops`` is each start's end of unit."""
-        n = chars.size
-        number, score = np.full((n, self.longest), -1, np.int32), np.full((n, self.longest), -np.inf)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
+    def lattice(self, chars: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length, piece and score of every edge; ``stops`` is each start's end of unit."""
+        at, h = np.arange(chars.size), np.zeros(chars.size, np.uint64)
+        found = []
         for k in range(self.longest):
             at_ok = at + k < stops[at]
             at, h = at[at_ok], h[at_ok]
             if not at.size:
                 break
             h = h * _BASE + (chars[at + k].astype(np.uint64) + np.uint64(1))
-            known, number[at, k], score[at, k] = self._find(h)
+            known, number, score = self._find(h)
+            if k == 0:
+                none = number < 0
+                number[none], score[none] = -2, self.unknown
+            some = np.flatnonzero(number != -1)
+            found.append((at[some], np.full(some.size, k + 1), number[some], score[some]))
             at, h = at[known], h[known]
-        none = number[:, 0] < 0
-        number[none, 0], score[none, 0] = -2, self.unknown
-        return number, score
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def best(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best pieces of every unit (flat, with counts), their scores, and the loss of the second best (inf: none).
@@ -115,52 +123,54 @@ class PieceModel:
         begins = np.cumsum(sizes) - sizes
         stops = np.repeat(begins + sizes, sizes)
         chars = np.where(chars == SPACE, OWN_SPACE, np.where(chars == 32, SPACE, chars))
-        number, score = self.lattice(chars, stops)
+        start, length, number, score = self.lattice(chars, stops)
         # Nodes: one per character and one at the end of each unit.
         nodes = begins + np.arange(len(units))
-        node = np.arange(chars.size) + np.repeat(np.arange(len(units)), sizes)
+        owner = np.repeat(np.arange(len(units)), sizes)[start]
+        source = start + owner
+        target = source + length
         total = chars.size + len(units)
-        edge = np.full((total, self.longest), -np.inf)
-        edge[node] = score
         forward, backward = np.full(total, -np.inf), np.full(total, -np.inf)
         forward[nodes], backward[nodes + sizes] = 0, 0
+        # Edges by the distance of the node that they lead to from its unit's front; every node but the front has some.
+        depth = target - nodes[owner]
+        order = np.argsort(depth * total + target)
+        goal, origin, cost = target[order], source[order], score[order]
+        group = np.flatnonzero(np.diff(goal, prepend=-1))
+        edges, groups = _levels(depth[order], group)
+        for (a, b), (c, d) in zip(edges, groups):
+            forward[goal[group[c:d]]] = np.maximum.reduceat(forward[origin[a:b]] + cost[a:b], group[c:d] - a)
+        # And by the distance of the node that they leave from its unit's end, longer ones first.
+        depth = sizes[owner] + nodes[owner] - source
+        order = np.argsort((depth * total + source) * (self.longest + 1) - length)
+        goal, origin, cost = target[order], source[order], score[order]
+        group = np.flatnonzero(np.diff(origin, prepend=-1))
+        edges, groups = _levels(depth[order], group)
+        sums = np.zeros(order.size)
+        for (a, b), (c, d) in zip(edges, groups):
+            sums[a:b] = cost[a:b] + backward[goal[a:b]]
+            backward[origin[group[c:d]]] = np.maximum.reduceat(sums[a:b], group[c:d] - a)
+        top = np.flatnonzero(sums == backward[origin])
+        top = top[np.flatnonzero(np.diff(origin[top], prepend=-1))]
         take = np.zeros(total, np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        left = sizes[order]
-        for p in range(1, int(sizes.max(initial=0)) + 1):
-            live = order[: np.searchsorted(-left, -p, "right")]
-            ahead = nodes[live] + p
-            back = nodes[live] + sizes[live] - p
-            top, low = forward[ahead], backward[back]
-            length = np.zeros(live.size, np.int64)
-            for k in range(1, min(self.longest, p) + 1):
-                top = np.maximum(top, forward[ahead - k] + edge[ahead - k, k - 1])
-                sums = edge[back, k - 1] + backward[back + k]
-                length = np.where(sums >= low, k, length)
-                low = np.maximum(low, sums)
-            forward[ahead], backward[back], take[back] = top, low, length
+        take[origin[top]] = order[top]
         scores = backward[nodes]
         # Follow the best edges of all units at once.
         chosen, at, unit = [], nodes.copy(), np.arange(len(units))
-        through = np.full(total, -np.inf)
-        on_path = np.zeros((total, self.longest), bool)
+        off_path = np.ones(start.size, bool)
         while at.size:
             live = at < (nodes + sizes)[unit]
             at, unit = at[live], unit[live]
             chosen.append((unit, at))
-            on_path[at, take[at] - 1] = True
-            at = at + take[at]
-        for k in range(1, self.longest + 1):
-            here = np.arange(total - k)
-            value = forward[:-k] + edge[:-k, k - 1] + backward[k:]
-            through[here] = np.maximum(through[here], np.where(on_path[:-k, k - 1] | ~np.isfinite(edge[:-k, k - 1]), -np.inf, value))
-        second = np.maximum.reduceat(through, nodes) if len(units) else np.zeros(0)
+            off_path[take[at]] = False
+            at = at + length[take[at]]
+        second = np.full(len(units), -np.inf)
+        np.maximum.at(second, owner[off_path], (forward[source] + score + backward[target])[off_path])
         unit = np.concatenate([u for u, _ in chosen]) if chosen else np.zeros(0, np.int64)
         at = np.concatenate([a for _, a in chosen]) if chosen else np.zeros(0, np.int64)
         sort = np.argsort(at, kind="stable")
         unit, at = unit[sort], at[sort]
-        char = at - unit
-        flat, counts = self._bytes(number[char, take[at] - 1], chars[char], unit, len(units))
+        flat, counts = self._bytes(number[take[at]], chars[at - unit], unit, len(units))
         return flat, counts, scores, scores - second
 
     def _bytes(self, numbers: np.ndarray, chars: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,11 +242,11 @@ class Segmenter:
         self.searched: dict[int, list[tuple[float, list[int]]]] = {}
 
     def _learn(self, keys: list[int], units: list[str]) -> None:
-        for at in range(0, len(units), 8192):
-            part = units[at : at + 8192]
+        for at in range(0, len(units), 4096):
+            part = units[at : at + 4096]
             flat, counts, scores, gaps = self.model.best(part)
             start = self.ids.n
-            self.index.update(zip(keys[at : at + 8192], range(start, start + len(part))))
+            self.index.update(zip(keys[at : at + 4096], range(start, start + len(part))))
             self.ids.extend(flat, counts)
             while self.ids.n > self.scores.size:
                 self.scores, self.gaps = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.gaps))
@@ -310,6 +320,13 @@ class Segmenter:
         return self.searched[number]
 
 
+def _levels(depth: np.ndarray, group: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of edges of equal depth, which come in order, and of the groups that begin in them."""
+    cuts = np.append(np.flatnonzero(np.diff(depth, prepend=-1)), depth.size)
+    of = np.searchsorted(group, cuts)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist())), list(zip(of[:-1].tolist(), of[1:].tolist()))
+
+
 def _row(score: float, ids: np.ndarray) -> dict:
     return {"score": score, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
 

@@ -433,6 +433,34 @@ def test_n_best_of_units(model_files):
         assert best in [ids for s, ids in found if s == found[0][0]]
 
 
+def test_lattice_lists_only_edges_that_exist(model_files):
+    model = pieces.PieceModel(model_files("piece_bpe_32k.model"))
+    text = "▁the♞▁erenint▁zzqx"
+    chars = np.array([ord(c) for c in text], np.uint32)
+    stops = np.where(np.arange(len(text)) < 5, 5, len(text))
+    got = sorted(zip(*(x.tolist() for x in model.lattice(chars, stops))))
+    want = []
+    for i in range(len(text)):
+        for k in range(1, min(model.longest, stops[i] - i) + 1):
+            piece = model.pieces.get(text[i : i + k]) or ((-2, model.unknown) if k == 1 else None)
+            want += [(i, k, *piece)] if piece else []
+    assert got == want and len(got) < len(text) * model.longest / 2
+    assert [len(x) for x in model.best([])] == [0, 0, 0, 0]
+
+
+def test_best_of_units_of_all_lengths(model_files):
+    model = pieces.PieceModel(model_files("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    units = [" " + "".join(rng.choice(list("etaoin♞"), n)) for n in [*range(1, 9), *[5] * 20]] + [" " + "the" * 700, "é" * 300]
+    flat, counts, scores, gaps = model.best(units)
+    ends = np.cumsum(counts)
+    for i, unit in enumerate(units):
+        found = model.n_best(unit, 2)
+        assert scores[i] == pytest.approx(found[0][0]) and gaps[i] == pytest.approx(found[0][0] - found[1][0] if len(found) > 1 else math.inf, abs=1e-6)
+        alone = model.best([unit])
+        assert flat[ends[i] - counts[i] : ends[i]].tolist() == alone[0].tolist() and scores[i] == alone[2][0]
+
+
 def test_n_best_of_texts(model_files):
     path = model_files("piece_bpe_32k.model")
     segmenter = pieces.Segmenter(path, 4, most=10)
