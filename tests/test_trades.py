@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -377,6 +378,70 @@ def test_pairs_of_symbols_are_not_shuffled(spark):
     assert portfolio.return_correlations(df).count() == 435
 
 
+def test_returns_meet_without_copies(spark):
+    rows = [(f"S{i}", datetime(2024, 1, 1 + k), float((i * 7 + k * k) % 5)) for i in range(30) for k in range(9)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double")
+    found = portfolio.return_correlations(df, tile=3)
+    # Cells are read from the stored table, whichever join Spark takes; only many slices shuffle sums.
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = portfolio.return_correlations(df, tile=3)
+        assert "CartesianProduct" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(large.collect()) == sorted(found.collect()) and found.count() == 435
+        sliced = portfolio.return_correlations(df, tile=3, group=9).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    whole = found.toPandas().merge(sliced, on=["symbol_a", "symbol_b"])
+    assert len(whole) == len(sliced) == 435 and (whole.n_x == whole.n_y).all()
+    assert np.allclose(whole.correlation_x, whole.correlation_y, atol=1e-9, equal_nan=True)
+    empty = spark.createDataFrame([], "symbol string, ts timestamp_ntz, ret double")
+    assert portfolio.return_correlations(empty).count() == 0
+
+
+def test_supplier_correlations_leave_one_stored_table(spark, tmp_path):
+    from tapeweave.plans.queries import return_correlation_suppliers
+    from tapeweave.session import child_names, shared_dir
+
+    rng = np.random.default_rng(8)
+    lines = pd.DataFrame({
+        "l_orderkey": np.arange(400), "l_partkey": 1, "l_suppkey": rng.integers(1, 8, 400), "l_linenumber": 1,
+        "l_quantity": rng.integers(1, 9, 400).astype(float), "l_extendedprice": rng.random(400) * 100 + 1,
+        "l_shipdate": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 60, 400), "D"),
+    })
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables = f"{shared_dir(spark)}/tables"
+    before = set(child_names(spark, tables))
+    got = return_correlation_suppliers(spark, str(tmp_path))
+    assert len(set(child_names(spark, tables)) - before) == 1
+    closes = lines.assign(price=lines.l_extendedprice / lines.l_quantity).groupby(["l_suppkey", "l_shipdate"]).price.last()
+    want = closes.groupby("l_suppkey").pct_change().unstack(0).corr()
+    rows = got.collect()
+    assert len(rows) == 21
+    for r in rows:
+        assert r.correlation == pytest.approx(want.loc[int(r.symbol_a[1:]), int(r.symbol_b[1:])], abs=2e-6)
+
+
+def test_a_stored_frame_leaves_no_shuffle_files(spark):
+    from tapeweave.session import materialize_all
+
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept, before = spark.conf.get(key, "false"), shuffles()
+    frames = {k: spark.range(5000).groupBy((F.col("id") % (1000 + k)).alias("id")).count() for k in range(3)}
+    stored = materialize_all(frames)
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(key, "false") == kept
+    assert [stored[k].count() for k in range(3)] == [1000, 1001, 1002]
+
+
 CATALYST = "symbol string, ts timestamp_ntz, catalyst string, strength double, confidence double"
 
 
